@@ -118,7 +118,7 @@ def parse_company_answers(df: DataFrame, answer: str) -> DataFrame:
     path = (
         F.when(empty, F.lit("none"))
         .when(F.col("_json").isNotNull(), F.lit("json"))
-        .when(F.col("_value").isNotNull(), F.lit("none"))
+        .when(F.col("_is_value"), F.lit("none"))
         .when(F.col("_cut").isNull(), F.lit("paragraph"))
         .when(F.col("_sliced").isNotNull(), F.lit("sliced"))
         .otherwise(F.lit("last_resort"))
@@ -129,7 +129,8 @@ def parse_company_answers(df: DataFrame, answer: str) -> DataFrame:
             "*",
             # valid JSON that is no object is no answer
             F.when(F.col("_json").isNull() & ~strip(raw).startswith("{"),
-                   F.try_parse_json(raw)).alias("_value"),
+                   F.size(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>",
+                                      {"allowSingleQuotes": "false"})) == 1).alias("_is_value"),
             F.when(F.col("_json").isNull(), parse_object(F.col("_cut"))).alias("_sliced"),
         )
         .select("*", path.alias("answer_path"))

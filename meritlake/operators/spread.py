@@ -1,0 +1,122 @@
+"""Ordered work inside groups of any size.
+
+A plain window puts a whole group into one task. Here groups above ``limit`` rows are first
+cut into slices along their order, so a group holding a third of the table is still sorted
+by many tasks, and what must cross a slice border (an offset, a last row) is carried by a
+small table. Slices depend on the data only, so a task that is run again gets the same ones.
+
+Sizes: at most ``rows / limit`` groups are hot, and one row in ``limit / 2`` becomes a cut
+point, so every table broadcast here has at most about ``2 * rows / limit`` entries
+(2 million for 10^12 rows at the default limit).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+HOT_GROUP_ROWS = 1_000_000
+
+
+def newest_first(ts: str) -> Column:
+    """Ascending key for 'newest first, null before all'."""
+    return -F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def slice_hot_groups(df: DataFrame, keys: list[str], order: list[str],
+                     limit: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Add ``_slice`` (0 in normal groups; ascending along ``order`` in hot ones) and ``_hot``.
+
+    ``order`` must be unique within a group.
+    """
+    place = F.struct(*order)
+    hot = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
+    )
+    step = max(limit // 2, 1)
+    cut_points = (
+        df.select(*keys, *[c for c in order if c not in keys])
+        .where(F.pmod(F.xxhash64(*keys, *order), F.lit(step)) == 0)
+        .join(F.broadcast(hot), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(place)).alias("_points"))
+        .withColumn("_width", F.ceil(F.sqrt(F.size("_points"))).cast("int"))
+        .withColumn("_blocks", F.transform(
+            F.sequence(F.lit(0), F.expr("int(ceil(size(_points) / _width)) - 1")),
+            lambda i: F.slice(F.col("_points"), i * F.col("_width") + 1, F.col("_width"))))
+    )
+    # two short look-ups (block, then place in block) instead of one long one
+    heads = cut_points.select(
+        *keys, "_width", F.transform("_blocks", lambda block: block[0]).alias("_heads"))
+    blocks = cut_points.select(*keys, F.posexplode("_blocks").alias("_block", "_inside"))
+    before = lambda points: F.size(F.filter(points, lambda p: p <= place))
+    return (
+        df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+        .join(F.broadcast(heads), keys, "left")
+        .withColumn("_block", F.when(F.col("_heads").isNotNull(), before(F.col("_heads")) - 1))
+        .join(F.broadcast(blocks), [*keys, "_block"], "left")
+        .withColumn("_slice", F.coalesce(
+            F.col("_block") * F.col("_width") + before(F.col("_inside")), F.lit(0)))
+        .withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        .select(*df.columns, "_slice", "_hot")
+    )
+
+
+def with_position(df: DataFrame, keys: list[str], order: list[str],
+                  limit: int = HOT_GROUP_ROWS, keep_slice: bool = False) -> DataFrame:
+    """Add ``position``: the exact 1-based place of a row in its group."""
+    sliced = slice_hot_groups(df, keys, order, limit)
+    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    up_to_here = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = (
+        sliced.where("_hot").groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_offset", F.sum("_rows").over(up_to_here))
+        .select(*keys, "_slice", "_offset")
+    )
+    placed = (
+        sliced.withColumn("_local", F.row_number().over(within))
+        .join(F.broadcast(offsets), [*keys, "_slice"], "left")
+        .withColumn("position", F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
+    )
+    extra = ["_slice", "_local"] if keep_slice else []
+    return placed.select(*df.columns, "position", *extra)
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
+                  limit: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Add ``previous_<column>`` from the row before, across slice borders as well."""
+    sliced = slice_hot_groups(df, keys, order, limit)
+    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    by_slice = Window.partitionBy(*keys).orderBy("_slice")
+    carried = F.struct(*columns)
+    borders = (
+        sliced.where("_hot").groupBy(*keys, "_slice")
+        .agg(F.max_by(carried, F.struct(*order)).alias("_last"))
+        .select(*keys, "_slice", F.lag("_last").over(by_slice).alias("_border"))
+    )
+    return (
+        sliced.withColumn("_lagged", F.lag(carried).over(within))
+        .join(F.broadcast(borders), [*keys, "_slice"], "left")
+        .withColumn("_previous", F.coalesce("_lagged", "_border"))
+        .select(*df.columns, *[F.col(f"_previous.{c}").alias(f"previous_{c}") for c in columns])
+    )
+
+
+def collect_in_order(df: DataFrame, keys: list[str], order: list[str], item: Column,
+                     name: str, max_items: int, limit: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Groups as ordered arrays of at most ``max_items``: keys, ``first_position``, array.
+
+    A longer group becomes several rows; nothing is dropped. Items keep their position, so
+    rows of a group line up by ``first_position``.
+    """
+    placed = with_position(df, keys, order, limit, keep_slice=True)
+    piece = F.floor((F.col("_local") - 1) / F.lit(max_items)).alias("_piece")
+    return (
+        placed.withColumn("_item", F.struct(F.col("position"), item.alias("value")))
+        .groupBy(*keys, "_slice", piece)
+        .agg(F.min("position").alias("first_position"),
+             F.sort_array(F.collect_list("_item")).alias("_items"))
+        .select(*keys, "first_position",
+                F.transform("_items", lambda x: x["value"]).alias(name))
+    )
