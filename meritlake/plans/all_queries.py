@@ -1,4 +1,4 @@
 """Loads every query module and hands out the registry."""
 
-from meritlake.plans import catalog_relational  # noqa: F401
+from meritlake.plans import catalog_relational, catalog_text  # noqa: F401
 from meritlake.plans.catalog import oracles, queries  # noqa: F401
