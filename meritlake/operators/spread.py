@@ -1,13 +1,16 @@
 """Ordered work inside groups of any size.
 
-A plain window puts a whole group into one task. Here groups above ``limit`` rows are first
-cut into slices along their order, so a group holding a third of the table is still sorted
-by many tasks, and what must cross a slice border (an offset, a last row) is carried by a
-small table. Slices depend on the data only, so a task that is run again gets the same ones.
-
-Sizes: at most ``rows / limit`` groups are hot, and one row in ``limit / 2`` becomes a cut
-point, so every table broadcast here has at most about ``2 * rows / limit`` entries
-(2 million for 10^12 rows at the default limit).
+A plain window puts a whole group into one task. That is fine while every group is small, so
+group sizes are counted first (a map-side combined count over the key columns, of which one
+yes or no comes back). Only if some group exceeds ``limit`` rows is the input written once to
+the shared working folder and are hot groups cut into slices along their order. A group
+holding a third of the table is then sorted by many tasks, and what must cross a slice border
+(an offset, a last row) is carried by a small table.
+
+Slices depend on the data only, so a task that is run again gets the same ones. At most
+``rows / limit`` groups are hot, and one row in ``limit / 2`` becomes a cut point, so every
+table broadcast here has at most about ``2 * rows / limit`` entries (2 million for 10^12 rows
+at the default limit).
 """
 
 from __future__ import annotations
@@ -15,9 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meritlake.session import work_folder
+
 HOT_GROUP_ROWS = 1_000_000
 
 
+def has_hot_groups(df: DataFrame, keys: list[str], limit: int) -> bool:
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).isEmpty()
+
+
+def _written_once(df: DataFrame) -> DataFrame:
+    """The input as a table all executors can read, so slicing does not compute it again."""
+    path = work_folder(df.sparkSession, "hot-groups")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def newest_first(ts: str) -> Column:
     """Ascending key for 'newest first, null before all'."""
     return -F.unix_micros(F.col(ts).cast("timestamp"))
@@ -65,7 +81,12 @@ def slice_hot_groups(df: DataFrame, keys: list[str], order: list[str],
 def with_position(df: DataFrame, keys: list[str], order: list[str],
                   limit: int = HOT_GROUP_ROWS, keep_slice: bool = False) -> DataFrame:
     """Add ``position``: the exact 1-based place of a row in its group."""
-    sliced = slice_hot_groups(df, keys, order, limit)
+    extra = ["_slice", "_local"] if keep_slice else []
+    if not has_hot_groups(df, keys, limit):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        placed = df.withColumns({"position": F.row_number().over(whole).cast("long"), "_slice": F.lit(0)})
+        return placed.withColumn("_local", F.col("position")).select(*df.columns, "position", *extra)
+    sliced = slice_hot_groups(_written_once(df), keys, order, limit)
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
     up_to_here = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -79,14 +100,16 @@ def with_position(df: DataFrame, keys: list[str], order: list[str],
         .join(F.broadcast(offsets), [*keys, "_slice"], "left")
         .withColumn("position", F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
     )
-    extra = ["_slice", "_local"] if keep_slice else []
     return placed.select(*df.columns, "position", *extra)
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
                   limit: int = HOT_GROUP_ROWS) -> DataFrame:
     """Add ``previous_<column>`` from the row before, across slice borders as well."""
-    sliced = slice_hot_groups(df, keys, order, limit)
+    if not has_hot_groups(df, keys, limit):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({f"previous_{c}": F.lag(c).over(whole) for c in columns})
+    sliced = slice_hot_groups(_written_once(df), keys, order, limit)
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
     carried = F.struct(*columns)

@@ -191,11 +191,11 @@ def company_rollup(certificates, positions, verdicts) -> DataFrame:
     )
 
 
-def company_issues(positions, verdicts) -> DataFrame:
-    """One issue per position at a bad company."""
+def company_issues(positions, verdicts, keep: list[str] | None = None) -> DataFrame:
+    """One issue per position at a bad company, with the position columns in ``keep``."""
     judged = _judged(positions, verdicts).where("counts_as_bad")
     return judged.select(
-        "certificate_id", F.inline(F.array(company_issue(F.col("employer"), F.col("company.status")))))
+        "certificate_id", *(keep or []), F.inline(F.array(company_issue(F.col("employer"), F.col("company.status")))))
 
 
 def combine_documents(main_texts: DataFrame, documents: DataFrame, order: list[str],

@@ -48,10 +48,12 @@ def stream_evaluate(arrivals: DataFrame, evaluate: Callable[[DataFrame], DataFra
     again after a failure, are held off by an anti-join with the decisions already stored.
     """
     def write(batch: DataFrame, _batch_id: int) -> None:
-        decided = evaluate(batch)
-        done = _stored(batch.sparkSession, output, decided.schema).select("certificate_id")
-        fresh = batch.join(done, "certificate_id", "left_anti")
-        evaluate(fresh).write.mode("append").parquet(output)
+        batch.persist()
+        if not batch.isEmpty():
+            done = _stored(batch.sparkSession, output, batch.select("certificate_id").schema)
+            fresh = batch.join(done, "certificate_id", "left_anti")
+            evaluate(fresh).write.mode("append").parquet(output)
+        batch.unpersist()
 
     return (
         once_per_certificate(arrivals, event_time, delay)
