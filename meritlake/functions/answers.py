@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritlake import constants as K
+from meritlake.functions.binding import let
 from meritlake.functions.text import strip
 from meritlake.schemas import POSITION
 
@@ -31,7 +32,7 @@ def parse_object(text: Column) -> Column:
     """
     wrapped = F.from_json(
         F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT)
-    return F.when(F.size(wrapped) == 1, wrapped[0])
+    return let(wrapped, lambda objects: F.when(F.size(objects) == 1, objects[0]))
 
 
 def repair_json(text: Column) -> Column:
@@ -140,19 +141,19 @@ def alias_targets() -> list[str]:
 
 
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
-    test = text.contains(phrases[0])
-    for phrase in phrases[1:]:
-        test = test | text.contains(phrase)
-    return test
+    """One pass over the text for all phrases."""
+    return text.rlike("|".join(rf"\Q{phrase}\E" for phrase in phrases))
 
 
 def relevance_category(description: Column) -> Column:
     """Free text -> low, high or medium by the first rule with a phrase in it; default low."""
-    lowered = F.lower(description)
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for level, phrases in K.RELEVANCE_RULES:
-        chain = chain.when(contains_any(lowered, phrases), F.lit(level))
-    return chain.otherwise(F.lit("low"))
+    def by_rules(lowered: Column) -> Column:
+        chain = F.when(F.lit(False), F.lit(None).cast("string"))
+        for level, phrases in K.RELEVANCE_RULES:
+            chain = chain.when(contains_any(lowered, phrases), F.lit(level))
+        return chain.otherwise(F.lit("low"))
+
+    return let(F.lower(description), by_rules)
 
 
 def degree_relevance(fields: Column) -> Column:
@@ -176,19 +177,23 @@ def infer_decision(fields: Column, echoed_type: Column) -> Column:
     """The stated decision, or one read from the recommendation; REJECTED without either."""
     stated = first_present(fields, ["decision", "Decision"])
     stated_key = has(fields, "decision") | has(fields, "Decision")
-    advice = F.lower(F.nullif(first_present(fields, ["Recommendation", "recommendation"]), F.lit("")))
+    advice_text = F.lower(F.nullif(first_present(fields, ["Recommendation", "recommendation"]), F.lit("")))
     wants_professional = F.lower(echoed_type) == "professional"
     accepted, rejected = F.lit("ACCEPTED"), F.lit("REJECTED")
-    read = F.when(advice.isNull(), rejected).otherwise(
-        F.when(advice.contains("general training"),
-               F.when(wants_professional, rejected).otherwise(accepted))
-        .when(advice.contains("professional training"), accepted)
-        .when(contains_any(advice, ("reject", "deny")), rejected)
-        .when(contains_any(advice, ("accept", "approve")), accepted)
-        .when(wants_professional & advice.contains("general"), rejected)
-        .otherwise(accepted)
-    )
-    return F.when(stated_key, F.coalesce(stated, rejected)).otherwise(read)
+
+    def read(advice: Column) -> Column:
+        return (
+            F.when(advice.isNull(), rejected)
+            .when(advice.contains("general training"),
+                  F.when(wants_professional, rejected).otherwise(accepted))
+            .when(advice.contains("professional training"), accepted)
+            .when(contains_any(advice, ("reject", "deny")), rejected)
+            .when(contains_any(advice, ("accept", "approve")), accepted)
+            .when(wants_professional & advice.contains("general"), rejected)
+            .otherwise(accepted)
+        )
+
+    return F.when(stated_key, F.coalesce(stated, rejected)).otherwise(let(advice_text, read))
 
 
 def normalise_justification(fields: Column) -> Column:

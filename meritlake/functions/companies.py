@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritlake import constants as K
+from meritlake.functions.binding import let
 from meritlake.functions.answers import contains_any, parse_object
 from meritlake.functions.text import strip
 from meritlake.schemas import COMPANY_ANSWER
@@ -29,9 +30,11 @@ def _texts(*values: str) -> Column:
     return F.array(*[F.lit(value) for value in values])
 
 
-def paragraph_evidence(text: Column) -> Column:
-    """Evidence lines a paragraph gives rise to, or the default list."""
-    low = F.lower(text)
+def paragraph_evidence(text: Column, low: Column) -> Column:
+    """Evidence lines a paragraph gives rise to, or the default list (wordings are fixed values).
+
+    ``low`` is the text in lower case, here and below.
+    """
     website = F.when(
         low.contains("website"),
         F.when(text.contains("teboil.fi"), F.lit("Website: teboil.fi (official company website)"))
@@ -55,24 +58,28 @@ def paragraph_evidence(text: Column) -> Column:
     media = F.when(
         contains_any(low, ("news", "article")), F.lit("Media: News articles and media coverage found"))
     found = F.array_compact(F.array(website, registry, address, industry, media))
-    return F.when(F.size(found) > 0, found).otherwise(_texts(*K.DEFAULT_COMPANY_EVIDENCE))
+    return let(found, lambda lines: F.when(F.size(lines) > 0, lines).otherwise(
+        _texts(*K.DEFAULT_COMPANY_EVIDENCE)))
 
 
-def paragraph_answer(text: Column) -> Column:
+def paragraph_answer(text: Column, low: Column) -> Column:
     """Legitimate unless a suspicious word occurs anywhere, even inside another word."""
-    bad = contains_any(F.lower(text), K.SUSPICIOUS_WORDS)
-    return _answer(
+    return let(contains_any(low, K.SUSPICIOUS_WORDS), lambda bad: _answer(
         F.when(bad, F.lit("NOT_LEGITIMATE")).otherwise(F.lit("LEGITIMATE")),
         F.when(bad, F.lit("low")).otherwise(F.lit("high")),
         F.when(bad, F.lit("high")).otherwise(F.lit("very_low")),
-        strip(text), paragraph_evidence(text), bad,
-    )
+        strip(text), paragraph_evidence(text, low), bad,
+    ))
 
 
-def last_resort_answer(text: Column) -> Column:
+def last_resort_answer(text: Column, low: Column) -> Column:
     """For answers whose JSON is broken: positive words win over suspicious ones."""
-    low = F.lower(text)
-    good, bad = contains_any(low, K.POSITIVE_WORDS), contains_any(low, K.SUSPICIOUS_WORDS)
+    words = F.struct(contains_any(low, K.POSITIVE_WORDS).alias("good"),
+                     contains_any(low, K.SUSPICIOUS_WORDS).alias("bad"))
+    return let(words, lambda w: _last_resort(text, w["good"], w["bad"]))
+
+
+def _last_resort(text: Column, good: Column, bad: Column) -> Column:
     legitimate = good | ~bad
     return _answer(
         F.when(legitimate, F.lit("LEGITIMATE")).otherwise(F.lit("NOT_LEGITIMATE")),
@@ -133,13 +140,14 @@ def parse_company_answers(df: DataFrame, answer: str) -> DataFrame:
                                       {"allowSingleQuotes": "false"})) == 1).alias("_is_value"),
             F.when(F.col("_json").isNull(), parse_object(F.col("_cut"))).alias("_sliced"),
         )
-        .select("*", path.alias("answer_path"))
+        .select("*", path.alias("answer_path"), F.lower(raw).alias("_low"))
     )
+    low = F.col("_low")
     way = F.col("answer_path")
     company = (
         F.when(way.isin("json", "sliced"), _from_fields(F.coalesce(F.col("_json"), F.col("_sliced"))))
-        .when(way == "paragraph", paragraph_answer(raw))
-        .when(way == "last_resort", last_resort_answer(raw))
+        .when(way == "paragraph", paragraph_answer(raw, low))
+        .when(way == "last_resort", last_resort_answer(raw, low))
         .otherwise(unverified_answer())
         .cast(COMPANY_ANSWER)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from meritlake import constants as K
+from meritlake.functions.binding import let
 from meritlake.functions.text import strip
 
 
@@ -14,8 +15,9 @@ def parse_finnish_date(text: Column) -> Column:
     iso = F.regexp_replace(
         strip(text), r"^(\d{1,2})\s*\.\s*(\d{1,2})\s*\.\s*(\d{4})$", "$3-$2-$1")
     iso = F.regexp_replace(iso, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1")
-    return F.when(
-        iso.rlike(r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(iso, "yyyy-M-d"))
+    # anything else comes out of the extraction as '', which is no date
+    return F.try_to_date(
+        F.regexp_extract(iso, r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$", 0), "yyyy-M-d")
 
 
 def iso(date: Column) -> Column:
@@ -36,8 +38,15 @@ def date_range_problem(start: Column, end: Column) -> Column:
 
 def parse_and_validate_dates(start: Column, end: Column, as_of: Column) -> Column:
     """Raw and parsed start and end with errors (unreadable, reversed) and warnings (future)."""
-    raw_start, raw_end = F.nullif(start, F.lit("")), F.nullif(end, F.lit(""))
-    parsed_start, parsed_end = parse_finnish_date(raw_start), parse_finnish_date(raw_end)
+    read = F.struct(
+        F.when(start != "", start).alias("start"), F.when(end != "", end).alias("end"),
+        parse_finnish_date(start).alias("start_parsed"), parse_finnish_date(end).alias("end_parsed"))
+    return let(read, lambda r: _date_findings(r, as_of))
+
+
+def _date_findings(r: Column, as_of: Column) -> Column:
+    raw_start, raw_end = r["start"], r["end"]
+    parsed_start, parsed_end = r["start_parsed"], r["end_parsed"]
 
     def unreadable(label: str, raw: Column, parsed: Column) -> Column:
         return F.when(raw.isNotNull() & parsed.isNull(),
@@ -53,15 +62,15 @@ def parse_and_validate_dates(start: Column, end: Column, as_of: Column) -> Colum
         date_range_problem(parsed_start, parsed_end),
     ))
     warnings = F.array_compact(F.array(future("Start", parsed_start), future("End", parsed_end)))
-    return F.struct(
+    return let(errors, lambda found: F.struct(
         raw_start.alias("start_date"),
         raw_end.alias("end_date"),
         parsed_start.alias("start_date_parsed"),
         parsed_end.alias("end_date_parsed"),
-        (F.size(errors) == 0).alias("is_valid"),
-        errors.alias("errors"),
+        (F.size(found) == 0).alias("is_valid"),
+        found.alias("errors"),
         warnings.alias("warnings"),
-    )
+    ))
 
 
 def iso_or_raw(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from meritlake import constants as K
+from meritlake.functions.binding import let
 
 
 def strip(text: Column) -> Column:
@@ -38,10 +39,10 @@ def sanitize_text(text: Column, limit: int = K.PROMPT_TEXT_LIMIT) -> Column:
     plain = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     plain = F.translate(F.replace(plain, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
     plain = _kept_lines(F.regexp_replace(plain, " +", " "), "\n", 1)
-    cut = F.when(
-        F.length(plain) > limit,
-        F.concat(F.substring(plain, 1, limit), F.lit(K.TRUNCATION_MARKER)),
-    ).otherwise(plain)
+    cut = let(plain, lambda t: F.when(
+        F.length(t) > limit,
+        F.concat(F.substring(t, 1, limit), F.lit(K.TRUNCATION_MARKER)),
+    ).otherwise(t))
     return F.coalesce(strip(cut), F.lit(""))
 
 

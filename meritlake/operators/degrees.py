@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritlake import constants as K
+from meritlake.functions.binding import let
 from meritlake.functions.text import degree_guidelines
 
 Programmes = tuple[tuple[str, str], ...]
@@ -32,23 +33,23 @@ def match_degree(degree: Column, programmes: Programmes = K.DEGREE_PROGRAMMES) -
     lowered = F.lower(degree)
     plain = F.replace(F.regexp_replace(lowered, r"(?U)[^\p{L}\p{N}_\s]", ""), F.lit(" "), F.lit("_"))
     listed = _listed(programmes)
-    return F.coalesce(
-        _first(listed, lambda p: p["lower_name"] == lowered),
-        _first(listed, lambda p: p["key"] == plain),
-        _first(listed, lambda p: p["key"] == lowered),
-        _first(listed, lambda p: p["lower_name"].contains(lowered)),
+    return let(F.struct(lowered.alias("low"), plain.alias("plain")), lambda d: F.coalesce(
+        _first(listed, lambda p: p["lower_name"] == d["low"]),
+        _first(listed, lambda p: p["key"] == d["plain"]),
+        _first(listed, lambda p: p["key"] == d["low"]),
+        _first(listed, lambda p: p["lower_name"].contains(d["low"])),
         F.lit("general"),
-    )
+    ))
 
 
 def degree_supported(degree: Column, programmes: Programmes = K.DEGREE_PROGRAMMES) -> Column:
     """Known by key or by part of its name; unlike matching, punctuation stays."""
     lowered = F.lower(degree)
     spaced = F.replace(lowered, F.lit(" "), F.lit("_"))
-    return F.coalesce(F.exists(
+    found = let(F.struct(lowered.alias("low"), spaced.alias("spaced")), lambda d: F.exists(
         _listed(programmes),
-        lambda p: (p["key"] == spaced) | (p["key"] == lowered) | p["lower_name"].contains(lowered),
-    ), F.lit(False))
+        lambda p: (p["key"] == d["spaced"]) | (p["key"] == d["low"]) | p["lower_name"].contains(d["low"])))
+    return F.coalesce(found, F.lit(False))
 
 
 def degree_catalogue(keywords: DataFrame, programmes: Programmes = K.DEGREE_PROGRAMMES) -> DataFrame:
@@ -91,8 +92,8 @@ def degree_keyword_score(texts: DataFrame, catalogue: DataFrame, medium_from: in
     """
     words = F.concat("industries", "roles")
     lists = catalogue.select("programme_key", F.array_distinct(F.transform(words, F.lower)).alias("_words"))
-    text = F.lower(F.col("text"))
-    hits = F.size(F.filter("_words", lambda w: F.contains(text, w)))
+    # bound, or the text would be put in lower case once per keyword
+    hits = let(F.lower("text"), lambda text: F.size(F.filter("_words", lambda w: F.contains(text, w))))
     return (
         texts.join(F.broadcast(lists), "programme_key", "left")
         .withColumn("keyword_hits", F.when(F.col("_words").isNull(), F.lit(0)).otherwise(hits))

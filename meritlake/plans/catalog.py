@@ -15,26 +15,28 @@ from meritlake.plans.driver_views import Tables, with_views
 class Query(NamedTuple):
     run: Callable[[Tables], DataFrame]
     oracle: str | None
+    heavy: bool
 
 
 CATALOG: dict[str, Query] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, heavy: bool = False):
+    """Register a query; ``heavy`` ones do so much per row that small inputs are spread first."""
     def register(run: Callable[[Tables], DataFrame]):
         if name in CATALOG:
             raise ValueError(f"query registered twice: {name}")
-        CATALOG[name] = Query(run, with_views(oracle) if oracle else None)
+        CATALOG[name] = Query(run, with_views(oracle) if oracle else None, heavy)
         return run
 
     return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bound(run):
-        return lambda spark, folder: run(Tables(spark, folder))
+    def bound(entry: Query):
+        return lambda spark, folder: entry.run(Tables(spark, folder, entry.heavy))
 
-    return {name: bound(entry.run) for name, entry in CATALOG.items()}
+    return {name: bound(entry) for name, entry in CATALOG.items()}
 
 
 def oracles() -> dict[str, str]:

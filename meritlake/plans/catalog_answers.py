@@ -38,14 +38,14 @@ _ANSWERS = _parsed("answers", "certificate_id")
 
 
 @query("slice_json", f"""
-    WITH {_ANSWERS} SELECT certificate_id, s AS sliced, {_object('s')} IS NOT NULL AS is_object FROM parsed""")
+    WITH {_ANSWERS} SELECT certificate_id, s AS sliced, {_object('s')} IS NOT NULL AS is_object FROM parsed""", heavy=True)
 def _(t):
     sliced = t.answers.select("certificate_id", N.slice_json(F.col("answer")).alias("sliced"))
     return sliced.withColumn("is_object", N.parse_object(F.col("sliced")).isNotNull())
 
 
 @query("repair_json", f"""
-    WITH {_ANSWERS} SELECT certificate_id, r AS repaired, parse_path FROM parsed""")
+    WITH {_ANSWERS} SELECT certificate_id, r AS repaired, parse_path FROM parsed""", heavy=True)
 def _(t):
     return N.parse_answers(t.answers, "answer").select(
         "certificate_id", N.repair_json(N.slice_json(F.col("answer"))).alias("repaired"), "parse_path")
@@ -61,7 +61,7 @@ def _fallback_sql(name: str) -> str:
     SELECT certificate_id, parse_path, {_fallback_sql('employee_name')} AS employee_name,
       {_fallback_sql('employer')} AS employer, {_fallback_sql('position')} AS position,
       CASE WHEN j IS NULL THEN {sql_text(K.FALLBACK_NOTE)} ELSE json_extract_string(j, '$.extraction_notes') END AS extraction_notes
-    FROM parsed""")
+    FROM parsed""", heavy=True)
 def _(t):
     m = F.col("fields")
     return N.parse_answers(t.answers, "answer").select(
@@ -77,7 +77,7 @@ def _(t):
       array_to_string(list_transform(ps, lambda p: coalesce(json_extract_string(p, '$.title'), 'Unknown Position') || '@'
         || coalesce(json_extract_string(p, '$.employer'), 'Unknown Employer') || '@' || json_extract_string(p, '$.start_date')), ';') AS positions,
       CASE WHEN parse_path = 'fallback' THEN 'en' ELSE json_extract_string(j, '$.document_language') END AS document_language
-    FROM items""")
+    FROM items""", heavy=True)
 def _(t):
     parsed = N.parse_answers(t.answers, "answer")
     cleaned = parsed.select("certificate_id", N.clean_extraction(F.col("fields")).alias("x"))
@@ -113,7 +113,7 @@ _ALIASED = ("total_working_hours", "credits_calculated", "justification", "relev
 
 
 @query("alias_evaluation_fields", f"""
-    WITH {_EVALUATIONS} SELECT certificate_id, {', '.join(f'{_alias(n)} AS {n}' for n in _ALIASED)} FROM parsed""")
+    WITH {_EVALUATIONS} SELECT certificate_id, {', '.join(f'{_alias(n)} AS {n}' for n in _ALIASED)} FROM parsed""", heavy=True)
 def _(t):
     parsed = N.parse_answers(t.evaluation_answers, "answer")
     return parsed.select("certificate_id", *[N.alias_field(F.col("fields"), n).alias(n) for n in _ALIASED])
@@ -132,7 +132,7 @@ _RELEVANCE = (f"coalesce(CASE WHEN {_has('degree_relevance')} THEN {_get('degree
 @query("relevance_category", f"""
     WITH {_EVALUATIONS}
     SELECT certificate_id AS id, {_RELEVANCE} AS category FROM parsed
-    UNION ALL SELECT doc_id, {_category_sql('text')} FROM texts""")
+    UNION ALL SELECT doc_id, {_category_sql('text')} FROM texts""", heavy=True)
 def _(t):
     parsed = N.parse_answers(t.evaluation_answers, "answer")
     return parsed.select(F.col("certificate_id").alias("id"), N.degree_relevance(F.col("fields")).alias("category")).unionByName(
@@ -148,7 +148,7 @@ def _evidence_sql(side: str, field: str) -> str:
 @query("split_evidence", f"""
     WITH {_EVALUATIONS}
     SELECT certificate_id, {_evidence_sql('for', 'supporting_evidence')} AS supporting_evidence,
-      {_evidence_sql('against', 'challenging_evidence')} AS challenging_evidence FROM parsed""")
+      {_evidence_sql('against', 'challenging_evidence')} AS challenging_evidence FROM parsed""", heavy=True)
 def _(t):
     m = F.col("fields")
     return N.parse_answers(t.evaluation_answers, "answer").select(
@@ -167,7 +167,7 @@ _DECISION = f"""CASE WHEN {_has('decision')} OR {_has('Decision')} THEN coalesce
       WHEN {_ECHOED} = 'professional' AND contains({_ADVICE}, 'general') THEN 'REJECTED' ELSE 'ACCEPTED' END"""
 
 
-@query("infer_decision", f"WITH {_EVALUATIONS} SELECT certificate_id, {_DECISION} AS decision FROM parsed")
+@query("infer_decision", f"WITH {_EVALUATIONS} SELECT certificate_id, {_DECISION} AS decision FROM parsed", heavy=True)
 def _(t):
     m = F.col("fields")
     return N.parse_answers(t.evaluation_answers, "answer").select(
@@ -182,7 +182,7 @@ _JUSTIFICATION = f"""CASE WHEN {_GIVEN} IS NULL OR {_GIVEN} = '{K.NO_JUSTIFICATI
       ELSE {_GIVEN} END"""
 
 
-@query("normalise_justification", f"WITH {_EVALUATIONS} SELECT certificate_id, {_JUSTIFICATION} AS justification FROM parsed")
+@query("normalise_justification", f"WITH {_EVALUATIONS} SELECT certificate_id, {_JUSTIFICATION} AS justification FROM parsed", heavy=True)
 def _(t):
     return N.parse_answers(t.evaluation_answers, "answer").select(
         "certificate_id", N.normalise_justification(F.col("fields")).alias("justification"))
@@ -197,7 +197,7 @@ def _(t):
       coalesce({_alias('total_working_hours')}, '0') AS total_working_hours,
       CAST(coalesce({_alias('credits_calculated')}, '0.0') AS DOUBLE) AS credits_calculated,
       CAST(coalesce({_get('credits_qualified')}, '0.0') AS DOUBLE) AS credits_qualified
-    FROM parsed""")
+    FROM parsed""", heavy=True)
 def _(t):
     cleaned = N.clean_evaluation(N.parse_answers(t.evaluation_answers, "answer"))
     return cleaned.select(
@@ -261,7 +261,7 @@ def _field(name: str, default: str) -> str:
         ELSE coalesce(json_extract_string(j, '$.requires_review') = 'true', false) END AS requires_review,
       coalesce(CASE answer_path WHEN 'none' THEN false WHEN 'paragraph' THEN {_BAD} WHEN 'last_resort' THEN NOT ({_GOOD} OR NOT {_BAD})
         ELSE {_field('status', 'UNVERIFIED')} IN ('NOT_LEGITIMATE', 'UNVERIFIED') END, false) AS counts_as_bad
-    FROM obj""")
+    FROM obj""", heavy=True)
 def _(t):
     return C.parse_company_answers(t.company_answers, "answer").select(
         "doc_id", "answer_path", "company.status", "company.confidence", "company.risk_level",
@@ -404,7 +404,7 @@ def _bad_text(path: str, nullable: bool) -> str:
     SELECT certificate_id, len(problems) = 0 AS validation_passed, CASE WHEN len(problems) > 0 THEN 'data_type' END AS issue_type,
       CASE WHEN len(problems) > 0 THEN 'Extraction validation failed: ' || array_to_string(problems, '; ')
         ELSE 'Extraction validation passed' END AS summary
-    FROM checked""")
+    FROM checked""", heavy=True)
 def _(t):
     parsed = t.answers.select("certificate_id", F.try_parse_json(N.slice_json(F.col("answer"))).alias("v"))
     checked = parsed.where(F.col("v").isNotNull()).select(
@@ -424,7 +424,7 @@ def _when(condition: str, text: str) -> str:
     SELECT certificate_id, array_to_string(list_filter([
       {_when(f"issued > '{_AS_OF}'", 'certificate_issue_date: in the future')},
       'positions[0].end_date: invalid date', 'positions[1].end_date: in the future'], lambda x: x IS NOT NULL), '; ') AS warnings
-    FROM dated""")
+    FROM dated""", heavy=True)
 def _(t):
     parsed = N.parse_answers(t.answers, "answer").where("parse_path = 'direct'")
     cleaned = parsed.select("certificate_id", N.clean_extraction(F.col("fields")).alias("x"))

@@ -442,7 +442,7 @@ def _results(t):
       count(*) FILTER (detected_language = 'eng') AS english_files,
       CAST(sum(text_length) AS BIGINT) AS total_characters,
       CAST(round_even(sum(text_length) * 1.0 / count(*), 1) AS DOUBLE) AS average_characters
-    FROM results""")
+    FROM results""", heavy=True)
 def _(t):
     return S.batch_summary(_results(t))
 
@@ -453,7 +453,7 @@ def _(t):
     SELECT 'finnish_documents' AS section, NULL::VARCHAR AS item, count(*) AS n FROM fin
     UNION ALL SELECT 'finnish_characters', NULL, CAST(sum(finnish_chars_count) AS BIGINT) FROM results WHERE success
     UNION ALL (SELECT 'finnish_file', file_name, finnish_chars_count FROM fin ORDER BY file_path LIMIT 5)
-    UNION ALL SELECT 'failed', file_path || ': unreadable', NULL FROM results WHERE NOT success""")
+    UNION ALL SELECT 'failed', file_path || ': unreadable', NULL FROM results WHERE NOT success""", heavy=True)
 def _(t):
     return S.finnish_summary(_results(t))
 

@@ -85,7 +85,7 @@ _PLACED_DOCS = f"""placed AS (SELECT doc_id, text, (SELECT key FROM {PROGRAMMES_
     WITH {CATALOGUE_SQL}, {_WORDS_SQL}, {_PLACED_DOCS},
     scored AS (SELECT doc_id, programme_key, CAST({hits_sql('text')} AS INTEGER) AS keyword_hits
       FROM placed JOIN word_lists USING (programme_key))
-    SELECT doc_id, programme_key, keyword_hits, {relevance_sql('keyword_hits')} AS degree_relevance FROM scored""")
+    SELECT doc_id, programme_key, keyword_hits, {relevance_sql('keyword_hits')} AS degree_relevance FROM scored""", heavy=True)
 def _(t):
     texts = t.texts.select("doc_id", "text").unionByName(
         t.extractions.select(F.col("certificate_id").alias("doc_id"), F.col("duties").alias("text")))
@@ -240,7 +240,7 @@ EXTRACT_SQL = f"""extracted AS (SELECT *, {_found_sql(X.EMPLOYEE)} AS employee_n
     WITH prepared AS (SELECT doc_id, text FROM texts), {EXTRACT_SQL}
     SELECT doc_id, employee_name, employer, issue_date, document_language, weekly_hours, percent,
       array_to_string(list_transform(positions, lambda p: coalesce(employer, 'Unknown Employer') || '@' || coalesce(p.a, '')
-        || '..' || coalesce(p.b, '')), ';') AS positions FROM spans""")
+        || '..' || coalesce(p.b, '')), ';') AS positions FROM spans""", heavy=True)
 def _(t):
     fields = X.extract_fields(t.texts.select("doc_id", "text"))
     shown = F.transform("positions", lambda p: F.concat(
@@ -251,7 +251,7 @@ def _(t):
 
 @query("credits_vs_hours", f"""
     SELECT doc_id, CAST({_found_sql(X.WEEKLY_HOURS)} AS DOUBLE) AS weekly_hours,
-      array_to_string({_all_sql(X.CREDIT_NUMBERS, 1)}, ',') AS credit_numbers FROM texts""")
+      array_to_string({_all_sql(X.CREDIT_NUMBERS, 1)}, ',') AS credit_numbers FROM texts""", heavy=True)
 def _(t):
     text = F.col("text")
     return t.texts.select("doc_id", X.stated_weekly_hours(text).alias("weekly_hours"), F.array_join(
@@ -339,7 +339,7 @@ def _(t):
     {_SETTLE_SQL}
     SELECT certificate_id, input_error, employee_name, employer, requested_type, programme_key,
       CAST(total_working_hours AS INTEGER) AS total_working_hours, credits_calculated, credits_qualified, degree_relevance,
-      ai_decision, ai_justification, match_result FROM decided""")
+      ai_decision, ai_justification, match_result FROM decided""", heavy=True)
 def _(t):
     even = F.col("doc_id") % 2 == 0
     texts = t.texts.join(t.students, F.col("student_id") == F.col("doc_id") % 150).select(
@@ -498,7 +498,7 @@ def _reader():
 
 @query("map_with_caller", """
     SELECT doc_id, CASE WHEN length(text) <= 2000 THEN lower(text) END AS answer, length(text) <= 2000 AS success,
-      CASE WHEN length(text) > 2000 THEN 'document too long' END AS error, 'short' AS caller FROM documents""")
+      CASE WHEN length(text) > 2000 THEN 'document too long' END AS error, 'short' AS caller FROM documents""", heavy=True)
 def _(t):
     return map_with_caller(t.documents, "text", ["doc_id"], [("short", _short_only), ("spare", _reader)]).drop("elapsed")
 
@@ -510,7 +510,7 @@ def _(t):
       CASE WHEN NOT failed THEN {language_sql(K.WORKFLOW_KEYWORDS)} END AS detected_language,
       CAST(CASE WHEN failed THEN 0 ELSE length(text) - length(translate(lower(text), 'äöå', '')) END AS INTEGER) AS finnish_chars_count,
       CAST(CASE WHEN failed THEN 0 WHEN {language_sql(K.WORKFLOW_KEYWORDS)} = 'fin' THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence,
-      CASE WHEN failed THEN 'unreadable scan' END AS error FROM read""")
+      CASE WHEN failed THEN 'unreadable scan' END AS error FROM read""", heavy=True)
 def _(t):
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     documents = t.texts.select(F.concat_ws("/", "source", name).alias("path"), name.alias("file_name"),

@@ -19,12 +19,12 @@ AS_OF = "2000-06-30"
 # --- text -------------------------------------------------------------------------------------
 
 
-@query("clean_text", f"SELECT doc_id, {sql_lines('text', K.LINE_BREAK_CLASS, 1)} AS cleaned FROM texts")
+@query("clean_text", f"SELECT doc_id, {sql_lines('text', K.LINE_BREAK_CLASS, 1)} AS cleaned FROM texts", heavy=True)
 def _(t):
     return t.texts.select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query("clean_ocr_text", f"SELECT doc_id, {sql_lines('text', chr(92) + 'n', 3)} AS cleaned FROM texts")
+@query("clean_ocr_text", f"SELECT doc_id, {sql_lines('text', chr(92) + 'n', 3)} AS cleaned FROM texts", heavy=True)
 def _(t):
     return t.texts.select("doc_id", T.clean_ocr_text(F.col("text")).alias("cleaned"))
 
@@ -37,7 +37,7 @@ SANITIZED_SQL = sql_lines(f"regexp_replace({_PLAIN_SQL}, ' +', ' ', 'g')", chr(9
 @query("sanitize_text", f"""
     WITH plain AS (SELECT doc_id, {SANITIZED_SQL} AS s FROM texts)
     SELECT doc_id, {sql_strip(f"CASE WHEN length(s) > {K.PROMPT_TEXT_LIMIT} THEN substr(s, 1, {K.PROMPT_TEXT_LIMIT}) || chr(10) || chr(10) || '[Text truncated due to length]' ELSE s END")} AS sanitized
-    FROM plain""")
+    FROM plain""", heavy=True)
 def _(t):
     return t.texts.select("doc_id", T.sanitize_text(F.col("text")).alias("sanitized"))
 
@@ -75,7 +75,7 @@ def _spacing_sql() -> str:
     return sql_strip(sql)
 
 
-@query("fix_word_spacing", f"SELECT doc_id, {_spacing_sql()} AS spaced FROM texts")
+@query("fix_word_spacing", f"SELECT doc_id, {_spacing_sql()} AS spaced FROM texts", heavy=True)
 def _(t):
     return t.texts.select("doc_id", T.fix_word_spacing(F.col("text")).alias("spaced"))
 
@@ -87,7 +87,7 @@ def language_sql(keywords) -> str:
 
 @query("detect_language", f"""
     SELECT doc_id, {language_sql(K.WORKFLOW_KEYWORDS)} AS workflow_language,
-      {language_sql(K.OCR_KEYWORDS)} AS ocr_language FROM texts""")
+      {language_sql(K.OCR_KEYWORDS)} AS ocr_language FROM texts""", heavy=True)
 def _(t):
     text = F.col("text")
     return t.texts.select("doc_id", T.detect_language(text).alias("workflow_language"),
@@ -194,7 +194,7 @@ def normal_sql(column: str) -> str:
 
 @query("normalize_name", f"""
     SELECT certificate_id AS id, employee_name AS name, {normal_sql('employee_name')} AS normal FROM extractions
-    UNION ALL SELECT doc_id, employee, {normal_sql('employee')} FROM (SELECT doc_id, source || ' ' || text AS employee FROM texts)""")
+    UNION ALL SELECT doc_id, employee, {normal_sql('employee')} FROM (SELECT doc_id, source || ' ' || text AS employee FROM texts)""", heavy=True)
 def _(t):
     names = t.extractions.select(F.col("certificate_id").alias("id"), F.col("employee_name").alias("name")).unionByName(
         t.texts.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "text").alias("name")))
@@ -277,13 +277,13 @@ def date_sql(column: str) -> str:
             f"THEN strftime(try_strptime({iso}, '%Y-%m-%d'), '%Y-%m-%d') END")
 
 
-@query("parse_finnish_date", f"WITH {_WRITTEN_SQL} SELECT o_orderkey, written, {date_sql('written')} AS parsed FROM written")
+@query("parse_finnish_date", f"WITH {_WRITTEN_SQL} SELECT o_orderkey, written, {date_sql('written')} AS parsed FROM written", heavy=True)
 def _(t):
     return _written(t).select("o_orderkey", "written", D.iso(D.parse_finnish_date(F.col("written"))).alias("parsed"))
 
 
 @query("is_future_date", f"""
-    WITH {_WRITTEN_SQL} SELECT o_orderkey, coalesce({date_sql('written')} > '{AS_OF}', false) AS is_future FROM written""")
+    WITH {_WRITTEN_SQL} SELECT o_orderkey, coalesce({date_sql('written')} > '{AS_OF}', false) AS is_future FROM written""", heavy=True)
 def _(t):
     return _written(t).select("o_orderkey", D.is_future_date(
         D.parse_finnish_date(F.col("written")), F.lit(AS_OF).cast("date")).alias("is_future"))
@@ -317,7 +317,7 @@ def _(t):
         CASE WHEN pb > '{AS_OF}' THEN 'End date ' || pb || ' is in the future' END], lambda x: x IS NOT NULL) AS warnings
       FROM parsed)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, pa AS start_parsed, pb AS end_parsed, len(errors) = 0 AS is_valid,
-      array_to_string(errors, '; ') AS errors, array_to_string(warnings, '; ') AS warnings FROM found""")
+      array_to_string(errors, '; ') AS errors, array_to_string(warnings, '; ') AS warnings FROM found""", heavy=True)
 def _(t):
     pairs = t.lineitem.join(_written(t), F.col("l_orderkey") == F.col("o_orderkey"))
     end = F.when(F.col("l_tax") > 0.01, F.date_format("l_shipdate", "d.M.yyyy")).when(F.col("l_tax") > 0, F.lit(""))
@@ -333,7 +333,7 @@ def _(t):
     WITH {_WRITTEN_SQL}
     SELECT o_orderkey, coalesce({date_sql('written')}, written) AS issue_date,
       coalesce({date_sql('written')}, written) || '..' || strftime(d + 30, '%Y-%m-%d') || ',n/a..' AS positions
-    FROM written""")
+    FROM written""", heavy=True)
 def _(t):
     def position(start, end):
         return F.struct(start.alias("start_date"), end.alias("end_date"))
@@ -372,7 +372,7 @@ def _(t):
 
 @query("hours_problem", """
     SELECT certificate_id, CASE WHEN certificate_id % 5 = 4 THEN 'Working hours are not a number: 1040 hours' END AS problem
-    FROM evaluation_answers""")
+    FROM evaluation_answers""", heavy=True)
 def _(t):
     from meritlake.functions.answers import clean_evaluation, parse_answers
 

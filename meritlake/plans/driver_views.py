@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meritlake.sources.tables import spread_few_splits
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 EMAIL_DOMAIN = "students.example.org"
@@ -268,11 +270,12 @@ def with_views(sql: str) -> str:
 class Tables:
     """Base tables and views of one data folder as DataFrames."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, heavy: bool = False) -> None:
+        self.spark, self.folder, self.heavy = spark, folder.rstrip("/"), heavy
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_few_splits(table) if self.heavy else table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:

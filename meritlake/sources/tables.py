@@ -14,6 +14,17 @@ def read_entity(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.schema(ENTITY_SCHEMAS[name]).parquet(path)
 
 
+def spread_few_splits(scan: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one task per core.
+
+    For work that costs far more per row than a shuffle, such as chains of patterns over long
+    texts. Large tables have more splits than cores and are left as they are. Filters and
+    column choice still reach the files through the exchange. ``scan`` must be a plain read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def list_view(table: DataFrame) -> DataFrame:
     """Without file bytes and extracted text."""
     return table.drop("file_content", "ocr_output")
