@@ -15,7 +15,10 @@ from meritlake.sources.calls import Call, map_with_caller
 
 def scan_document_inventory(spark: SparkSession, folder: str,
                             suffixes: tuple[str, ...] = K.UPLOAD_SUFFIXES) -> DataFrame:
-    """Files below a folder with an allowed suffix, by path. File bytes are not read."""
+    """Files below a folder with an allowed suffix, by path. File bytes are not read.
+
+    Spark's file source leaves out files of zero bytes; uploads refuse them as well.
+    """
     return (
         _files(spark, folder, suffixes).select("path", "file_name", "size", "suffix").orderBy("path")
     )

@@ -1,0 +1,86 @@
+"""Hot groups: the sliced way must give exactly what a plain loop gives."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from meritlake.operators import spread
+from meritlake.operators.ordered import timeline_check
+from meritlake.operators.statistics import combine_documents
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    random.seed(7)
+    rows = [(0, random.randrange(40), i, i * 3) for i in range(700)]
+    rows += [(key, random.randrange(40), i, i) for key in range(1, 30) for i in range(random.randrange(1, 12))]
+    random.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "k int, o int, id int, v int").repartition(5)
+
+
+def grouped(rows):
+    groups = {}
+    for row in sorted(rows):
+        groups.setdefault(row[0], []).append(row)
+    return groups
+
+
+@pytest.mark.parametrize("limit", [20, 60, 10_000])
+def test_position(skewed, limit):
+    rows, frame = skewed
+    got = {(r.k, r.id, r.o): r.position for r in spread.with_position(frame, ["k"], ["o", "id"], limit).collect()}
+    want = {(r[0], r[2], r[1]): i for g in grouped(rows).values() for i, r in enumerate(g, 1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("limit", [20, 60, 10_000])
+def test_previous(skewed, limit):
+    rows, frame = skewed
+    got = {(r.k, r.id, r.o): r.previous_v
+           for r in spread.with_previous(frame, ["k"], ["o", "id"], ["v"], limit).collect()}
+    want = {(r[0], r[2], r[1]): (g[i - 1][3] if i else None) for g in grouped(rows).values() for i, r in enumerate(g)}
+    assert got == want
+
+
+@pytest.mark.parametrize("limit", [20, 10_000])
+def test_pieces_are_whole_and_bounded(skewed, limit):
+    rows, frame = skewed
+    pieces = spread.collect_in_order(frame, ["k"], ["o", "id"], F.col("id"), "ids", 15, limit).collect()
+    assert max(len(p.ids) for p in pieces) <= 15
+    joined = {}
+    for piece in sorted(pieces, key=lambda p: (p.k, p.first_position)):
+        assert piece.first_position == len(joined.get(piece.k, [])) + 1
+        joined.setdefault(piece.k, []).extend(piece.ids)
+    assert joined == {k: [r[2] for r in g] for k, g in grouped(rows).items()}
+
+
+def test_hot_group_is_cut(skewed):
+    _, frame = skewed
+    sliced = spread.slice_hot_groups(frame, ["k"], ["o", "id"], 20)
+    sizes = {(r.k, r._slice): r["count"] for r in sliced.groupBy("k", "_slice").count().collect()}
+    assert len([1 for k, _ in sizes if k == 0]) > 20
+    assert {s for k, s in sizes if k != 0} == {0}
+
+
+def test_timeline_across_slices(spark, skewed):
+    rows, frame = skewed
+    positions = frame.select(
+        F.col("k").alias("certificate_id"), "id", F.date_add(F.lit("2000-01-01").cast("date"), "o").alias("start_date"),
+        F.date_add(F.lit("2000-01-01").cast("date"), F.col("o") + F.col("v") % 5).alias("end_date"))
+    plain = timeline_check(positions, ["id"], 2).collect()
+    cut = timeline_check(positions, ["id"], 2, limit=20).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, cut))
+
+
+def test_combined_text_of_a_hot_certificate(spark):
+    docs = spark.createDataFrame([(1, i, "T", f"f{i}", f"text {i}") for i in range(60)] + [(2, 0, None, None, "only")],
+                                 "certificate_id int, n int, document_type string, filename string, ocr_text string")
+    main = spark.createDataFrame([(1, "main"), (2, "main"), (3, "main")], "certificate_id int, text string")
+    rows = combine_documents(main, docs, ["n"], max_items=7, limit=10).orderBy("certificate_id", "first_position").collect()
+    whole = "".join(r.combined_text for r in rows if r.certificate_id == 1)
+    assert whole == "MAIN CERTIFICATE:\nmain\n\n" + "".join(
+        f"ADDITIONAL DOCUMENT {i + 1} (T - f{i}):\ntext {i}\n\n" for i in range(60))
+    assert [r.combined_text for r in rows if r.certificate_id == 2] == [
+        "MAIN CERTIFICATE:\nmain\n\nADDITIONAL DOCUMENT 1 (ADDITIONAL_DOCUMENT - document_1):\nonly\n\n"]
+    assert [r.combined_text for r in rows if r.certificate_id == 3] == ["MAIN CERTIFICATE:\nmain\n\n"]
