@@ -129,8 +129,8 @@ def reviewer_worklist(decisions, certificates, students, reviewer_id=None) -> Da
                & F.col("student_id").isNotNull())
         .withColumns({
             "ai_justification": F.coalesce("ai_justification", F.lit("")),
-            "ai_decision": F.coalesce("ai_decision", F.lit("REJECTED")),
-            "training_type": F.coalesce("training_type", F.lit("GENERAL")),
+            "ai_decision": F.coalesce(F.nullif("ai_decision", F.lit("")), F.lit("REJECTED")),
+            "training_type": F.coalesce(F.nullif("training_type", F.lit("")), F.lit("GENERAL")),
             "filename": F.coalesce("filename", F.lit("")),
             "filetype": F.coalesce("filetype", F.lit("")),
             "email": F.coalesce("email", F.lit("")),
@@ -180,7 +180,8 @@ def certificate_status(certificates, decisions) -> DataFrame:
     done = F.col("decision_id").isNotNull()
 
     def when_done(column: str, default) -> Column:
-        return F.when(done, F.coalesce(column, F.lit(default))).alias(column)
+        given = F.nullif(F.col(column), F.lit("")) if isinstance(default, str) else F.col(column)
+        return F.when(done, F.coalesce(given, F.lit(default))).alias(column)
 
     return certificates.select("certificate_id").join(
         decisions.select("certificate_id", "decision_id", "ai_decision", "ai_justification",

@@ -82,20 +82,26 @@ def keyword_relevance(hits: Column, medium_from: int = 1, high_from: int = 3) ->
     )
 
 
+MAX_BROADCAST_KEYWORDS = 500_000
+
+
 def degree_keyword_score(texts: DataFrame, catalogue: DataFrame, medium_from: int = 1,
                          high_from: int = 3) -> DataFrame:
     """Number of the programme's keywords found in each text, and the relevance from it.
 
     ``texts``: programme_key, text and any other columns. The catalogue has one row per
-    programme (36) and travels to the texts; texts are never shuffled or multiplied.
+    programme; while it holds few keywords in all (the count is checked) it travels to the
+    texts, which are then neither shuffled nor multiplied. A larger one is joined by key.
     Our own rule: the thresholds are arguments.
     """
     words = F.concat("industries", "roles")
     lists = catalogue.select("programme_key", F.array_distinct(F.transform(words, F.lower)).alias("_words"))
+    total = lists.agg(F.coalesce(F.sum(F.size("_words")), F.lit(0)).alias("n")).first()["n"]
+    small = total <= MAX_BROADCAST_KEYWORDS
     # bound, or the text would be put in lower case once per keyword
     hits = let(F.lower("text"), lambda text: F.size(F.filter("_words", lambda w: F.contains(text, w))))
     return (
-        texts.join(F.broadcast(lists), "programme_key", "left")
+        texts.join(F.broadcast(lists) if small else lists, "programme_key", "left")
         .withColumn("keyword_hits", F.when(F.col("_words").isNull(), F.lit(0)).otherwise(hits))
         .withColumn("degree_relevance", keyword_relevance(F.col("keyword_hits"), medium_from, high_from))
         .drop("_words")

@@ -17,14 +17,18 @@ def _or(value: Column, default) -> Column:
 
 
 def flatten_decision(df: DataFrame, workflow: str = "workflow") -> DataFrame:
-    """One flat decision row per nested workflow, with defaults; the nested form stays as JSON.
+    """One flat decision row per successful workflow, with defaults; the nested form stays as JSON.
 
-    Anything but ACCEPTED is stored as REJECTED.
+    Anything but ACCEPTED is stored as REJECTED. The company block may also stand directly in
+    the validation stage. Failed workflows give no decision, see :func:`failed_workflows`.
     """
     w = F.col(workflow)
     evaluation, extraction = w["evaluation_results"]["results"], w["extraction_results"]["results"]
-    validation = w["validation_results"]["results"]
-    company, person = validation["company_validation"], validation["name_validation"]
+    stage = w["validation_results"]
+    validation = stage["results"]
+    company = F.when(validation.isNotNull(), validation["company_validation"]).otherwise(
+        stage["company_validation"])
+    person = validation["name_validation"]
     company_status = _or(company["status"], "UNVERIFIED")
     company_text = (
         F.when(company.isNull(), F.lit("No company validation data available"))
@@ -32,7 +36,7 @@ def flatten_decision(df: DataFrame, workflow: str = "workflow") -> DataFrame:
         .otherwise(F.concat(F.lit("Overall Status: "), company_status,
                             F.lit("\nNo individual company details available.")))
     )
-    return df.select(
+    return df.where(w["success"]).select(
         *[c for c in df.columns if c != workflow],
         F.when(evaluation["decision"] == "ACCEPTED", F.lit("ACCEPTED"))
         .otherwise(F.lit("REJECTED")).alias("ai_decision"),
@@ -53,6 +57,13 @@ def flatten_decision(df: DataFrame, workflow: str = "workflow") -> DataFrame:
     )
 
 
+def failed_workflows(df: DataFrame, workflow: str = "workflow") -> DataFrame:
+    """Rows whose workflow did not succeed, with its error."""
+    w = F.col(workflow)
+    return df.where(~F.coalesce(w["success"], F.lit(False))).select(
+        *[c for c in df.columns if c != workflow], _or(w["error"], "Unknown error").alias("error"))
+
+
 def _or_empty(array: Column) -> Column:
     return F.when(array.isNull(), F.array()).otherwise(array)
 

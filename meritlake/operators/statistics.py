@@ -88,7 +88,10 @@ def batch_summary(results: DataFrame) -> DataFrame:
 
 
 def finnish_summary(results: DataFrame, shown: int = 5) -> DataFrame:
-    """(section, item, n): Finnish totals, the first names by path, and every failure."""
+    """(section, item, n): Finnish totals, the first names by path, and every failure.
+
+    Reads ``results`` once per section, so they should be a stored table.
+    """
     finnish = F.col("success") & (
         (F.col("finnish_chars_count") > 0) | F.coalesce(F.col("detected_language") == "fin", F.lit(False)))
     totals = results.agg(
@@ -134,6 +137,17 @@ def schema_report(tables: dict[str, DataFrame]) -> DataFrame:
         rows, "table_name string, column_name string, data_type string, nullable boolean, ordinal int")
 
 
+def column_fill(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows and filled values per table and column, each table scanned once."""
+    def one(name: str, df: DataFrame) -> DataFrame:
+        counted = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in df.columns])
+        return counted.select(F.lit(name).alias("table_name"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("n_rows"), F.col(c).alias("n_filled"))
+            for c in df.columns])))
+
+    return reduce(DataFrame.unionByName, [one(name, df) for name, df in tables.items()])
+
+
 def employment_totals(positions: DataFrame) -> DataFrame:
     """Days of all positions (overlaps counted twice, reversed ones negative) and years."""
     days = F.coalesce(F.sum(F.datediff("end_date", "start_date")), F.lit(0)).cast("long")

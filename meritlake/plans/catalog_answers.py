@@ -394,20 +394,24 @@ def _bad_text(path: str, nullable: bool) -> str:
 
 @query("check_extraction", f"""
     WITH {_ANSWERS},
-    valid AS (SELECT *, {_object('s')} IS NOT NULL AS ok FROM parsed),
-    checked AS (SELECT certificate_id, s, ok, list_filter([
+    valid AS (SELECT certificate_id, coalesce(j, '{{}}') AS s FROM parsed),
+    checked AS (SELECT certificate_id, list_filter([
         CASE WHEN {_bad_text('employee_name', True)} THEN 'employee_name: not a text' END,
         CASE WHEN {_bad_text('document_language', False)} THEN 'document_language: not a text' END,
         CASE WHEN json_type(s, '$.positions') <> 'ARRAY' THEN 'positions: not a list' END,
         CASE WHEN len(list_filter(CAST(json_extract(s, '$.positions') AS JSON[]), lambda p: json_type(p) <> 'OBJECT')) > 0
-          THEN 'positions: item of wrong type' END], lambda x: x IS NOT NULL) AS problems FROM valid WHERE ok)
+          THEN 'positions: item of wrong type' END], lambda x: x IS NOT NULL) AS problems FROM valid)
     SELECT certificate_id, len(problems) = 0 AS validation_passed, CASE WHEN len(problems) > 0 THEN 'data_type' END AS issue_type,
       CASE WHEN len(problems) > 0 THEN 'Extraction validation failed: ' || array_to_string(problems, '; ')
         ELSE 'Extraction validation passed' END AS summary
     FROM checked""", heavy=True)
 def _(t):
-    parsed = t.answers.select("certificate_id", F.try_parse_json(N.slice_json(F.col("answer"))).alias("v"))
-    checked = parsed.where(F.col("v").isNotNull()).select(
+    """An answer that had to be read by pattern has only text fields, so it passes."""
+    sliced = N.slice_json(F.col("answer"))
+    usable = F.when(F.col("parse_path") == "direct", sliced).when(
+        F.col("parse_path") == "repaired", N.repair_json(sliced))
+    checked = N.parse_answers(t.answers, "answer").select(
+        "certificate_id", F.try_parse_json(usable).alias("v")).select(
         "certificate_id", R.structural_result(R.extraction_problems(F.col("v")), "extraction").alias("r"))
     return checked.select("certificate_id", "r.validation_passed", "r.issue_type", "r.summary")
 
@@ -420,13 +424,13 @@ def _when(condition: str, text: str) -> str:
 
 @query("extraction_warnings", f"""
     WITH {_ANSWERS},
-    dated AS (SELECT certificate_id, json_extract_string(j, '$.certificate_issue_date') AS issued FROM parsed WHERE parse_path = 'direct')
-    SELECT certificate_id, array_to_string(list_filter([
+    dated AS (SELECT certificate_id, json_extract_string(j, '$.certificate_issue_date') AS issued, parse_path FROM parsed)
+    SELECT certificate_id, CASE WHEN parse_path = 'fallback' THEN '' ELSE array_to_string(list_filter([
       {_when(f"issued > '{_AS_OF}'", 'certificate_issue_date: in the future')},
-      'positions[0].end_date: invalid date', 'positions[1].end_date: in the future'], lambda x: x IS NOT NULL), '; ') AS warnings
+      'positions[0].end_date: invalid date', 'positions[1].end_date: in the future'], lambda x: x IS NOT NULL), '; ') END AS warnings
     FROM dated""", heavy=True)
 def _(t):
-    parsed = N.parse_answers(t.answers, "answer").where("parse_path = 'direct'")
+    parsed = N.parse_answers(t.answers, "answer")
     cleaned = parsed.select("certificate_id", N.clean_extraction(F.col("fields")).alias("x"))
     return cleaned.select("certificate_id", F.array_join(R.extraction_warnings(
         F.col("x.certificate_issue_date"), F.col("x.positions"), F.lit(_AS_OF).cast("date")), "; ").alias("warnings"))

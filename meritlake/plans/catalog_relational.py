@@ -33,7 +33,7 @@ def _(t):
 
 
 @query("scan_text_documents", """
-    SELECT doc_id, text, length(text) AS text_length FROM documents""")
+    SELECT doc_id, text, CAST(length(text) AS INTEGER) AS text_length FROM documents""")
 def _(t):
     return t.documents.select("doc_id", "text", F.length("text").alias("text_length"))
 
@@ -98,11 +98,10 @@ def _(t):
 
 
 @query("seed_if_absent", """
-    SELECT student_id, email, degree FROM students WHERE student_id % 2 = 0
-    UNION ALL SELECT student_id, email, 'seeded' FROM students WHERE student_id % 2 <> 0""")
+    SELECT student_id, email, CASE WHEN degree = 'Business' THEN 'seeded' ELSE degree END AS degree FROM students""")
 def _(t):
     students = t.students.select("student_id", "email", "degree")
-    existing = students.where("student_id % 2 = 0")
+    existing = students.where("degree <> 'Business'")
     return intake.seed_if_absent(existing, students.withColumn("degree", F.lit("seeded")))
 
 
@@ -467,7 +466,8 @@ def _(t):
 
 @query("schema_report")
 def _(t):
-    return S.schema_report({name: getattr(t, name) for name in _IDS})
+    tables = {name: getattr(t, name) for name in _IDS}
+    return S.schema_report(tables).join(S.column_fill(tables), ["table_name", "column_name"])
 
 
 def verdicts(t):

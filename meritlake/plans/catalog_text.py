@@ -209,12 +209,14 @@ def similarity_sql(a: str, b: str) -> str:
 
 
 @query("positional_similarity", f"""
-    SELECT c_custkey, s_suppkey, round({similarity_sql('c_name', 's_name')}, 6) AS similarity
-    FROM customer JOIN supplier ON c_custkey = s_suppkey""")
+    SELECT certificate_id, round({similarity_sql('employee_name', 'email')}, 6) AS similarity,
+      round({similarity_sql('last_name', 'email')}, 6) AS last_similarity
+    FROM extractions JOIN certificates USING (certificate_id) JOIN students USING (student_id)""")
 def _(t):
-    pairs = t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey"))
-    return pairs.select("c_custkey", "s_suppkey", F.round(
-        N.positional_similarity(F.col("c_name"), F.col("s_name")), 6).alias("similarity"))
+    rows = t.extractions.join(t.certificates, "certificate_id").join(t.students, "student_id")
+    return rows.select("certificate_id", *[
+        F.round(N.positional_similarity(F.col(name), F.col("email")), 6).alias(alias)
+        for name, alias in (("employee_name", "similarity"), ("last_name", "last_similarity"))])
 
 
 _TITLE = ("array_to_string(list_transform(regexp_extract_all(replace(split_part({0}, '@', 1), '.', ' '), "

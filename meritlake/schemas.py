@@ -67,6 +67,7 @@ WORKFLOW = (
     "struct<success:boolean,error:string,"
     f"extraction_results:{STAGE.format(results=EXTRACTION)},"
     f"evaluation_results:{STAGE.format(results=EVALUATION)},"
-    f"validation_results:{STAGE.format(results=VALIDATION)},"
+    f"validation_results:struct<success:boolean,error:string,results:{VALIDATION},"
+    f"company_validation:struct<status:string,companies:array<{COMPANY}>>>,"
     f"correction_results:{STAGE.format(results='struct<evaluation_results:' + EVALUATION + '>')}>"
 )
