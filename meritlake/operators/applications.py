@@ -41,11 +41,11 @@ def applications_by_review_status(decisions, certificates, students, status: str
 
 
 def document_arrays(documents: DataFrame, max_items: int = MAX_NESTED,
-                    limit: int = HOT_GROUP_ROWS) -> DataFrame:
+                    limit: int = HOT_GROUP_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Extra documents of each certificate as arrays in upload order."""
     item = F.struct("document_id", "document_type", "filename", "filetype", "uploaded_at")
     return collect_in_order(documents, ["certificate_id"], ["uploaded_at", "document_id"], item,
-                            "additional_documents", max_items, limit)
+                            "additional_documents", max_items, limit, sizes)
 
 
 def _with_documents(df: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def student_applications(certificates, decisions, reviewers, documents, student_
         "reviewer_id", reviewer_display_name(F.col("first_name"), F.col("last_name")).alias("reviewer_name"))
     self_paced = certificates.where(F.col("work_type") == "SELF_PACED").select("certificate_id")
     arrays = document_arrays(
-        documents.join(self_paced, "certificate_id", "left_semi"), max_items, limit)
+        documents.join(self_paced, "certificate_id", "left_semi"), max_items, limit, documents)
     rows = (
         certificates.join(decisions, "certificate_id", "left")
         .join(people, "reviewer_id", "left")

@@ -18,9 +18,12 @@ Programmes = tuple[tuple[str, str], ...]
 
 
 def _listed(programmes: Programmes) -> Column:
-    return F.array(*[
-        F.struct(F.lit(key).alias("key"), F.lit(name).alias("name"), F.lit(name.lower()).alias("lower_name"))
-        for key, name in programmes])
+    def quoted(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    entries = [f"named_struct('key', {quoted(key)}, 'lower_name', {quoted(name.lower())})"
+               for key, name in programmes]
+    return F.expr(f"array({', '.join(entries)})")
 
 
 def _first(programmes: Column, test) -> Column:
@@ -54,10 +57,13 @@ def degree_supported(degree: Column, programmes: Programmes = K.DEGREE_PROGRAMME
 
 def degree_catalogue(keywords: DataFrame, programmes: Programmes = K.DEGREE_PROGRAMMES) -> DataFrame:
     """Programmes in list order with their fields, industries and roles."""
-    rows = keywords.sparkSession.createDataFrame(
-        [(place, key, name, list(K.GENERAL_FIELDS) if key == "general" else [name])
-         for place, (key, name) in enumerate(programmes)],
-        "place int, programme_key string, name string, fields array<string>")
+    def texts(*values: str) -> Column:
+        return F.array(*[F.lit(value) for value in values])
+
+    rows = keywords.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(place).alias("place"), F.lit(key).alias("programme_key"), F.lit(name).alias("name"),
+                 texts(*(K.GENERAL_FIELDS if key == "general" else (name,))).alias("fields"))
+        for place, (key, name) in enumerate(programmes)])))
 
     def words(kind: str) -> Column:
         return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("keyword"))))

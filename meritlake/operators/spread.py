@@ -78,11 +78,15 @@ def slice_hot_groups(df: DataFrame, keys: list[str], order: list[str],
     )
 
 
-def with_position(df: DataFrame, keys: list[str], order: list[str],
-                  limit: int = HOT_GROUP_ROWS, keep_slice: bool = False) -> DataFrame:
-    """Add ``position``: the exact 1-based place of a row in its group."""
+def with_position(df: DataFrame, keys: list[str], order: list[str], limit: int = HOT_GROUP_ROWS,
+                  keep_slice: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+    """Add ``position``: the exact 1-based place of a row in its group.
+
+    Group sizes may be counted on ``sizes`` instead, a cheaper table whose groups are at least
+    as large (such as the input before a filtering join).
+    """
     extra = ["_slice", "_local"] if keep_slice else []
-    if not has_hot_groups(df, keys, limit):
+    if not has_hot_groups(df if sizes is None else sizes, keys, limit):
         whole = Window.partitionBy(*keys).orderBy(*order)
         placed = df.withColumns({"position": F.row_number().over(whole).cast("long"), "_slice": F.lit(0)})
         return placed.withColumn("_local", F.col("position")).select(*df.columns, "position", *extra)
@@ -127,13 +131,14 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: lis
 
 
 def collect_in_order(df: DataFrame, keys: list[str], order: list[str], item: Column,
-                     name: str, max_items: int, limit: int = HOT_GROUP_ROWS) -> DataFrame:
+                     name: str, max_items: int, limit: int = HOT_GROUP_ROWS,
+                     sizes: DataFrame | None = None) -> DataFrame:
     """Groups as ordered arrays of at most ``max_items``: keys, ``first_position``, array.
 
     A longer group becomes several rows; nothing is dropped. Items keep their position, so
     rows of a group line up by ``first_position``.
     """
-    placed = with_position(df, keys, order, limit, keep_slice=True)
+    placed = with_position(df, keys, order, limit, keep_slice=True, sizes=sizes)
     piece = F.floor((F.col("_local") - 1) / F.lit(max_items)).alias("_piece")
     return (
         placed.withColumn("_item", F.struct(F.col("position"), item.alias("value")))

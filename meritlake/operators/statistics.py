@@ -129,12 +129,13 @@ def table_health(tables: dict[str, DataFrame | None]) -> DataFrame:
 
 def schema_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Columns of each table; read from the plans, no data is touched."""
-    rows = [(table, field.name, field.dataType.simpleString(), field.nullable, place)
+    rows = [F.struct(F.lit(table).alias("table_name"), F.lit(field.name).alias("column_name"),
+                     F.lit(field.dataType.simpleString()).alias("data_type"),
+                     F.lit(field.nullable).alias("nullable"), F.lit(place).alias("ordinal"))
             for table, df in tables.items()
             for place, field in enumerate(df.schema.fields, 1)]
     spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(
-        rows, "table_name string, column_name string, data_type string, nullable boolean, ordinal int")
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def column_fill(tables: dict[str, DataFrame]) -> DataFrame:

@@ -315,7 +315,7 @@ def _(t):
     issues = company_issues(t.positions, verdicts(t), place)
     pieces = collect_in_order(
         issues, ["certificate_id"], place, F.struct(*[c for c in issues.columns if c not in (
-            "certificate_id", *place)]).cast(ISSUE), "added", max_items=10_000)
+            "certificate_id", *place)]).cast(ISSUE), "added", max_items=10_000, sizes=t.positions)
     w = t.workflows.select("certificate_id", nested.parse_workflow(F.col(_J)).alias("w"))
     joined = w.join(pieces, "certificate_id", "left")
     validation = F.col("w.validation_results.results")

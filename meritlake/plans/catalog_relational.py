@@ -595,7 +595,7 @@ def _(t):
         (length(text) - length(translate(lower(text), 'äöå', ''))) * 10 + length(text) AS score
       FROM documents WHERE length(text) > 0)
     SELECT source, attempt, CAST(score AS INTEGER) AS score, text FROM (SELECT *, row_number() OVER (PARTITION BY source
-      ORDER BY (attempt = 0 AND length(text) > 400) DESC, score DESC, attempt) AS rn FROM attempts) WHERE rn = 1""")
+      ORDER BY (attempt = 0 AND length(text) > 400) DESC, score DESC, attempt) AS rn FROM attempts) WHERE rn = 1""", heavy=True)
 def _(t):
     attempts = t.documents.select("source", F.col("doc_id").alias("attempt"), "text")
     return ordered.best_text_attempt(attempts, "source")

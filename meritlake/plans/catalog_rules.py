@@ -138,7 +138,7 @@ _PEOPLE_SQL = """people AS (SELECT certificate_id, first_name, last_name, employ
 
 @query("compare_names", f"""
     WITH {_PEOPLE_SQL}, {names_sql('people', 'certificate_id')}
-    SELECT certificate_id, match_result, round(match_confidence, 6) AS match_confidence, match_explanation FROM named""")
+    SELECT certificate_id, match_result, round(match_confidence, 6) AS match_confidence, match_explanation FROM named""", heavy=True)
 def _(t):
     names = ["first_name", "last_name", "employee_name"]
     own = t.extractions.join(t.certificates, "certificate_id").join(t.students, "student_id").select("certificate_id", *names)
@@ -169,7 +169,7 @@ def _checked(t):
 @query("validate_student_names", f"""
     WITH {_CHECKED_SQL}
     SELECT certificate_id, db_student_first_name, match_result, round(match_confidence, 6) AS match_confidence,
-      match_explanation, name_match FROM checked""")
+      match_explanation, name_match FROM checked""", heavy=True)
 def _(t):
     return _checked(t).select("certificate_id", "db_student_first_name", "match_result",
                               F.round("match_confidence", 6).alias("match_confidence"), "match_explanation", "name_match")
@@ -180,7 +180,7 @@ def _(t):
     SELECT certificate_id, name_match, CASE WHEN NOT name_match THEN 'REJECTED' END AS decision,
       CASE WHEN NOT name_match THEN 'Certificate rejected due to name mismatch: ' || match_explanation END AS justification,
       CASE WHEN NOT name_match THEN 0.0::DOUBLE END AS credits_qualified,
-      CASE WHEN NOT name_match THEN 'critical' END AS issue_severity FROM checked""")
+      CASE WHEN NOT name_match THEN 'critical' END AS issue_severity FROM checked""", heavy=True)
 def _(t):
     passed, rejected = identity.reject_on_name_mismatch(_checked(t))
     columns = ["certificate_id", "name_match", "decision", "justification", "credits_qualified", "issue_severity"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from meritlake import constants as K
@@ -156,6 +158,47 @@ def _(t):
         T.render_template(T.PROMPT_TEMPLATES["extraction"], {"document_text": F.col("text")}).alias("extraction_prompt"))
 
 
+def template_sql(template: str, values: dict[str, str]) -> str:
+    parts = []
+    for token in re.split(r"(\{\w+\})", template):
+        if token.startswith("{"):
+            parts.append(f"coalesce(CAST({values[token[1:-1]]} AS VARCHAR), '')")
+        elif token:
+            parts.append(" || chr(10) || ".join(sql_text(line) for line in token.split("\n")))
+    return " || ".join(parts)
+
+
+_EXTRACTED_SQL = "json_object('employer', training_institution, 'duration', training_duration)"
+_EVALUATED_SQL = "json_object('decision', ai_decision, 'hours', total_working_hours, 'comment', student_comment)"
+_STAGE_SQL = {
+    "current_date": sql_text(AS_OF), "student_degree": "degree", "requested_training_type": "lower(training_type)",
+    "degree_specific_guidelines": "NULL", "additional_documents_section": "NULL", "additional_documents_text": "NULL",
+    "document_text": "ai_justification", "ocr_text": "ai_justification", "extracted_info": _EXTRACTED_SQL,
+    "extraction_results": _EXTRACTED_SQL, "evaluation_results": _EVALUATED_SQL, "validation_results": "ai_workflow_json",
+}
+
+
+@query("render_stage_prompts", f"""
+    SELECT certificate_id, {', '.join(f'{template_sql(T.PROMPT_TEMPLATES[s], _STAGE_SQL)} AS {s}' for s in ('evaluation', 'validation', 'correction'))}
+    FROM decisions JOIN certificates USING (certificate_id) JOIN students USING (student_id)""")
+def _(t):
+    keep = {"ignoreNullFields": "false"}
+    nothing = F.lit(None).cast("string")
+    extracted = F.to_json(F.struct(F.col("training_institution").alias("employer"),
+                                   F.col("training_duration").alias("duration")), keep)
+    evaluated = F.to_json(F.struct(F.col("ai_decision").alias("decision"), F.col("total_working_hours").alias("hours"),
+                                   F.col("student_comment").alias("comment")), keep)
+    values = {
+        "current_date": F.lit(AS_OF), "student_degree": F.col("degree"),
+        "requested_training_type": F.lower("training_type"), "degree_specific_guidelines": nothing,
+        "additional_documents_section": nothing, "additional_documents_text": nothing,
+        "document_text": F.col("ai_justification"), "ocr_text": F.col("ai_justification"), "extracted_info": extracted,
+        "extraction_results": extracted, "evaluation_results": evaluated, "validation_results": F.col("ai_workflow_json")}
+    rows = t.decisions.join(t.certificates, "certificate_id").join(t.students, "student_id")
+    return rows.select("certificate_id", *[
+        T.render_template(T.PROMPT_TEMPLATES[stage], values).alias(stage) for stage in ("evaluation", "validation", "correction")])
+
+
 CATALOGUE_SQL = f"""catalogue AS (SELECT p.place, p.key AS programme_key, p.name,
       coalesce(list_sort(list(DISTINCT keyword) FILTER (kind = 'industry')), []) AS industries,
       coalesce(list_sort(list(DISTINCT keyword) FILTER (kind = 'role')), []) AS roles
@@ -211,7 +254,7 @@ def similarity_sql(a: str, b: str) -> str:
 @query("positional_similarity", f"""
     SELECT certificate_id, round({similarity_sql('employee_name', 'email')}, 6) AS similarity,
       round({similarity_sql('last_name', 'email')}, 6) AS last_similarity
-    FROM extractions JOIN certificates USING (certificate_id) JOIN students USING (student_id)""")
+    FROM extractions JOIN certificates USING (certificate_id) JOIN students USING (student_id)""", heavy=True)
 def _(t):
     rows = t.extractions.join(t.certificates, "certificate_id").join(t.students, "student_id")
     return rows.select("certificate_id", *[

@@ -272,10 +272,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str, heavy: bool = False) -> None:
         self.spark, self.folder, self.heavy = spark, folder.rstrip("/"), heavy
+        self._read: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread_few_splits(table) if self.heavy else table
+        if name not in self._read:
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._read[name] = spread_few_splits(table) if self.heavy else table
+        return self._read[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:

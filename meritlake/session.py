@@ -15,6 +15,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # documents are large rows: bound Arrow batches by bytes, not only by row count
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 

@@ -37,7 +37,7 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" not in str(problem):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def stream_evaluate(arrivals: DataFrame, evaluate: Callable[[DataFrame], DataFrame], event_time: str,

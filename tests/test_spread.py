@@ -84,3 +84,35 @@ def test_combined_text_of_a_hot_certificate(spark):
     assert [r.combined_text for r in rows if r.certificate_id == 2] == [
         "MAIN CERTIFICATE:\nmain\n\nADDITIONAL DOCUMENT 1 (ADDITIONAL_DOCUMENT - document_1):\nonly\n\n"]
     assert [r.combined_text for r in rows if r.certificate_id == 3] == ["MAIN CERTIFICATE:\nmain\n\n"]
+
+
+def test_hot_student_and_hot_certificate(spark):
+    """One student holds most certificates, one of them most documents."""
+    import datetime as dt
+
+    from meritlake.operators import applications as A
+
+    students = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "student_id int, email string")
+    start = dt.datetime(2020, 1, 1)
+    certificates = spark.createDataFrame(
+        [(i, 1 if i % 10 else 2, "GENERAL", "SELF_PACED", f"f{i}", None if i == 7 else start + dt.timedelta(days=i % 17))
+         for i in range(200)],
+        "certificate_id int, student_id int, training_type string, work_type string, filename string, uploaded_at timestamp")
+    rows = A.student_with_certificates(students, certificates, max_items=9, limit=25).collect()
+    assert max(len(r.certificates) for r in rows) <= 9
+    far = start + dt.timedelta(days=999)
+    for student in (1, 2, 3):
+        parts = sorted((r for r in rows if r.student_id == student), key=lambda r: r.first_position)
+        got = [c.certificate_id for r in parts for c in r.certificates]
+        own = [r for r in certificates.collect() if r.student_id == student]
+        want = [r.certificate_id for r in sorted(own, key=lambda r: (far - (r.uploaded_at or far), r.certificate_id))]
+        assert got == want
+
+    documents = spark.createDataFrame(
+        [(f"d{i:03}", 5 if i % 4 else 6, "HOUR_DOCUMENTATION", "n", "pdf", start) for i in range(160)],
+        "document_id string, certificate_id int, document_type string, filename string, filetype string, uploaded_at timestamp")
+    parts = A.document_arrays(documents, max_items=8, limit=20).collect()
+    for certificate in (5, 6):
+        ordered = sorted((p for p in parts if p.certificate_id == certificate), key=lambda p: p.first_position)
+        assert [d.document_id for p in ordered for d in p.additional_documents] == [
+            f"d{i:03}" for i in range(160) if (5 if i % 4 else 6) == certificate]
