@@ -474,33 +474,36 @@ def _(t):
 
 
 # --- callers ---------------------------------------------------------------------------------------------
-# deterministic stand-ins: the first answers short texts only and never runs out of quota,
-# so the result does not depend on how rows fall into partitions
+# Deterministic stand-ins. They never run out of quota, so the result does not depend on how
+# rows fall into partitions. Inner functions travel to the workers by value.
 
 
-def _short_only():
-    def call(value):
-        if len(value) > 2000:
-            raise ValueError("document too long")
-        return value.lower()
+def _stand_ins():
+    def short_only():
+        def call(value):
+            if len(value) > 2000:
+                raise ValueError("document too long")
+            return value.lower()
 
-    return call
+        return call
 
+    def reader():
+        def call(value):
+            if value.startswith("Is"):
+                raise ValueError("unreadable scan")
+            return value
 
-def _reader():
-    def call(value):
-        if value.startswith("Is"):
-            raise ValueError("unreadable scan")
-        return value
+        return call
 
-    return call
+    return short_only, reader
 
 
 @query("map_with_caller", """
     SELECT doc_id, CASE WHEN length(text) <= 2000 THEN lower(text) END AS answer, length(text) <= 2000 AS success,
       CASE WHEN length(text) > 2000 THEN 'document too long' END AS error, 'short' AS caller FROM documents""", heavy=True)
 def _(t):
-    return map_with_caller(t.documents, "text", ["doc_id"], [("short", _short_only), ("spare", _reader)]).drop("elapsed")
+    short_only, reader = _stand_ins()
+    return map_with_caller(t.documents, "text", ["doc_id"], [("short", short_only), ("spare", reader)]).drop("elapsed")
 
 
 @query("process_documents", f"""
@@ -515,7 +518,7 @@ def _(t):
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     documents = t.texts.select(F.concat_ws("/", "source", name).alias("path"), name.alias("file_name"),
                                F.length("text").cast("long").alias("size"), F.lit("pdf").alias("suffix"), "text")
-    return process_documents(documents, "text", [("reader", _reader)]).select(
+    return process_documents(documents, "text", [("reader", _stand_ins()[1])]).select(
         "file_name", "success", "text_length", "detected_language", "finnish_chars_count",
         F.round("confidence", 4).alias("confidence"), "error")
 

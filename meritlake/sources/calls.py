@@ -17,11 +17,6 @@ from meritlake import constants as K
 Call = Callable[[object], str]
 
 
-def is_quota_error(message: str) -> bool:
-    lowered = message.lower()
-    return any(phrase in lowered for phrase in K.QUOTA_PHRASES)
-
-
 def map_with_caller(df: DataFrame, column: str, keep: list[str],
                     factories: list[tuple[str, Callable[[], Call]]],
                     partitions: int | None = None) -> DataFrame:
@@ -38,6 +33,9 @@ def map_with_caller(df: DataFrame, column: str, keep: list[str],
     for field in ("answer string", "success boolean", "error string", "elapsed double", "caller string"):
         schema = schema.add(field.split(" ")[0], field.split(" ")[1])
 
+    quota_phrases = tuple(K.QUOTA_PHRASES)
+
+    # stands on its own, so workers need no copy of this package
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, call = 0, None
         for batch in batches:
@@ -52,7 +50,8 @@ def map_with_caller(df: DataFrame, column: str, keep: list[str],
                         break
                     except Exception as problem:  # noqa: BLE001 - kept as data
                         error = str(problem)
-                        if is_quota_error(error) and current < len(factories) - 1:
+                        over_quota = any(phrase in error.lower() for phrase in quota_phrases)
+                        if over_quota and current < len(factories) - 1:
                             current, call, error = current + 1, None, None
                             continue
                         break
