@@ -14,6 +14,7 @@ from meritlake.plans.catalog_text import (
     AS_OF, CATALOGUE_SQL, INPUT_SQL, SANITIZED_SQL, date_sql, language_sql, normal_sql, similarity_sql)
 from meritlake.plans.driver_views import EMAIL_DOMAIN
 from meritlake.plans.evaluate import evaluate_certificates, evaluate_texts
+from meritlake.plans.model_evaluation import evaluate_with_model
 from meritlake.session import work_folder
 from meritlake.sources.calls import map_with_caller
 from meritlake.sources.documents import process_documents
@@ -551,3 +552,103 @@ def _(t):
     stream_status(_arrivals(t), lambda: t.decisions, "uploaded_at", output,
                   work_folder(t.spark, "stream-state")).awaitTermination()
     return t.spark.read.parquet(output).select("certificate_id", "status", "ai_decision", "total_working_hours")
+
+
+# --- evaluation with a model -------------------------------------------------------------------------------
+# a scripted stand-in for the model: its answers depend on the prompt alone
+
+
+def _scripted_model():
+    def extraction():
+        def call(prompt):
+            if "Pekka Korhonen" in prompt:
+                return ("```json\n{'employee_name': 'Pekka Korhonen', 'employer': 'Pohjola Terminal Oyj', 'employer_address': '', "
+                        "'positions': [{'title': null, 'employer': 'Pohjola Terminal Oyj', 'start_date': '13.2.1984', "
+                        "'end_date': '30.9.2009'}], 'total_employment_period': '25 years', 'document_language': 'fi',}\n```")
+            if "Matti" in prompt:
+                return ('{"employee_name": "Matti Virtanen", "employer": "Nordic Metal Oy", "positions": '
+                        '[{"title": "Welder", "employer": "Nordic Metal Oy"}, {"title": "Clerk", "employer": "Paper Group"}]}')
+            if "Acme Group" in prompt:
+                raise RuntimeError("model overloaded")
+            return "I could not find anything."
+
+        return call
+
+    def evaluation():
+        def call(prompt):
+            hours = "837" if "Requested: professional" in prompt else '"many"' if "Sosionomi" in prompt else "320"
+            return ('{"Total Working Hours": ' + hours + ', "Degree Relevance": "closely related", '
+                    '"Recommendation": "Approve"}')
+
+        return call
+
+    def company():
+        def call(prompt):
+            if "Paper Group" in prompt:
+                return '{"status": "UNVERIFIED"}'
+            return "The company is real."
+
+        return call
+
+    def validation():
+        def call(prompt):
+            return ('{"requires_correction": true, "issues_found": [{"type": "business_rule", "severity": "low", '
+                    '"description": "d", "field_affected": "f", "suggestion": "s"}]}')
+
+        return call
+
+    def correction():
+        def call(prompt):
+            return '{"evaluation_results": {"credits_qualified": 5}}'
+
+        return call
+
+    return {f.__name__: [("scripted", f)] for f in (extraction, evaluation, company, validation, correction)}
+
+
+_SCRIPT_SQL = f"""once AS (SELECT DISTINCT degree AS d FROM students),
+    programmes AS (SELECT d, {degree_sql('d')} AS programme_key FROM once),
+    owned AS (SELECT doc_id AS certificate_id, text, CASE WHEN doc_id % 3 = 0 THEN 'professional' ELSE 'general' END AS kind,
+        CASE doc_id % 4 WHEN 0 THEN 'Matti' WHEN 1 THEN 'Pekka' ELSE first_name END AS first_name,
+        CASE doc_id % 4 WHEN 0 THEN 'Virtanen' WHEN 1 THEN 'Korhonen' ELSE last_name END AS last_name, programme_key, {INPUT_SQL} AS problem
+      FROM texts JOIN students ON student_id = doc_id % 150 JOIN programmes ON degree = d),
+    clean AS (SELECT *, {SANITIZED_SQL} AS s FROM owned),
+    cut AS (SELECT *, substr(s, 1, {K.PROMPT_TEXT_LIMIT}) AS seen FROM clean),
+    answered AS (SELECT *, CASE WHEN problem IS NOT NULL THEN 'unusable' WHEN contains(seen, 'Pekka Korhonen') THEN 'pekka'
+      WHEN contains(seen, 'Matti') THEN 'matti' WHEN contains(seen, 'Acme Group') THEN 'failed' ELSE 'blank' END AS way FROM cut),
+    outcome AS (SELECT *, CASE WHEN way = 'unusable' THEN problem WHEN way = 'failed' THEN 'Extraction failed: model overloaded'
+        WHEN way IN ('pekka', 'matti') AND kind = 'general' AND programme_key LIKE 'sosionomi%' THEN 'Working hours are not a number: many' END AS error,
+      way = 'blank' AS mismatch FROM answered)"""
+
+
+@query("evaluate_with_model", f"""
+    WITH {_SCRIPT_SQL}
+    SELECT certificate_id, error IS NULL AS success, error,
+      CASE WHEN error IS NULL THEN CASE WHEN mismatch THEN 'REJECTED' ELSE 'ACCEPTED' END END AS ai_decision,
+      CASE WHEN error IS NULL THEN CASE WHEN mismatch THEN 0.0 WHEN kind = 'professional' THEN 837.0 ELSE 320.0 END END::DOUBLE AS total_working_hours,
+      CASE WHEN error IS NULL THEN CASE WHEN mismatch THEN 0.0 WHEN kind = 'professional' THEN 30.0 ELSE 10.0 END END::DOUBLE AS credits_qualified,
+      CASE WHEN error IS NULL THEN CASE WHEN mismatch THEN 'Unknown' WHEN way = 'pekka' THEN 'Pohjola Terminal Oyj'
+        ELSE 'Nordic Metal Oy' END END AS training_institution,
+      CASE WHEN error IS NULL THEN CASE WHEN mismatch THEN 'low' ELSE 'high' END END AS degree_relevance,
+      CASE WHEN error IS NULL THEN CASE WHEN mismatch THEN 'UNVERIFIED' WHEN way = 'pekka' THEN 'LEGITIMATE'
+        ELSE 'PARTIALLY_LEGITIMATE' END END AS company_validation_status,
+      CASE WHEN error IS NULL THEN CASE WHEN mismatch THEN 'unknown' ELSE 'match' END END AS name_validation_match_result,
+      CASE WHEN error IS NULL THEN CASE WHEN mismatch THEN 'name_mismatch' WHEN way = 'pekka' THEN 'business_rule'
+        ELSE 'business_rule,company_validation_error' END END AS issue_types,
+      CASE WHEN error IS NULL THEN false END AS corrected
+    FROM outcome""", heavy=True)
+def _(t):
+    place = F.col("doc_id") % 4
+    texts = t.texts.join(t.students, F.col("student_id") == F.col("doc_id") % 150)
+    certificates = texts.select(
+        F.col("doc_id").alias("certificate_id"), F.col("doc_id").alias("student_id"), "text",
+        F.when(F.col("doc_id") % 3 == 0, F.lit("PROFESSIONAL")).otherwise(F.lit("GENERAL")).alias("training_type"))
+    owners = texts.select(
+        F.col("doc_id").alias("student_id"), "degree",
+        F.when(place == 0, F.lit("Matti")).when(place == 1, F.lit("Pekka")).otherwise(F.col("first_name")).alias("first_name"),
+        F.when(place == 0, F.lit("Virtanen")).when(place == 1, F.lit("Korhonen")).otherwise(F.col("last_name")).alias("last_name"))
+    rows = evaluate_with_model(certificates, owners, degrees.degree_catalogue(keyword_table(t)), _scripted_model(), AS_OF)
+    return rows.select(
+        "certificate_id", "success", "error", "ai_decision", "total_working_hours", "credits_qualified",
+        "training_institution", "degree_relevance", "company_validation_status", "name_validation_match_result",
+        F.array_join(F.transform("issues_found", lambda i: i["type"]), ",").alias("issue_types"), "corrected")

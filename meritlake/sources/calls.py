@@ -8,7 +8,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +36,11 @@ def map_with_caller(df: DataFrame, column: str, keep: list[str],
     quota_phrases = tuple(K.QUOTA_PHRASES)
 
     # stands on its own, so workers need no copy of this package
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, call = 0, None
         for batch in batches:
-            rows = []
-            for value in batch["_input"]:
+            answers, errors, elapsed, callers = [], [], [], []
+            for value in batch.column("_input").to_pylist():
                 started, answer, error = time.perf_counter(), None, None
                 while True:
                     try:
@@ -49,17 +49,20 @@ def map_with_caller(df: DataFrame, column: str, keep: list[str],
                         answer = call(value)
                         break
                     except Exception as problem:  # noqa: BLE001 - kept as data
-                        error = str(problem)
+                        error = str(problem) or type(problem).__name__
                         over_quota = any(phrase in error.lower() for phrase in quota_phrases)
                         if over_quota and current < len(factories) - 1:
                             current, call, error = current + 1, None, None
                             continue
                         break
-                rows.append((answer, error is None, error, time.perf_counter() - started,
-                             factories[current][0]))
-            out = batch[keep].reset_index(drop=True)
-            result = pd.DataFrame(
-                rows, columns=["answer", "success", "error", "elapsed", "caller"], dtype=object)
-            yield pd.concat([out, result.astype({"success": bool, "elapsed": float})], axis=1)
+                answers.append(answer)
+                errors.append(error)
+                elapsed.append(time.perf_counter() - started)
+                callers.append(factories[current][0])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in keep), pa.array(answers, pa.string()),
+                 pa.array([error is None for error in errors], pa.bool_()), pa.array(errors, pa.string()),
+                 pa.array(elapsed, pa.float64()), pa.array(callers, pa.string())],
+                names=[*keep, "answer", "success", "error", "elapsed", "caller"])
 
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)

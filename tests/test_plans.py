@@ -7,7 +7,7 @@ import __spark_entry__ as entry_points
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = entry_points.queries()
 PYTHON = {"map_with_caller", "process_documents"}
-WRITES = {"append_records", "write_decision_records", "stream_evaluate", "stream_status"}
+WRITES = {"evaluate_with_model", "append_records", "write_decision_records", "stream_evaluate", "stream_status"}
 
 
 def plan(spark, name):
