@@ -320,6 +320,14 @@ def _(t):
     return _evaluator(t)(t.certificates)
 
 
+# an unusable text keeps its row but gets no result
+_USABLE_SQL = ", ".join(
+    f"CASE WHEN input_error IS NULL THEN {value} END AS {name}" for name, value in {
+        "total_working_hours": "CAST(total_working_hours AS INTEGER)", "credits_calculated": "credits_calculated",
+        "credits_qualified": "credits_qualified", "degree_relevance": "degree_relevance", "ai_decision": "ai_decision",
+        "ai_justification": "ai_justification", "match_result": "match_result"}.items())
+
+
 @query("evaluate_texts", f"""
     WITH {CATALOGUE_SQL}, {_WORDS_SQL},
     once AS (SELECT DISTINCT degree AS d FROM students),
@@ -339,8 +347,7 @@ def _(t):
         {relevance_sql(hits_sql('text'))} AS relevance FROM named JOIN word_lists USING (programme_key)),
     {_SETTLE_SQL}
     SELECT certificate_id, input_error, employee_name, employer, requested_type, programme_key,
-      CAST(total_working_hours AS INTEGER) AS total_working_hours, credits_calculated, credits_qualified, degree_relevance,
-      ai_decision, ai_justification, match_result FROM decided""", heavy=True)
+      {_USABLE_SQL} FROM decided""", heavy=True)
 def _(t):
     even = F.col("doc_id") % 2 == 0
     texts = t.texts.join(t.students, F.col("student_id") == F.col("doc_id") % 150).select(
