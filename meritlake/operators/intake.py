@@ -114,17 +114,21 @@ def check_constraints(df: DataFrame, row_id: str, email_domain: str | None = Non
 
 
 def append_records(records: DataFrame, path: str, id_column: str, id_parts: list[str],
-                   time_column: str | None = None, partition_by: list[str] | None = None) -> None:
-    """Append rows with a content id and a time stamp; rows with a value outside its domain are refused."""
+                   time_column: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    """Append rows with a content id and a time stamp.
+
+    Rows breaking a row rule of their columns are refused: they come back with ``problems``.
+    """
     if time_column and time_column not in records.columns:
         records = records.withColumn(time_column, F.current_timestamp())
     with_id = records.withColumn(
         id_column, new_id(*[F.col(part).cast("string") for part in id_parts]))
-    valid = with_id.where(F.size(constraint_problems(with_id)) == 0)
-    writer = valid.write.mode("append")
+    checked = with_id.withColumn("problems", constraint_problems(with_id))
+    writer = checked.where(F.size("problems") == 0).drop("problems").write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    return checked.where(F.size("problems") > 0)
 
 
 def seed_if_absent(existing: DataFrame, new: DataFrame, key: str = "email") -> DataFrame:

@@ -107,7 +107,8 @@ def test_uploads(spark):
 def test_append_refuses_bad_rows_and_repeats_ids(spark, tmp_path):
     frame = spark.createDataFrame([("a.pdf", "GENERAL"), ("b.pdf", "WRONG")], "filename string, training_type string")
     for _ in range(2):
-        intake.append_records(frame, str(tmp_path / "t"), "record_id", ["filename"], "uploaded_at")
+        refused = intake.append_records(frame, str(tmp_path / "t"), "record_id", ["filename"], "uploaded_at")
+    assert [(r.filename, r.problems) for r in refused.collect()] == [("b.pdf", ["training_type: not in domain"])]
     rows = spark.read.parquet(str(tmp_path / "t")).collect()
     assert len(rows) == 2 and len({r.record_id for r in rows}) == 1 and rows[0].uploaded_at is not None
 
