@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,12 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of ``spark.checkpoint.dir``.
 
     Intermediate tables must be readable by every executor, so on a cluster the folder has
-    to be named in the session. Only a local session may fall back to a temporary one.
+    to be named in the session. Only a session that is one process on one machine may fall back
+    to a temporary one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="meritlake-")
         spark.conf.set("spark.checkpoint.dir", base)
