@@ -4,15 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from meritlake.llm.byte_bpe import decode_ids, encode_texts
 from meritlake.llm.exact_dedup import mark_copies
+from meritlake.llm.packing import pack_documents
+from meritlake.llm.token_files import read_token_files, write_token_files
+from meritlake.session import work_folder
+
+END_ID = 2
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    files = work_folder(spark, "token-planes")
+    write_token_files(table(spark, folder, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"),
+                      public_tokenizers.PATTERN, END_ID)
+    return read_token_files(spark, files).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = encode_texts(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN,
+                          keep=["doc_id"], places=False)
+    return decode_ids(tokens, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return mark_copies(docs, carry=["doc_id"])
@@ -30,6 +62,9 @@ FROM plain WINDOW best AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_planes": op1_token_planes,
+        "op2_byte_bpe": op2_byte_bpe,
+        "op7_packing": op7_packing,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
