@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from meritlake.llm.byte_bpe import decode_ids, encode_texts
 from meritlake.llm.exact_dedup import mark_copies
+from meritlake.llm.main_text import extract_main_text
 from meritlake.llm.packing import pack_documents
+from meritlake.llm.quality import score, train
 from meritlake.llm.token_files import read_token_files, write_token_files
 from meritlake.session import work_folder
 
@@ -39,6 +41,23 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
+QUALITY_LIMIT = 0.3
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    labels = table(spark, folder, "labels").filter(fold != 0)
+    model = train(docs, labels, label="quality")
+    return score(docs, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_LIMIT).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
@@ -64,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_planes": op1_token_planes,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_main_text": op3_main_text,
+        "op5_quality": op5_quality,
         "op7_packing": op7_packing,
         "op9_exact_dedup": op9_exact_dedup,
     }
