@@ -68,7 +68,7 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _sub_batches(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _sub_batches(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose values of one column have so many bytes together, a single longer value alone."""
     sizes, at, held = batch.column(column), 0, 0
     for place in range(batch.num_rows):

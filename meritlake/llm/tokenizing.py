@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PLAIN = [c for c in (*range(9, 14), *range(32, 127), *range(0xA0, 0x250), *range(0x2010, 0x2028)) if c != 0x130]
 _NOT_PLAIN = re.compile("[^" + "".join(re.escape(chr(c)) for c in PLAIN) + "]")
 # Pieces a worker remembers; the table starts afresh when it is full.
-MOST_PIECES = 800_000
+MOST_PIECES = 500_000
 
 
 def byte_characters() -> dict[int, str]:
