@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from meritlake.llm.byte_bpe import decode_ids, encode_texts
 from meritlake.llm.exact_dedup import mark_copies
 from meritlake.llm.main_text import extract_main_text
+from meritlake.llm.neighbours import nearest
 from meritlake.llm.packing import pack_documents
 from meritlake.llm.quality import score, train
 from meritlake.llm.token_files import read_token_files, write_token_files
+from meritlake.llm.url_templates import Rule, judge_urls
 from meritlake.session import work_folder
 
 END_ID = 2
@@ -58,12 +60,30 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= QUALITY_LIMIT).cast("int").alias("predicted"))
 
 
+URL_RULES = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"),
+             Rule("allow", "org/fr/")]
+
+
+def op6_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """A page is labelled as the document whose id ends its url's path."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    document = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)\A.*?://[^?#]*/([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#]|\z)", 1)
+    labels = (pages.select("page_id", document.try_cast("long").alias("doc_id"))
+              .join(table(spark, folder, "labels"), "doc_id")
+              .select(F.col("page_id").alias("key"), F.col("quality").alias("label")))
+    return judge_urls(pages, labels, URL_RULES)
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return mark_copies(docs, carry=["doc_id"])
@@ -85,7 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_main_text": op3_main_text,
         "op5_quality": op5_quality,
+        "op6_url_templates": op6_url_templates,
         "op7_packing": op7_packing,
+        "op8_neighbours": op8_neighbours,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
