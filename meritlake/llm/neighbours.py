@@ -201,22 +201,23 @@ def nearest(vectors: DataFrame, queries: Column, most: int = 20, vector: str = "
 
     def meet(asking: pd.DataFrame, holding: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(holding):
-            return pd.DataFrame({"query_id": [], "vec_ids": [], "scores": []})
+            return _met([])
         names, held = holding["vec_id"].to_numpy(), np.stack(holding["vector"].to_numpy())
         asked_vectors = np.stack(asking["vector"].to_numpy())
         # the matrix product may differ in the last bits between equal vectors: it only chooses
         rough = asked_vectors @ held.T
         slack = 1e-9 * np.abs(asked_vectors).max(axis=1) * np.abs(held).max() * held.shape[1]
+        plain = len(np.unique(names)) == len(names)
         out = []
         for query, value, line, give in zip(asking["query_id"].to_numpy(), asked_vectors, rough, slack):
             line = np.where(names == query, -np.inf, line)
-            least = np.partition(line, -most)[-most] if len(line) > most else -np.inf
+            least = np.partition(line, -most)[-most] if plain and len(line) > most else -np.inf
             chosen = np.flatnonzero((line >= least - give) & (line > -np.inf))
             scores = (held[chosen] * value).sum(axis=1)
             best = np.lexsort((names[chosen], -scores))
             best = best[np.sort(np.unique(names[chosen][best], return_index=True)[1])][:most]
-            out.append((query, names[chosen][best], scores[best]))
-        return pd.DataFrame(out, columns=["query_id", "vec_ids", "scores"])
+            out.append((query, names[chosen][best].tolist(), scores[best].tolist()))
+        return _met(out)
 
     met = (asked.groupBy("tree", "leaf", "block", "part").cogroup(blocked.groupBy("tree", "leaf", "block", "part"))
            .applyInPandas(meet, "query_id long, vec_ids array<long>, scores array<double>"))
@@ -232,6 +233,12 @@ def nearest(vectors: DataFrame, queries: Column, most: int = 20, vector: str = "
     return met.groupBy("query_id").applyInPandas(merge, found)
 
 
+def _met(rows: list[tuple]) -> pd.DataFrame:
+    columns = list(zip(*rows)) or [(), (), ()]
+    return pd.DataFrame({"query_id": pd.Series(columns[0], dtype="int64"), "vec_ids": pd.Series(columns[1], dtype=object),
+                         "scores": pd.Series(columns[2], dtype=object)})
+
+
 def _asked(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays(
