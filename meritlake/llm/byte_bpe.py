@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from meritlake.llm.frames import with_fields
 from meritlake.llm.tokenizing import byte_characters, encoder_of
 
 
@@ -93,8 +94,7 @@ def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, text: str = "te
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in results]
     definition = docs.sparkSession.sparkContext.broadcast(definition_of(read_ranks(ranks_file), pattern))
     given = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
-                       + [f"{c} array<int>" for c in results])
+    schema = with_fields(given.schema, ", ".join(f"{c} array<int>" for c in results), drop_last=True)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text = encoder_of(definition.value, pattern).encode
@@ -126,7 +126,7 @@ def decode_ids(tokens: DataFrame, ranks_file: str, ids: str = "ids") -> DataFram
     definition = tokens.sparkSession.sparkContext.broadcast(definition_of(read_ranks(ranks_file), ""))
     given = tokens.select(*[tokens[c] for c in tokens.columns if c != "decoded"])
     place = given.columns.index(ids)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields] + ["decoded binary"])
+    schema = with_fields(given.schema, "decoded binary")
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_of = token_bytes(definition.value).__getitem__

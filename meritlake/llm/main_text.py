@@ -16,6 +16,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from meritlake.llm.frames import with_fields
+
 # Fixed values of the HTML language: elements without content, elements whose content is not
 # markup, and elements that start a line of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -266,8 +268,7 @@ def extract_main_text(pages: DataFrame, markup: str = "html", keep: list[str] |
     """
     keep = [c for c in (keep if keep is not None else pages.columns) if c not in (markup, "text", "n_chars")]
     given = pages.select(*[pages[c] for c in keep], pages[markup].alias("__page"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
-                       + ["text string", "n_chars long"])
+    schema = with_fields(given.schema, "text string, n_chars long", drop_last=True)
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

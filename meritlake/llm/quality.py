@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meritlake.llm.frames import with_fields
+
 PLACES = 1 << 18
 MOST_ROWS = 12_000
 # Words a worker remembers the hash of; the table starts afresh when it is full.
@@ -164,7 +166,7 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text", keep: list[str
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c != "score"]
     given = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]] + ["score double"])
+    schema = with_fields(given.schema, "score double", drop_last=True)
     places = len(model) - 1
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 8 bytes a place, a fixed size
 

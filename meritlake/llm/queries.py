@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from meritlake.llm.byte_bpe import decode_ids, encode_texts
 from meritlake.llm.exact_dedup import mark_copies
 from meritlake.llm.main_text import extract_main_text
+from meritlake.llm.near_dedup import near_duplicates
 from meritlake.llm.neighbours import nearest
 from meritlake.llm.packing import pack_documents
 from meritlake.llm.quality import score, train
+from meritlake.llm.surrogates import replace_personal_data
 from meritlake.llm.token_files import read_token_files, write_token_files
 from meritlake.llm.url_templates import Rule, judge_urls
 from meritlake.session import work_folder
@@ -47,6 +49,15 @@ def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages"), keep=["page_id", "url"])
 
 
+# Whoever replaces data of their own passes a secret of their own.
+SURROGATE_SECRET = b"surrogates of the test corpus"
+
+
+def op4_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return replace_personal_data(docs, SURROGATE_SECRET)
+
+
 QUALITY_LIMIT = 0.3
 
 
@@ -89,6 +100,10 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_copies(docs, carry=["doc_id"])
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 OP9_SQL = r"""
 WITH plain AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -104,11 +119,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_planes": op1_token_planes,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_main_text": op3_main_text,
+        "op4_surrogates": op4_surrogates,
         "op5_quality": op5_quality,
         "op6_url_templates": op6_url_templates,
         "op7_packing": op7_packing,
         "op8_neighbours": op8_neighbours,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 

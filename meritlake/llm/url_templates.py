@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritlake.session import work_folder
+from meritlake.llm.frames import written
 
 
 class Rule(NamedTuple):
@@ -61,17 +61,10 @@ def path_shape(path: Column) -> Column:
     return F.filter(F.split(shaped, "/"), lambda s: s != "")
 
 
-def _written(frame: DataFrame, purpose: str) -> DataFrame:
-    """Cuts the lineage; a level is read by two branches of the next."""
-    folder = work_folder(frame.sparkSession, purpose)
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.parquet(folder)
-
-
 def grow_templates(shapes: DataFrame, most_children: int = MOST_CHILDREN, levels: int = LEVELS,
                    similar: float = SIMILAR) -> DataFrame:
     """host, shape, template, n, labelled, good from host, shape (segments), n, labelled, good."""
-    tree = _written(shapes.withColumn("template", F.lit("")), "url-shapes")
+    tree = written(shapes.withColumn("template", F.lit("")), "url-shapes")
     deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
     for level in range(min(deepest, levels)):
@@ -89,7 +82,7 @@ def grow_templates(shapes: DataFrame, most_children: int = MOST_CHILDREN, levels
                 .when(F.col("children") > most_children, F.lit(WILD))
                 .when(F.col("children") > 1, F.lit(MERGED)).otherwise(F.col("segment")))
         named = branches.join(nodes, ["host", "template"]).select("host", "template", "segment", name.alias("name"))
-        tree = _written(
+        tree = written(
             at.join(named, ["host", "template", "segment"], "left").withColumn(
                 "template", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name"))
                 .otherwise(F.col("template"))).drop("segment", "name"), f"url-level-{level}")
