@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritlake.llm.frames import with_fields, written
@@ -62,9 +62,20 @@ PATTERNS = [
 ]
 _TITLED = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.?[ \u00a0]+(" + _NAME + r")(?:[ \u00a0]+(" + _NAME + r"))?")
 _LISTED = re.compile(r"(?<!\w)(" + "|".join(_GENDER) + r")[ \u00a0]+(" + _NAME + r")(?!\w)")
-# What a document must hold for any of the above; for Spark's own patterns.
-MAYBE = (r"@|[0-9]{3}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox|(?i:password|passwd|pwd|token|secret|api[_-]?key)|"
-         r"(?:" + "|".join([*TITLES, *_GENDER]) + r")[. \u00a0]")
+# What a document must hold for any of the above, for Spark: a sign or digit, the start of a key, a name.
+_SIGNS = "[@0-9]"
+_KEYS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
+_NAMES = r"[A-ZÀ-ÞΑ-ΩА-Я](?<=" + "|".join(sorted({n[0] for n in [*TITLES, *_GENDER]})) + ")(?:" + "|".join(
+    f"(?<={first})(?:" + "|".join(n[1:] for n in [*TITLES, *_GENDER] if n[0] == first) + ")"
+    for first in sorted({n[0] for n in [*TITLES, *_GENDER]})) + r")[. \u00a0]"
+
+
+def may_hold_entities(text: Column) -> Column:
+    """False only for texts without any entity."""
+    found = text.rlike(_SIGNS)
+    for key in _KEYS:
+        found = found | text.contains(key)
+    return F.coalesce(found | text.rlike(_NAMES), F.lit(False))
 
 
 class Entity(NamedTuple):
@@ -285,7 +296,7 @@ def replace_personal_data(docs: DataFrame, secret: bytes, text: str = "text") ->
     replaced. An empty table gives an empty table.
     """
     columns = [c for c in docs.columns if c != "n_replaced"]
-    maybe = F.coalesce(docs[text].rlike(MAYBE), F.lit(False))
+    maybe = may_hold_entities(docs[text])
     clear = docs.filter(~maybe).select(*columns, F.lit(0).alias("n_replaced"))
     given = docs.filter(maybe).select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[text].alias("text"))
 
