@@ -26,8 +26,8 @@ SHINGLE_WORDS = 5
 LEAST_SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 SAMPLES = BANDS * ROWS
-# Estimates of 100 samples vary by 0.04 at 0.8: five times that, and a pair is given up.
-LEAST_ESTIMATE = 0.6
+# Estimates of 100 samples vary by 0.04 at 0.8: nearly four times that, and a pair is given up.
+LEAST_ESTIMATE = 0.65
 # Words are counted in so many cells: the frequencies are a fixed 2 MB to send.
 CELLS = 1 << 18
 # Shingles share the random numbers of so many slots.
@@ -198,7 +198,7 @@ def _sign(documents: DataFrame, idf) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the limit; texts: node, text."""
+    """The pairs (a, b) whose weighted Jaccard similarity reaches the limit; ``texts`` has node and text."""
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
@@ -212,10 +212,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = written(texts.join(ends, "node", "left_semi"), "pair-texts")
-    both = (pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b"))
     return both.mapInArrow(verify, "a long, b long")
 
@@ -240,7 +238,8 @@ def components(links: DataFrame) -> DataFrame:
 def _block_pairs(apart: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of nodes of different classes, one of them apart from its leader, that the samples leave a chance.
 
-    Both have bucket, node, label, samples. Large buckets are cut into blocks that meet pairwise.
+    Both have bucket, node, label, samples, bands. Large buckets are cut into blocks that meet
+    pairwise; a pair comes from the first band in which it shares a bucket.
     """
     key = ["bucket", "one", "other"]
     cut = F.col("n").cast("double") / BLOCK_ROWS
@@ -253,7 +252,8 @@ def _block_pairs(apart: DataFrame, members: DataFrame) -> DataFrame:
         return frame.join(sizes, "bucket").select(
             "bucket", F.pmod(F.xxhash64("node"), F.col(count)).cast("int").alias(mine),
             F.explode(F.sequence(F.lit(0), F.col(against_count) - 1)).alias(against),
-            F.lit(role).alias("role"), "node", "label", "samples").select(*key, "role", "node", "label", "samples")
+            F.lit(role).alias("role"), "node", "label", "samples", "bands").select(
+            *key, "role", "node", "label", "samples", "bands")
 
     rows = spread(apart, "one", "ones", "other", "others", 0).union(
         spread(members, "other", "others", "one", "ones", 1))
@@ -264,13 +264,15 @@ def _block_pairs(apart: DataFrame, members: DataFrame) -> DataFrame:
         def pairs() -> list[tuple[int, int]]:
             if not here[0] or not here[1]:
                 return []
-            (a, a_labels, a_marks), (b, b_labels, b_marks) = (
+            (a, a_labels, a_marks, a_bands), (b, b_labels, b_marks, b_bands) = (
                 (np.array([r[0] for r in side]), np.array([r[1] for r in side]),
-                 np.stack([np.frombuffer(r[2], np.uint32) for r in side])) for side in here)
+                 np.stack([np.frombuffer(r[2], np.uint32) for r in side]), np.array([r[3] for r in side]))
+                for side in here)
             out = []
-            for node, label, marks in zip(a, a_labels, a_marks):
+            for node, label, marks, bands in zip(a, a_labels, a_marks, a_bands):
                 near = (b_marks == marks).mean(axis=1)
-                for other in b[(near >= LEAST_ESTIMATE) & (b_labels != label)]:
+                first = bands[(b_bands == bands).argmax(axis=1)] == group[0]
+                for other in b[(near >= LEAST_ESTIMATE) & (b_labels != label) & first]:
                     out.append((min(int(node), int(other)), max(int(node), int(other))))
             return out
 
@@ -325,7 +327,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     leads = member.join(met, "node").groupBy("bucket").agg(
         F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
     led = written(member.join(leads, "bucket").select("bucket", "node", "leader"), "led")
-    texts = signed.select(F.col("place").alias("node"), "text")
+    texts = written(signed.select(F.col("place").alias("node"), "text").join(met.select("node"), "node", "left_semi"), "texts")
     links = written(_verified(
         led.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, idf), "stars")
     labels = components(links)
@@ -339,7 +341,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     open_buckets = placed.groupBy("bucket").agg(
         F.count("*").alias("n"), F.max("apart").alias("open")).filter("open AND n > 2").select("bucket")
     placed = written(placed.join(open_buckets, "bucket", "left_semi").join(
-        signed.select(F.col("place").alias("node"), "samples"), "node"), "apart")
+        signed.select(F.col("place").alias("node"), "samples", "bands"), "node"), "apart")
     more = _block_pairs(placed.filter("apart"), placed)
     if placed.limit(1).count():
         extra = written(_verified(written(more, "more-pairs"), texts, idf), "more-links")

@@ -102,7 +102,9 @@ def test_blocks_find_what_the_leader_misses(spark, monkeypatch):
     """Nodes apart from a leader are compared with all members of the bucket."""
     monkeypatch.setattr(N, "BLOCK_ROWS", 2)
     marks = {i: np.full(N.SAMPLES, i // 3, np.uint32).tobytes() for i in range(12)}
-    members = spark.createDataFrame([(7, i, i if i > 2 else 0, marks[i]) for i in range(12)],
-                                    "bucket long, node long, label long, samples binary")
+    rows = [(bucket, i, i if i > 2 else 0, marks[i], [5, 7]) for i in range(12) for bucket in (5, 7)]
+    members = spark.createDataFrame(rows, "bucket long, node long, label long, samples binary, bands array<long>")
+    once = N._block_pairs(members.filter("node > 2 AND bucket = 7"), members.filter("bucket = 7"))
+    assert once.count() == 0  # they meet in band 5 already
     got = {(r.a, r.b) for r in N._block_pairs(members.filter("node > 2"), members).collect()}
     assert got == {(i, j) for i in range(3, 12) for j in range(i + 1, 12) if i // 3 == j // 3}
