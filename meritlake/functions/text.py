@@ -31,14 +31,16 @@ def clean_ocr_text(text: Column) -> Column:
     return F.coalesce(_kept_lines(text, "\n", 3), F.lit(""))
 
 
-def sanitize_text(text: Column, limit: int = K.PROMPT_TEXT_LIMIT) -> Column:
-    """Text as a prompt takes it: no control characters, one space, no empty lines, cut at ``limit``.
+def sanitize_text(text: Column, limit: int | None = K.PROMPT_TEXT_LIMIT) -> Column:
+    """Text as a prompt takes it: no control characters, one space, no empty lines, cut at ``limit`` (None: whole).
 
     Empty lines vanish altogether, so squeezing runs of newlines first would change nothing.
     """
     plain = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     plain = F.translate(F.replace(plain, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
     plain = _kept_lines(F.regexp_replace(plain, " +", " "), "\n", 1)
+    if limit is None:
+        return F.coalesce(strip(plain), F.lit(""))
     cut = let(plain, lambda t: F.when(
         F.length(t) > limit,
         F.concat(F.substring(t, 1, limit), F.lit(K.TRUNCATION_MARKER)),

@@ -337,8 +337,7 @@ _USABLE_SQL = ", ".join(
         CASE WHEN doc_id % 3 = 0 THEN 'professional' ELSE 'general' END AS requested_type
       FROM texts JOIN students ON student_id = doc_id % 150 JOIN programmes ON degree = d),
     clean AS (SELECT * EXCLUDE (text), {SANITIZED_SQL} AS s FROM owned),
-    prepared AS (SELECT *, CASE WHEN length(s) > {K.PROMPT_TEXT_LIMIT} THEN substr(s, 1, {K.PROMPT_TEXT_LIMIT}) || chr(10) || chr(10)
-      || '[Text truncated due to length]' ELSE s END AS text FROM clean),
+    prepared AS (SELECT *, s AS text FROM clean),
     {EXTRACT_SQL}, {names_sql('spans', '*')},
     ready AS (SELECT *, match_result IN ('match', 'partial_match') AS name_match,
         len(list_filter(positions, lambda p: p.a > '{AS_OF}' OR p.b > '{AS_OF}')) > 0 OR coalesce(issue_date > '{AS_OF}', false) AS future,
@@ -546,7 +545,7 @@ def _arrivals(t):
 def _(t):
     """The order file as an arriving drop; ends when all of it is evaluated."""
     output = work_folder(t.spark, "stream-decisions")
-    stream_evaluate(_arrivals(t), _evaluator(t), "uploaded_at", output,
+    stream_evaluate(_arrivals(t), _evaluator(t), output,
                     work_folder(t.spark, "stream-state")).awaitTermination()
     return t.spark.read.parquet(output)
 
@@ -556,7 +555,7 @@ def _(t):
       ai_decision, total_working_hours FROM certificates LEFT JOIN decisions USING (certificate_id)""")
 def _(t):
     output = work_folder(t.spark, "stream-status")
-    stream_status(_arrivals(t), lambda: t.decisions, "uploaded_at", output,
+    stream_status(_arrivals(t), lambda: t.decisions, output,
                   work_folder(t.spark, "stream-state")).awaitTermination()
     return t.spark.read.parquet(output).select("certificate_id", "status", "ai_decision", "total_working_hours")
 

@@ -143,7 +143,7 @@ def evaluate_texts(texts: DataFrame, catalogue: DataFrame, as_of: str) -> DataFr
     today = F.lit(as_of).cast("date")
     prepared = (
         texts.withColumn("input_error", input_problem(F.col("text")))
-        .withColumn("text", sanitize_text(F.col("text")))
+        .withColumn("text", sanitize_text(F.col("text"), limit=None))
         .withColumn("programme_key", match_degree(F.col("degree")))
     )
     scored = degree_keyword_score(extract_fields(prepared), catalogue)

@@ -21,13 +21,9 @@ def read_arrivals(spark: SparkSession, schema, path: str, pattern: str = "*.parq
     )
 
 
-def once_per_certificate(arrivals: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """Drop repeats that arrive within the delay. Watermarks need TIMESTAMP, hence the cast."""
-    return (
-        arrivals.withColumn(event_time, F.col(event_time).cast("timestamp"))
-        .withWatermark(event_time, delay)
-        .dropDuplicatesWithinWatermark(["certificate_id"])
-    )
+def once_per_certificate(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row of every certificate of a batch that is not stored yet, however old it is."""
+    return batch.dropDuplicates(["certificate_id"]).join(stored, "certificate_id", "left_anti")
 
 
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -40,42 +36,42 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def stream_evaluate(arrivals: DataFrame, evaluate: Callable[[DataFrame], DataFrame], event_time: str,
-                    output: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+ALL_THERE_IS = {"availableNow": True}
+
+
+def stream_evaluate(arrivals: DataFrame, evaluate: Callable[[DataFrame], DataFrame], output: str, checkpoint: str,
+                    trigger: dict | None = None) -> StreamingQuery:
     """Evaluate arriving certificates and append their decisions, each certificate once.
 
-    Repeats inside the delay are dropped by the stream. Older repeats, and a batch that is run
-    again after a failure, are held off by an anti-join with the decisions already stored.
+    No watermark: a certificate may arrive at any time. Repeats, and a batch that is run again
+    after a failure, are held off by an anti-join with the decisions already stored.
     """
     def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.persist()
-        if not batch.isEmpty():
-            done = _stored(batch.sparkSession, output, batch.select("certificate_id").schema)
-            fresh = batch.join(done, "certificate_id", "left_anti")
-            evaluate(fresh).write.mode("append").parquet(output)
-        batch.unpersist()
+        stored = _stored(batch.sparkSession, output, batch.select("certificate_id").schema)
+        evaluate(once_per_certificate(batch, stored)).write.mode("append").parquet(output)
 
     return (
-        once_per_certificate(arrivals, event_time, delay)
-        .writeStream.foreachBatch(write)
+        arrivals.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or ALL_THERE_IS)).start()
     )
 
 
-def stream_status(arrivals: DataFrame, decisions: Callable[[], DataFrame], event_time: str,
-                  output: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Status of arriving certificates against the decisions stored at that time.
+def stream_status(arrivals: DataFrame, decisions: Callable[[], DataFrame], output: str, checkpoint: str,
+                  trigger: dict | None = None) -> StreamingQuery:
+    """Status of arriving certificates against the decisions stored at that time, each certificate once.
 
-    Each batch goes to a folder of its own, so a batch run again replaces what it wrote.
+    Each batch goes to a folder of its own, so a batch run again replaces what it wrote; what
+    other batches stored counts as there, whatever its age.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        certificate_status(batch, decisions()).write.mode("overwrite").parquet(
-            f"{output}/batch={batch_id}")
+        schema = batch.select("certificate_id").schema.add("batch", "long")
+        stored = _stored(batch.sparkSession, output, schema).filter(F.col("batch") != batch_id)
+        certificate_status(once_per_certificate(batch, stored.select("certificate_id")), decisions()).write.mode(
+            "overwrite").parquet(f"{output}/batch={batch_id}")
 
     return (
-        once_per_certificate(arrivals, event_time, delay)
-        .writeStream.foreachBatch(write)
+        arrivals.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or ALL_THERE_IS)).start()
     )

@@ -10,7 +10,7 @@ from meritlake.sources.calls import map_with_caller
 from meritlake.sources.documents import (
     process_documents, read_documents, read_text_documents, scan_document_inventory)
 from meritlake.sources.tables import read_entity, read_workflow_files
-from meritlake.streaming.certificates import read_arrivals, stream_evaluate
+from meritlake.streaming.certificates import read_arrivals, stream_evaluate, stream_status
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -98,7 +98,7 @@ def test_stream_equals_batch_with_repeats_and_restart(spark):
 
     def run():
         arrivals = read_arrivals(spark, certificates.schema, f"{drops}/*", files_per_batch=1)
-        stream_evaluate(arrivals, _evaluator(tables), "uploaded_at", output, state).awaitTermination()
+        stream_evaluate(arrivals, _evaluator(tables), output, state).awaitTermination()
 
     run()
     certificates.where("certificate_id >= 600").coalesce(1).write.parquet(f"{drops}/two")
@@ -112,6 +112,29 @@ def test_stream_equals_batch_with_repeats_and_restart(spark):
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
 
 
+def test_late_certificates_are_kept(spark):
+    """Four batches, the oldest dates last, repeats among them: the same rows as one batch."""
+    tables = Tables(spark, FOLDER)
+    certificates, drops = tables.certificates, work_folder(spark, "drops")
+    days = [str(r.day) for r in certificates.selectExpr(
+        "explode(percentile(unix_micros(uploaded_at), array(0.25, 0.5, 0.75))) AS day").collect()]
+    at = F.expr("unix_micros(uploaded_at)")
+    parts = [at >= float(days[2]), (at >= float(days[1])) & (at < float(days[2])),
+             (at >= float(days[0])) & (at < float(days[1])), at < float(days[0])]
+    results, states = [work_folder(spark, n) for n in ("out", "status")], [work_folder(spark, n) for n in ("s1", "s2")]
+    for number, part in enumerate(parts):
+        # each drop repeats some rows of the first one
+        certificates.where(part | (parts[0] & F.expr("certificate_id % 7 = 0"))).coalesce(1).write.parquet(f"{drops}/{number}")
+        arrivals = read_arrivals(spark, certificates.schema, f"{drops}/*", files_per_batch=1)
+        stream_evaluate(arrivals, _evaluator(tables), results[0], states[0]).awaitTermination()
+        stream_status(arrivals, lambda: tables.decisions, results[1], states[1]).awaitTermination()
+    for name, folder in zip(("evaluate_certificates", "stream_status"), results):
+        batch = entry_points.queries()[name](spark, FOLDER)
+        streamed = spark.read.parquet(folder).select(*batch.columns)
+        assert streamed.count() == batch.count() == certificates.count()
+        assert streamed.exceptAll(batch).count() == 0
+
+
 def test_invariants(spark):
     rows = entry_points.queries()["evaluate_certificates"](spark, FOLDER)
     caps = F.when(F.col("requested_type") == "professional", 30.0).otherwise(10.0)
