@@ -178,7 +178,7 @@ def best_parts(root: Element) -> list[Element]:
             element.parent.link_size += element.link_size
     scored = []
     for element in elements:
-        loose = element.tag in ("div", "section", "article", "main", "body") and any(
+        loose = element.tag in ("#page", "html", "body", "div", "section", "article", "main") and any(
             isinstance(p, str) and not p.isspace() for p in element.parts)
         if element.tag not in _PARAGRAPHS and not loose:
             continue
