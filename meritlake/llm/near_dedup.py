@@ -4,9 +4,10 @@ A text is a weighted set of shingles of five words; a shingle weighs its count t
 inverse document frequency of its words. Improved consistent weighted sampling draws samples
 whose agreement estimates the weighted Jaccard similarity; bands of samples are buckets. Texts
 with the same words are one node. In each bucket the node that meets most others leads and is
-verified against all members; members that stay apart from their leader are compared with every
-other member by their samples, in blocks, and verified where these leave a chance. So no link
-between candidates is lost, while a bucket of any size gives one row per member.
+verified against all members; members that stay apart from their leader meet every other member
+in blocks of bounded size, which compare samples and verify where these leave a chance. A block
+gives out only links that join classes, fewer than it has members, so no class is lost and no
+bucket gives a row per pair.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ SHINGLE_WORDS = 5
 LEAST_SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 SAMPLES = BANDS * ROWS
-# Estimates of 100 samples vary by 0.04 at 0.8: nearly four times that, and a pair is given up.
-LEAST_ESTIMATE = 0.65
+# Estimates of 100 samples vary by 0.04 at 0.8: five times that, and a pair is given up.
+LEAST_ESTIMATE = 0.6
 # Words are counted in so many cells: the frequencies are a fixed 2 MB to send.
 CELLS = 1 << 18
 # Shingles share the random numbers of so many slots.
 SLOTS = 1 << 13
+# A side of a block has about so many texts and characters.
 BLOCK_ROWS = 256
+BLOCK_CHARS = 16_000_000
 MOST_WORDS = 400_000
 
 _WORDS = re.compile(r"\w+")
@@ -79,10 +82,22 @@ def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, n
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    common, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = np.minimum(a[1][at_a], b[1][at_b]).sum()
-    whole = a[1].sum() + b[1].sum() - least
-    return float(least / whole) if whole else 0.0
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    common = b[0][at] == a[0]
+    least = np.minimum(a[1][common], b[1][at[common]]).sum()
+    return float(least / (a[1].sum() + b[1].sum() - least))
+
+
+def weighted_jaccards(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Similarities of one set to others, none of them empty, in one pass."""
+    hashes = np.concatenate([x[0] for x in others])
+    weights = np.concatenate([x[1] for x in others])
+    starts = np.cumsum([0] + [len(x[0]) for x in others[:-1]])
+    at = np.minimum(np.searchsorted(one[0], hashes), len(one[0]) - 1)
+    least = np.add.reduceat(np.where(one[0][at] == hashes, np.minimum(one[1][at], weights), 0.0), starts)
+    return least / (one[1].sum() + np.add.reduceat(weights, starts) - least)
 
 
 class Sampler:
@@ -235,65 +250,86 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_pairs(apart: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of nodes of different classes, one of them apart from its leader, that the samples leave a chance.
+def _block_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links (a, b) that join classes which the leaders of their buckets left apart.
 
-    Both have bucket, node, label, samples, bands. Large buckets are cut into blocks that meet
-    pairwise; a pair comes from the first band in which it shares a bucket.
+    ``members`` has bucket, node, label (its class so far), chars and apart (not in its leader's
+    class); ``texts`` has node, text and samples. The apart nodes of a bucket and all its members
+    are cut into blocks that meet pairwise; a pair is looked at in the first band in which it
+    shares a bucket, and only while the block knows no link between its classes.
     """
     key = ["bucket", "one", "other"]
-    cut = F.col("n").cast("double") / BLOCK_ROWS
-    ones = apart.groupBy("bucket").agg(F.ceil(F.count("*").cast("double") / BLOCK_ROWS).cast("int").alias("ones"))
-    others = members.groupBy("bucket").agg(F.count("*").alias("n")).select(
-        "bucket", F.ceil(cut).cast("int").alias("others"))
-    sizes = ones.join(others, "bucket")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK_ROWS)), F.sum("chars") / F.lit(float(BLOCK_CHARS)), F.lit(1.0)))
+    apart = members.filter("apart")
+    sizes = apart.groupBy("bucket").agg(blocks.cast("int").alias("ones")).join(
+        members.groupBy("bucket").agg(blocks.cast("int").alias("others")), "bucket")
 
     def spread(frame: DataFrame, mine: str, count: str, against: str, against_count: str, role: int) -> DataFrame:
         return frame.join(sizes, "bucket").select(
             "bucket", F.pmod(F.xxhash64("node"), F.col(count)).cast("int").alias(mine),
             F.explode(F.sequence(F.lit(0), F.col(against_count) - 1)).alias(against),
-            F.lit(role).alias("role"), "node", "label", "samples", "bands").select(
-            *key, "role", "node", "label", "samples", "bands")
+            F.lit(role).alias("role"), "node", "label").select(*key, "role", "node", "label")
 
     rows = spread(apart, "one", "ones", "other", "others", 0).union(
         spread(members, "other", "others", "one", "ones", 1))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, here, found = None, ([], []), []
-
-        def pairs() -> list[tuple[int, int]]:
-            if not here[0] or not here[1]:
-                return []
-            (a, a_labels, a_marks, a_bands), (b, b_labels, b_marks, b_bands) = (
-                (np.array([r[0] for r in side]), np.array([r[1] for r in side]),
-                 np.stack([np.frombuffer(r[2], np.uint32) for r in side]), np.array([r[3] for r in side]))
-                for side in here)
-            out = []
-            for node, label, marks, bands in zip(a, a_labels, a_marks, a_bands):
-                near = (b_marks == marks).mean(axis=1)
-                first = bands[(b_bands == bands).argmax(axis=1)] == group[0]
-                for other in b[(near >= LEAST_ESTIMATE) & (b_labels != label) & first]:
-                    out.append((min(int(node), int(other)), max(int(node), int(other))))
-            return out
-
+        group, sides = None, ([], [])
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != group:
-                    found += pairs()
-                    group, here = row[:3], ([], [])
-                here[row[3]].append(row[4:])
-            if len(found) > 10_000:
-                yield _pairs(found)
-                found = []
-        found += pairs()
-        if found:
-            yield _pairs(found)
-
-    return (rows.repartition(*key).sortWithinPartitions(*key, "role")
-            .mapInArrow(meet, "a long, b long").distinct())
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            found = []
+            for row in zip(*batch.columns):
+                at = tuple(x.as_py() for x in row[:3])
+                if at != group:
+                    found += _links_between(group, *sides, idf.value)
+                    group, sides = at, ([], [])
+                sides[row[3].as_py()].append(tuple(x.as_py() for x in row[4:]))
+            yield _links(found)
+        yield _links(_links_between(group, *sides, idf.value))
+
+    return (rows.join(texts.select("node", "text", "samples"), "node")
+            .select(*key, "role", "node", "label", "text", "samples")
+            .repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(meet, "a long, b long"))
+
+
+def _links_between(group: tuple | None, ones: list[tuple], others: list[tuple], idf: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the classes of one block; members are (node, label, text, samples)."""
+    if not ones or not others:
+        return []
+    marks = np.stack([np.frombuffer(x[3], np.uint32) for x in others])
+    above: dict[int, int] = {}
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def top(label: int) -> int:
+        while label in above:
+            label = above[label]
+        return label
+
+    def shingles(member: tuple) -> tuple[np.ndarray, np.ndarray]:
+        if member[0] not in sets:
+            sets[member[0]] = weighted_shingles(hashed_words(member[2]), idf)
+        return sets[member[0]]
+
+    found = []
+    for one in ones:
+        own = np.frombuffer(one[3], np.uint32)
+        band = int((band_keys(own) == group[0]).argmax())
+        equal = marks == own
+        first = equal.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        near = [others[at] for at in np.flatnonzero(first & (equal.mean(axis=1) >= LEAST_ESTIMATE))]
+        near = [x for x in near if top(x[1]) != top(one[1])]
+        if not near:
+            continue
+        likely = weighted_jaccards(shingles(one), [shingles(x) for x in near]) >= LEAST_SIMILARITY - 1e-9
+        for at in np.flatnonzero(likely):
+            other = near[at]
+            mine, its = top(one[1]), top(other[1])
+            if mine != its and weighted_jaccard(shingles(one), shingles(other)) >= LEAST_SIMILARITY:
+                above[max(mine, its)] = min(mine, its)
+                found.append((one[0], other[0]))
+    return found
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
@@ -316,18 +352,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
         F.struct(docs[key].cast("long").alias("key"), F.struct(*[docs[c] for c in carry]).alias("carry")).alias("row"),
         docs[text].alias("text"))
     idf = spark.sparkContext.broadcast(document_frequencies(given))
-    signed = written(_sign(given, idf).withColumn("place", F.monotonically_increasing_id()), "signed")
+    signed = written(_sign(given, idf).select(
+        "*", F.monotonically_increasing_id().alias("place"), F.length("text").cast("long").alias("chars")), "signed")
 
-    nodes = written(signed.groupBy("same").agg(F.min(F.struct("place", "bands")).alias("first")).select(
-        "same", F.col("first.place").alias("node"), F.col("first.bands").alias("bands")), "nodes")
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    nodes = written(signed.groupBy("same").agg(F.min(F.struct("place", "chars", "bands")).alias("first")).select(
+        "same", F.col("first.place").alias("node"), "first.chars", "first.bands"), "nodes")
+    member = nodes.select("node", "chars", F.explode("bands").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     member = written(member.join(sizes, "bucket"), "buckets")
     met = member.groupBy("node").agg(F.sum("size").alias("met"))
     leads = member.join(met, "node").groupBy("bucket").agg(
         F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
-    led = written(member.join(leads, "bucket").select("bucket", "node", "leader"), "led")
-    texts = written(signed.select(F.col("place").alias("node"), "text").join(met.select("node"), "node", "left_semi"), "texts")
+    led = written(member.join(leads, "bucket").select("bucket", "node", "chars", "leader"), "led")
+    texts = written(signed.select(F.col("place").alias("node"), "text", "samples").join(
+        met.select("node"), "node", "left_semi"), "texts")
     links = written(_verified(
         led.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, idf), "stars")
     labels = components(links)
@@ -340,11 +378,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
         "apart", F.col("label") != F.col("lead_label"))
     open_buckets = placed.groupBy("bucket").agg(
         F.count("*").alias("n"), F.max("apart").alias("open")).filter("open AND n > 2").select("bucket")
-    placed = written(placed.join(open_buckets, "bucket", "left_semi").join(
-        signed.select(F.col("place").alias("node"), "samples", "bands"), "node"), "apart")
-    more = _block_pairs(placed.filter("apart"), placed)
+    placed = written(placed.join(open_buckets, "bucket", "left_semi"), "apart")
     if placed.limit(1).count():
-        extra = written(_verified(written(more, "more-pairs"), texts, idf), "more-links")
+        extra = written(_block_links(placed, texts, idf), "more-links")
         if extra.limit(1).count():
             labels = components(links.union(extra))
 

@@ -99,12 +99,51 @@ def test_components_of_paths_and_stars(spark):
 
 
 def test_blocks_find_what_the_leader_misses(spark, monkeypatch):
-    """Nodes apart from a leader are compared with all members of the bucket."""
-    monkeypatch.setattr(N, "BLOCK_ROWS", 2)
-    marks = {i: np.full(N.SAMPLES, i // 3, np.uint32).tobytes() for i in range(12)}
-    rows = [(bucket, i, i if i > 2 else 0, marks[i], [5, 7]) for i in range(12) for bucket in (5, 7)]
-    members = spark.createDataFrame(rows, "bucket long, node long, label long, samples binary, bands array<long>")
-    once = N._block_pairs(members.filter("node > 2 AND bucket = 7"), members.filter("bucket = 7"))
-    assert once.count() == 0  # they meet in band 5 already
-    got = {(r.a, r.b) for r in N._block_pairs(members.filter("node > 2"), members).collect()}
-    assert got == {(i, j) for i in range(3, 12) for j in range(i + 1, 12) if i // 3 == j // 3}
+    """Nodes apart from a leader meet all members of the bucket; links join exactly what is alike."""
+    rng = random.Random(9)
+    texts = []
+    for group in range(4):
+        base = ["g%d w%d" % (group, i) for i in range(30)]
+        for _ in range(3):
+            texts.append(" ".join(base[:29] + [rng.choice(base)]))
+    idf = np.ones(N.CELLS)
+    sampler = N.Sampler()
+    marks = [sampler.samples(*N.weighted_shingles(N.hashed_words(t), idf)) for t in texts]
+    rows = [(int(bucket), i, i if i > 2 else 0, len(texts[i]), i > 2)
+            for i in range(12) for bucket in N.band_keys(marks[i])]
+    members = spark.createDataFrame(rows, "bucket long, node long, label long, chars long, apart boolean")
+    held = spark.createDataFrame([(i, texts[i], marks[i].tobytes()) for i in range(12)],
+                                 "node long, text string, samples binary")
+    sent = spark.sparkContext.broadcast(idf)
+    for limit in (2, 256):
+        monkeypatch.setattr(N, "BLOCK_ROWS", limit)
+        links = N._block_links(members, held, sent)
+        assert all(r.a // 3 == r.b // 3 > 0 and r.a != r.b for r in links.collect())
+        assert {r.node: r.label for r in N.components(links).collect()} == {i: i // 3 * 3 for i in range(3, 12)}
+
+
+def test_large_class_beside_the_leaders_is_joined_by_few_links():
+    """Two hundred alike texts of classes of their own give a link each, not one for each pair."""
+    idf, sampler = np.ones(N.CELLS), N.Sampler()
+    texts = [" ".join("w%d" % i for i in range(300)) + " end%d" % k for k in range(200)]
+    marks = [sampler.samples(*N.weighted_shingles(N.hashed_words(t), idf)) for t in texts]
+    counts = defaultdict(int)
+    for k in N.band_keys(marks[0]):
+        counts[int(k)] += 1
+    linked = set()
+    for bucket in counts:
+        block = [(i, i, t, m.tobytes()) for i, (t, m) in enumerate(zip(texts, marks)) if bucket in N.band_keys(m)]
+        links = N._links_between((bucket, 0, 0), block, block, idf)
+        assert len(links) < len(block)
+        linked |= {x for pair in links for x in pair}
+    assert linked == set(range(200))
+
+
+def test_similarities_in_one_pass():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(30):
+        hashes = np.unique(rng.integers(0, 90, 40).astype(np.uint64))
+        sets.append((hashes, rng.uniform(1, 9, len(hashes))))
+    assert np.allclose(N.weighted_jaccards(sets[0], sets), [N.weighted_jaccard(sets[0], x) for x in sets])
+    assert N.weighted_jaccard(sets[0], (np.zeros(0, np.uint64), np.zeros(0))) == 0.0
