@@ -38,11 +38,22 @@ def _mask(cell: Column) -> Column:
     return F.call_function("shiftleft", one, first).bitwiseOR(F.call_function("shiftleft", one, second))
 
 
+def bloom_filter(keys: DataFrame, key: str) -> DataFrame:
+    """Bloom filter of the values of a column: word, bits; at most FILTER_WORDS rows."""
+    return (keys.select(_word(F.col(key)).alias("word"), _mask(F.col(key)).alias("mask"))
+            .groupBy("word").agg(F.bit_or("mask").alias("bits")))
+
+
+def perhaps_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be one of the keys, none of these left out; nothing but the filter moves."""
+    known = bloom_filter(keys, key)
+    return (rows.withColumn("word", _word(F.col(key))).join(F.broadcast(known), "word")
+            .filter(F.col("bits").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key))).drop("word", "bits"))
+
+
 def repeated_filter(cells: DataFrame) -> DataFrame:
     """Bloom filter of the cells that more than one row has: word, bits; at most FILTER_WORDS rows."""
-    twice = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    return (twice.select(_word(F.col("cell")).alias("word"), _mask(F.col("cell")).alias("mask"))
-            .groupBy("word").agg(F.bit_or("mask").alias("bits")))
+    return bloom_filter(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "cell")
 
 
 def mark_copies(docs: DataFrame, text: str = "text", key: str = "doc_id",

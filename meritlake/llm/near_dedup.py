@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meritlake.llm.exact_dedup import perhaps_among
 from meritlake.llm.frames import with_fields, written
 
 SHINGLE_WORDS = 5
@@ -355,17 +356,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     signed = written(_sign(given, idf).select(
         "*", F.monotonically_increasing_id().alias("place"), F.length("text").cast("long").alias("chars")), "signed")
 
-    nodes = written(signed.groupBy("same").agg(F.min(F.struct("place", "chars", "bands")).alias("first")).select(
-        "same", F.col("first.place").alias("node"), "first.chars", "first.bands"), "nodes")
-    member = nodes.select("node", "chars", F.explode("bands").alias("bucket"))
-    sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    member = written(member.join(sizes, "bucket"), "buckets")
+    nodes = written(signed.groupBy("same").agg(F.min(F.struct("place", "bands")).alias("first")).select(
+        "same", F.col("first.place").alias("node"), F.col("first.bands").alias("bands")), "nodes")
+    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = written(member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    # most buckets have one member: the filter keeps their rows from moving
+    member = written(perhaps_among(member, "bucket", sizes).join(sizes, "bucket"), "buckets")
     met = member.groupBy("node").agg(F.sum("size").alias("met"))
     leads = member.join(met, "node").groupBy("bucket").agg(
         F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
-    led = written(member.join(leads, "bucket").select("bucket", "node", "chars", "leader"), "led")
-    texts = written(signed.select(F.col("place").alias("node"), "text", "samples").join(
-        met.select("node"), "node", "left_semi"), "texts")
+    led = written(member.join(leads, "bucket").select("bucket", "node", "leader"), "led")
+    # a text too many does no harm, so the texts need not move for an exact choice
+    texts = written(perhaps_among(signed.select(F.col("place").alias("node"), "text", "samples", "chars"),
+                                  "node", met.select("node")), "texts")
     links = written(_verified(
         led.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, idf), "stars")
     labels = components(links)
@@ -378,7 +381,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
         "apart", F.col("label") != F.col("lead_label"))
     open_buckets = placed.groupBy("bucket").agg(
         F.count("*").alias("n"), F.max("apart").alias("open")).filter("open AND n > 2").select("bucket")
-    placed = written(placed.join(open_buckets, "bucket", "left_semi"), "apart")
+    placed = written(placed.join(open_buckets, "bucket", "left_semi").join(texts.select("node", "chars"), "node"), "apart")
     if placed.limit(1).count():
         extra = written(_block_links(placed, texts, idf), "more-links")
         if extra.limit(1).count():
