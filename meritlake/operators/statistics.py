@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from meritlake import constants as K
 from meritlake.functions.companies import company_issue, rollup_status
-from meritlake.operators.spread import HOT_GROUP_ROWS, collect_in_order
 
 
 def statistics(students, certificates, decisions) -> DataFrame:
@@ -213,50 +212,45 @@ def company_issues(positions, verdicts, keep: list[str] | None = None) -> DataFr
         "certificate_id", *(keep or []), F.inline(F.array(company_issue(F.col("employer"), F.col("company.status")))))
 
 
-def combine_documents(main_texts: DataFrame, documents: DataFrame, order: list[str],
-                      max_items: int = 1_000, limit: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Main text followed by its numbered extra documents under headers.
+def combine_documents(main_texts: DataFrame, documents: DataFrame, order: list[str]) -> DataFrame:
+    """Main text followed by its numbered extra documents under headers, one whole text per certificate.
 
     ``main_texts``: certificate_id, text. ``documents``: certificate_id, document_type,
-    filename, ocr_text and the order columns. Beyond ``max_items`` documents the text goes on
-    in further rows, in the order of ``first_position``.
+    filename, ocr_text and the order columns, which are distinct within a certificate. The text
+    of one certificate has to fit a cell (2 GB).
     """
     return _numbered(
-        documents, order, max_items, limit,
-        lambda i: F.concat(
-            F.lit("ADDITIONAL DOCUMENT "), i.cast("string"), F.lit(" ("),
-            F.coalesce("document_type", F.lit("ADDITIONAL_DOCUMENT")), F.lit(" - "),
-            F.coalesce("filename", F.concat(F.lit("document_"), i.cast("string"))), F.lit("):\n"),
-            F.coalesce("ocr_text", F.lit("")), F.lit("\n\n")),
+        documents, order, F.coalesce("ocr_text", F.lit("")),
+        lambda i, d: F.concat(
+            F.lit("ADDITIONAL DOCUMENT "), i, F.lit(" ("),
+            F.coalesce(d["document_type"], F.lit("ADDITIONAL_DOCUMENT")), F.lit(" - "),
+            F.coalesce(d["filename"], F.concat(F.lit("document_"), i)), F.lit("):\n"), d["body"], F.lit("\n\n")),
         separator="", main=main_texts,
         head=F.concat(F.lit("MAIN CERTIFICATE:\n"), F.coalesce("text", F.lit("")), F.lit("\n\n")),
-        empty="",
-    ).withColumnRenamed("_text", "combined_text")
+        empty="", name="combined_text")
 
 
-def additional_doc_digest(main_texts: DataFrame, documents: DataFrame, order: list[str],
-                          max_items: int = 1_000, limit: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Numbered digest: file name, type and the start of each document's text."""
+def additional_doc_digest(main_texts: DataFrame, documents: DataFrame, order: list[str]) -> DataFrame:
+    """Numbered digest: file name, type and the start of each document's text, one per certificate.
+
+    Texts are cut to their start before they move.
+    """
     cut = K.DIGEST_TEXT_LIMIT
     text = F.coalesce("ocr_text", F.lit(""))
     return _numbered(
-        documents, order, max_items, limit,
-        lambda i: F.concat(
-            F.lit("\nAdditional Document "), i.cast("string"), F.lit(":\n- Filename: "),
-            F.coalesce("filename", F.concat(F.lit("Document "), i.cast("string"))),
-            F.lit("\n- Type: "), F.coalesce("document_type", F.lit("Unknown")),
-            F.lit("\n- Content: "), F.substring(text, 1, cut),
-            F.when(F.length(text) > cut, F.lit("...")).otherwise(F.lit("")), F.lit("\n")),
-        separator="\n", main=main_texts, head=F.lit(""),
-        empty="No additional documents provided.",
-    ).withColumnRenamed("_text", "digest")
-
-
-def _numbered(documents, order, max_items, limit, entry, separator, main, head, empty) -> DataFrame:
-    pieces = collect_in_order(
-        documents, ["certificate_id"], order, entry(F.col("position")), "_entries", max_items, limit)
-    body = F.coalesce(F.array_join("_entries", separator), F.lit(empty))
-    first = F.coalesce(F.col("first_position"), F.lit(1)).cast("long")
-    return main.join(pieces, "certificate_id", "left").select(
-        "certificate_id", first.alias("first_position"),
-        F.concat(F.when(first == 1, head).otherwise(F.lit("")), body).alias("_text"))
+        documents, order,
+        F.concat(F.substring(text, 1, cut), F.when(F.length(text) > cut, F.lit("...")).otherwise(F.lit(""))),
+        lambda i, d: F.concat(
+            F.lit("\nAdditional Document "), i, F.lit(":\n- Filename: "),
+            F.coalesce(d["filename"], F.concat(F.lit("Document "), i)),
+            F.lit("\n- Type: "), F.coalesce(d["document_type"], F.lit("Unknown")),
+            F.lit("\n- Content: "), d["body"], F.lit("\n")),
+        separator="\n", main=main_texts, head=F.lit(""), empty="No additional documents provided.", name="digest")
+
+
+def _numbered(documents, order, body, entry, separator, main, head, empty, name) -> DataFrame:
+    document = F.struct(F.struct(*order).alias("place"), "document_type", "filename", body.alias("body"))
+    whole = documents.groupBy("certificate_id").agg(F.sort_array(F.collect_list(document)).alias("_documents"))
+    entries = F.transform("_documents", lambda d, i: entry((i + 1).cast("string"), d))
+    return main.join(whole, "certificate_id", "left").select(
+        "certificate_id", F.concat(head, F.coalesce(F.array_join(entries, separator), F.lit(empty))).alias(name))

@@ -22,6 +22,8 @@ from meritlake.sources.tables import list_view, write_decision_records
 STUDENT = 7
 EMAIL = f"customer.000000007@{EMAIL_DOMAIN}"
 CERTIFICATE = 12
+DOCUMENTED_CERTIFICATE = 31  # has extra documents in every data folder
+COMMENTED_CERTIFICATE = 8  # its decision has a comment in every data folder
 REVIEWER = 3
 
 # --- scans, sources, sinks ------------------------------------------------------------------
@@ -215,18 +217,18 @@ def _(t):
 
 @query("additional_documents_of", f"""
     SELECT document_id, document_type, filename, filetype, ocr_output, strftime(uploaded_at, '%Y-%m-%d') AS uploaded_day
-    FROM additional_documents WHERE certificate_id = {CERTIFICATE} ORDER BY uploaded_at, document_id""")
+    FROM additional_documents WHERE certificate_id = {DOCUMENTED_CERTIFICATE} ORDER BY uploaded_at, document_id""")
 def _(t):
-    return lookups.additional_documents_of(t.additional_documents, CERTIFICATE).select(
+    return lookups.additional_documents_of(t.additional_documents, DOCUMENTED_CERTIFICATE).select(
         "document_id", "document_type", "filename", "filetype", "ocr_output",
         day("uploaded_at").alias("uploaded_day"))
 
 
-@query("student_comment_of", """
+@query("student_comment_of", f"""
     SELECT certificate_id, student_comment FROM decisions
-    WHERE certificate_id = 5 AND student_comment IS NOT NULL""")
+    WHERE certificate_id = {COMMENTED_CERTIFICATE} AND student_comment IS NOT NULL""")
 def _(t):
-    return lookups.student_comment_of(t.decisions, 5)
+    return lookups.student_comment_of(t.decisions, COMMENTED_CERTIFICATE)
 
 
 @query("redact_for_output", """
@@ -341,21 +343,33 @@ def _(t):
     return A.student_identity_by_certificate(t.certificates, t.students)
 
 
-@query("orphan_report", """
-    WITH kept AS (SELECT * FROM certificates WHERE training_type = 'GENERAL'),
-      seniors AS (SELECT * FROM reviewers WHERE position = 'Lecturer')
-    SELECT 'decisions' AS child_table, 'certificate_id' AS key_column, decision_id AS row_id,
-      CAST(certificate_id AS VARCHAR) AS key_value
-    FROM decisions WHERE certificate_id NOT IN (SELECT certificate_id FROM kept)
-    UNION ALL SELECT 'decisions', 'reviewer_id', decision_id, CAST(reviewer_id AS VARCHAR) FROM decisions
-    WHERE reviewer_id IS NOT NULL AND reviewer_id NOT IN (SELECT reviewer_id FROM seniors)
+def _dangling(key: str, every: int) -> str:
+    """A foreign key of which one certificate in ``every`` points nowhere; ids are never negative."""
+    return f"CASE WHEN certificate_id % {every} = 0 THEN -1 - {key} ELSE {key} END"
+
+
+@query("orphan_report", f"""
+    WITH owned AS (SELECT certificate_id, {_dangling('student_id', 11)} AS student_id FROM certificates),
+      decided AS (SELECT decision_id, {_dangling('certificate_id', 13)} AS certificate_id,
+        {_dangling('reviewer_id', 17)} AS reviewer_id FROM decisions),
+      attached AS (SELECT document_id, {_dangling('certificate_id', 19)} AS certificate_id FROM additional_documents)
+    SELECT 'certificates' AS child_table, 'student_id' AS key_column, CAST(certificate_id AS VARCHAR) AS row_id,
+      CAST(student_id AS VARCHAR) AS key_value
+    FROM owned WHERE student_id NOT IN (SELECT student_id FROM students)
+    UNION ALL SELECT 'decisions', 'certificate_id', decision_id, CAST(certificate_id AS VARCHAR)
+    FROM decided WHERE certificate_id NOT IN (SELECT certificate_id FROM certificates)
+    UNION ALL SELECT 'decisions', 'reviewer_id', decision_id, CAST(reviewer_id AS VARCHAR) FROM decided
+    WHERE reviewer_id IS NOT NULL AND reviewer_id NOT IN (SELECT reviewer_id FROM reviewers)
     UNION ALL SELECT 'additional_documents', 'certificate_id', document_id, CAST(certificate_id AS VARCHAR)
-    FROM additional_documents WHERE certificate_id NOT IN (SELECT certificate_id FROM kept)""")
+    FROM attached WHERE certificate_id NOT IN (SELECT certificate_id FROM certificates)""")
 def _(t):
-    """Parents are thinned by an attribute, since the given keys have no orphans."""
+    """Whole tables; the given keys have no orphans, so some are made to point nowhere."""
+    decided = t.decisions.select(
+        "decision_id", F.expr(_dangling("certificate_id", 13)).alias("certificate_id"),
+        F.expr(_dangling("reviewer_id", 17)).alias("reviewer_id"))
     return A.orphan_report(
-        t.students, t.certificates.where("training_type = 'GENERAL'"), t.decisions,
-        t.reviewers.where("position = 'Lecturer'"), t.additional_documents)
+        t.students, t.certificates.withColumn("student_id", F.expr(_dangling("student_id", 11))), decided, t.reviewers,
+        t.additional_documents.withColumn("certificate_id", F.expr(_dangling("certificate_id", 19))))
 
 
 @query("unprocessed_certificates", """
@@ -531,7 +545,6 @@ _DOCS_SQL = """docs AS (SELECT conv_id AS certificate_id, role AS document_type,
       row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i
       FROM conversations WHERE turn > 0),
     main AS (SELECT conv_id AS certificate_id, text FROM conversations WHERE turn = 0)"""
-ITEMS = 3  # few, so that longer conversations show the split into rows
 
 
 def _conversations(t):
@@ -546,31 +559,28 @@ def _conversations(t):
 
 @query("combine_documents", f"""
     WITH {_DOCS_SQL},
-    pieces AS (SELECT certificate_id, min(i) AS first_position, string_agg('ADDITIONAL DOCUMENT ' || CAST(i AS VARCHAR)
+    whole AS (SELECT certificate_id, string_agg('ADDITIONAL DOCUMENT ' || CAST(i AS VARCHAR)
         || ' (' || document_type || ' - ' || filename || '):' || chr(10) || ocr_text || chr(10) || chr(10), '' ORDER BY i) AS body
-      FROM docs GROUP BY certificate_id, (i - 1) // {ITEMS})
-    SELECT certificate_id, coalesce(first_position, 1) AS first_position,
-      CASE WHEN coalesce(first_position, 1) = 1 THEN 'MAIN CERTIFICATE:' || chr(10) || text || chr(10) || chr(10)
-        ELSE '' END || coalesce(body, '') AS combined_text
-    FROM main LEFT JOIN pieces USING (certificate_id)""")
+      FROM docs GROUP BY certificate_id)
+    SELECT certificate_id, 'MAIN CERTIFICATE:' || chr(10) || text || chr(10) || chr(10) || coalesce(body, '') AS combined_text
+    FROM main LEFT JOIN whole USING (certificate_id)""")
 def _(t):
     main, docs = _conversations(t)
-    return S.combine_documents(main, docs, ["turn"], max_items=ITEMS)
+    return S.combine_documents(main, docs, ["turn"])
 
 
 @query("additional_doc_digest", f"""
     WITH {_DOCS_SQL},
-    pieces AS (SELECT certificate_id, min(i) AS first_position, string_agg(chr(10) || 'Additional Document ' || CAST(i AS VARCHAR)
+    whole AS (SELECT certificate_id, string_agg(chr(10) || 'Additional Document ' || CAST(i AS VARCHAR)
         || ':' || chr(10) || '- Filename: ' || filename || chr(10) || '- Type: ' || document_type || chr(10)
         || '- Content: ' || substr(ocr_text, 1, 500) || CASE WHEN length(ocr_text) > 500 THEN '...' ELSE '' END
         || chr(10), chr(10) ORDER BY i) AS body
-      FROM docs GROUP BY certificate_id, (i - 1) // {ITEMS})
-    SELECT certificate_id, coalesce(first_position, 1) AS first_position,
-      coalesce(body, 'No additional documents provided.') AS digest
-    FROM main LEFT JOIN pieces USING (certificate_id)""")
+      FROM docs GROUP BY certificate_id)
+    SELECT certificate_id, coalesce(body, 'No additional documents provided.') AS digest
+    FROM main LEFT JOIN whole USING (certificate_id)""")
 def _(t):
     main, docs = _conversations(t)
-    return S.additional_doc_digest(main, docs, ["turn"], max_items=ITEMS)
+    return S.additional_doc_digest(main, docs, ["turn"])
 
 
 # --- ordered groups ------------------------------------------------------------------------------------
