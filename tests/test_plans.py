@@ -2,10 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as entry_points
+from meritlake.plans import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
+QUERIES = all_queries.queries()
 PYTHON = {"map_with_caller", "process_documents"}
 WRITES = {"evaluate_with_model", "append_records", "write_decision_records", "stream_evaluate", "stream_status"}
 
