@@ -84,18 +84,19 @@ def _companies(named: DataFrame, templates: dict[str, str], callers: Callers, pa
 
 def evaluate_with_model(certificates: DataFrame, students: DataFrame, catalogue: DataFrame, callers: Callers,
                         as_of: str, templates: dict[str, str] = PROMPT_TEMPLATES,
-                        partitions: int | None = None) -> DataFrame:
+                        partitions: int | None = None, limit: int | None = None) -> DataFrame:
     """One result row per certificate.
 
     ``certificates``: certificate_id, student_id, training_type, text. ``students``: student_id,
     first_name, last_name, degree. ``catalogue``: programme_key, name, industries, roles.
     ``callers``: for each of extraction, evaluation, company, validation and correction the
-    ordered (name, factory) pairs. ``partitions`` evens out the load of the calls.
+    ordered (name, factory) pairs. ``partitions`` evens out the load of the calls. Prompts hold
+    the whole text, or its first ``limit`` characters.
     """
     date = F.lit(as_of)
     prepared = certificates.select(
         "certificate_id", "student_id", F.lower("training_type").alias("requested_type"),
-        input_problem(F.col("text")).alias("_problem"), sanitize_text(F.col("text")).alias("text"))
+        input_problem(F.col("text")).alias("_problem"), sanitize_text(F.col("text"), limit).alias("text"))
     unusable = _failed(prepared.where(F.col("_problem").isNotNull()), F.col("_problem"))
 
     # 1. extraction, dates

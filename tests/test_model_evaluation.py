@@ -70,3 +70,29 @@ def test_stages(spark):
     assert (rows[5].success, rows[5].error) == (False, "Evaluation failed: no answer")
     assert (rows[6].ai_decision, rows[6].name_validation_match_result) == ("ACCEPTED", "unknown")
     assert not rows[1].corrected
+
+
+def test_positions_late_in_a_long_text(spark):
+    late = "a long certificate " + "of many words " * 1000 + "Employer: Faraway Works, 1.2.2003 - 3.4.2005, 837 hours."
+    assert late.index("Faraway") > 8000
+
+    def extraction():
+        def call(prompt):
+            found = "Faraway Works" if "Employer: Faraway Works, 1.2.2003 - 3.4.2005, 837 hours." in prompt else ""
+            return json.dumps({"employee_name": "John Doe", "employer": found, "employer_address": "Street 1",
+                               "positions": [{"title": "t", "employer": found}] if found else []})
+
+        return call
+
+    certificates = spark.createDataFrame(
+        [(1, 1, "GENERAL", late)], "certificate_id int, student_id int, training_type string, text string")
+    students = spark.createDataFrame([(1, "John", "Doe", "Business")], "student_id int, first_name string, last_name string, degree string")
+    keywords = spark.createDataFrame([("general", "role", "clerk")], "programme_key string, kind string, keyword string")
+    callers = {**scripted(), "extraction": [("reader", extraction)]}
+
+    def row(**limit):
+        return evaluate_with_model(certificates, students, degree_catalogue(keywords), callers, "2024-01-01", **limit).collect()[0]
+
+    whole = row()
+    assert (whole.training_institution, whole.company_validation_status) == ("Faraway Works", "NOT_LEGITIMATE")
+    assert row(limit=8000).training_institution != "Faraway Works"
