@@ -3,8 +3,10 @@
 Each page becomes a tree of elements. Every paragraph gives points, for its length and its
 commas, to its parent and half of them to its grandparent; an element's points are discounted by
 the share of its text that lies in links. The best element and those of its siblings that score
-nearly as well, or are running text themselves, are the article. Pages are independent rows, so
-the work is one pass without a shuffle.
+nearly as well, or are running text, headings, lists or sections without links themselves, are the
+article. Blocks whose class says that they are something else are left out, unless they hold an
+article or much of the page's text. Pages are independent rows, so the work is one pass without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -36,15 +38,25 @@ ITEMS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"
 APART = frozenset(
     "head nav header footer aside form button select input label dialog menu svg object audio video canvas "
     "math applet map".split()) | RAW
-_APART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|sidebar|side-bar|"
-    r"menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notice|newsletter|"
-    r"subscribe|subscription|signup|login|popup|modal|overlay|comments?|comment-list|replies|disqus|respond|"
-    r"share|sharing|social|related|recommended|outbrain|taboola|widget|toolbar|pager|pagination|skip-link|"
-    r"hidden|legal|disclaimer)(?:$|[\s_-])", re.I)
+# Whole class names and ids of blocks that are not the article: parts of the layout, and texts of others. A name may
+# have a place in front and name more parts behind (site-header, sidebar-left, cookie-notice), never another word
+# (no-sidebar, content-sidebar-wrap).
+_LAYOUT = (r"banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|notice|popup|modal|"
+           r"overlay|share|sharing|social|related|recommended|widgets?|toolbar|pager|pagination|skip-link|hidden|legal|disclaimer")
+_OTHERS = (r"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|cookies?|consent|gdpr|newsletter|subscribe|"
+           r"subscription|signup|login|comments?|replies|disqus|respond")
+_PLACES = r"(?:(?:site|page|main|primary|secondary|mobile|global|top|bottom|left|right)[_-])?"
+_MORE = rf"(?:[_-](?:{_LAYOUT}|{_OTHERS}|list|links?|items?|buttons?|bar|box|body|area|left|right|top|bottom|[0-9]+))*"
+_LAYOUT_NAME = re.compile(rf"(?<!\S){_PLACES}(?:{_LAYOUT}){_MORE}(?!\S)", re.I)
+_OTHERS_NAME = re.compile(rf"(?<!\S){_PLACES}(?:(?:{_LAYOUT})[_-])?(?:{_OTHERS}){_MORE}(?!\S)", re.I)
+# A block with such a name stays when it holds so large a share of the page's unlinked text; what is
+# named as the text of others has to be so long as well.
+LAYOUT_SHARE, OTHERS_SHARE, OTHERS_SIZE = 0.2, 0.5, 80
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Elements that hold an article whatever their class says.
 _KEEPS = frozenset("html body article main".split())
+# Blocks beside the best container that belong to it when they are not links.
+_BESIDE = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl pre section blockquote table figure".split())
 _PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -54,33 +66,63 @@ _COMMA = re.compile("[,،、，]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "apart", "points", "text_size", "link_size")
+    __slots__ = ("tag", "parent", "parts", "apart", "named", "points", "text_size", "link_size")
 
-    def __init__(self, tag: str, parent: Element | None, apart: bool = False):
-        self.tag, self.parent, self.apart = tag, parent, apart
+    def __init__(self, tag: str, parent: Element | None, apart: bool = False, named: str = ""):
+        self.tag, self.parent, self.apart, self.named = tag, parent, apart, named
         self.parts: list[Element | str] = []
         self.points = 0.0
         self.text_size = self.link_size = 0
 
 
-def _is_apart(tag: str, written: str) -> bool:
+def _is_apart(tag: str, written: str) -> tuple[bool, str]:
+    """Whether an element is never part of an article, and what its class or id says: layout, others or nothing."""
     if tag in APART:
-        return True
-    if tag in _KEEPS or not written or written.isspace():
-        return False
+        return True, ""
+    named = ""
+    if not written or written.isspace():
+        return False, named
     for name, value in _ATTRIBUTE.findall(written):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if _APART_NAMES.search(value):
-                return True
+            if _OTHERS_NAME.search(value):
+                named = "others"
+            elif not named and _LAYOUT_NAME.search(value):
+                named = "layout"
+        elif tag in _KEEPS:
+            continue
         elif name == "role":
             if value.lower() in _APART_ROLES:
-                return True
+                return True, named
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, named
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, named
+    return False, named
+
+
+def _part_named(root: Element) -> None:
+    """Sets apart what is named so, but for blocks that hold an article or much of the page's unlinked text."""
+    elements = _in_order(root)
+    if not any(e.named and e.tag not in _KEEPS for e in elements):
+        return
+    links, sizes, holds = set(), {}, set()
+    for element in elements:
+        if element.tag == "a" or id(element.parent) in links:
+            links.add(id(element))
+        sizes[id(element)] = 0 if id(element) in links else sum(
+            len(p.strip()) for p in element.parts if isinstance(p, str))
+    for element in reversed(elements):
+        if element.parent is not None:
+            sizes[id(element.parent)] += sizes[id(element)]
+            # an article that is named as the text of others is a comment or an advertisement
+            if element.tag in ("article", "main") and element.named != "others" or id(element) in holds:
+                holds.add(id(element.parent))
+    for element in elements:
+        if element.named and element.tag not in _KEEPS and id(element) not in holds:
+            size, of_others = sizes[id(element)], element.named == "others"
+            much = size > 0 and size >= sizes[id(root)] * (OTHERS_SHARE if of_others else LAYOUT_SHARE)
+            element.apart = not much or of_others and size < OTHERS_SIZE
 
 
 def parse(page: str) -> Element:
@@ -121,7 +163,7 @@ def parse(page: str) -> Element:
                 scope = scope.parent
             if last is not None and scope is not None:
                 here = last.parent
-        element = Element(tag, here, _is_apart(tag, found[3]))
+        element = Element(tag, here, *_is_apart(tag, found[3]))
         here.parts.append(element)
         if tag in VOID or found[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -130,6 +172,7 @@ def parse(page: str) -> Element:
             at = end.end() if end else size
             continue
         here = element
+    _part_named(root)
     return root
 
 
@@ -220,6 +263,8 @@ def best_parts(root: Element) -> list[Element]:
             linked = sibling.link_size / max(1, sibling.text_size)
             if len(text) > 80 and linked < 0.25 or text and not linked and re.search(r"[.!?]\s|[.!?]$", text):
                 chosen.append(sibling)
+        elif sibling.tag in _BESIDE and sibling.text_size and sibling.link_size < 0.25 * sibling.text_size:
+            chosen.append(sibling)
     return chosen
 
 

@@ -167,3 +167,38 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == counts[3]
     assert packed.groupBy("sequence_id").count().filter("count > 1").count() == 0
     assert P.STAGES[1][1](spark, docs.filter(F.lit(False)), "/root/testdata/sf0.01").count() == 0
+
+
+LONG = "<p>Running text, of some length, that a reader came for, and that has no link in it.</p>" * 3
+
+
+@pytest.mark.parametrize("name", [
+    "content-sidebar-wrap", "content no-sidebar", "site has-header", "elementor-widget elementor-widget-text-editor",
+    "post legal", "widget", "site-header", "comments"])
+def test_names_do_not_remove_an_article(name):
+    text = main_text(PAGE.replace(' id="comments"', "") % f"<div class='{name}'>{LONG}</div>")
+    assert text.count("Running text") == 3
+    assert main_text(PAGE % f"<div id='{name}'><article><h1>Head</h1><p>Text.</p></article></div>") == "Head\n\nText."
+    inside = main_text(PAGE % f"<article><p>Short.</p><div class='{name}'>{LONG}</div></article>")
+    assert inside.count("Running text") == 3 and inside.startswith("Short.")
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "sidebar-left", "widget", "cookie-notice", "comments", "comment-list", "nav menu"])
+def test_named_blocks_without_much_text_are_removed(name):
+    body = f"<article>{LONG}<div class='box {name}'><p>Something else.</p></div></article>"
+    assert "Something" not in main_text(PAGE % body)
+
+
+def test_comments_that_are_articles_stay_out():
+    comments = "".join(f"<article class='comment-body'><p>I say, number {i}.</p></article>" for i in range(3))
+    assert "I say" not in main_text(f"<body><div>{LONG * 3}</div><div class='comments'>{comments}</div></body>")
+
+
+@pytest.mark.parametrize("beside, text", [
+    ("<h1>Head</h1>", "Head"), ("<section><h2>More</h2>short</section>", "More\n\nshort"), ("<ul><li>one<li>two</ul>", "one\n\ntwo"),
+    ("<pre>x = 1</pre>", "x = 1"), ("<blockquote>said</blockquote>", "said")])
+def test_short_blocks_beside_the_body_stay(beside, text):
+    linked = "<ul><li><a href='/a'>Other page</a></ul><h3><a href='/b'>Next</a></h3>"
+    got = main_text(f"<body>{beside}<div>{LONG * 4}</div>{linked}</body>")
+    assert got.startswith(text + "\n\nRunning text") and got.count("Running text") == 12
+    assert "Other page" not in got and "Next" not in got
