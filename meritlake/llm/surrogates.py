@@ -5,14 +5,16 @@ entity has the same surrogate in all documents; it keeps length, case, script an
 its gender, a card number its check digit. Two entities that would get one surrogate, or a
 surrogate that is itself an entity of the corpus, are told apart: one of them draws again, until
 all differ. These few redrawn entities are joined to their documents; every other surrogate is
-computed where it is needed. Documents without digits, @ or names pass straight through.
+computed where it is needed. Documents without digits of any script, @ or names pass straight through.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -48,22 +50,41 @@ ENDINGS = {"latin": {"f": "na", "m": "rd", "n": "n"}, "cyrillic": {"f": "на",
 SURNAME_ENDINGS = ("ская", "ский", "ова", "ева", "ина", "ов", "ев", "ин", "ová", "ska", "ski", "πούλου", "πουλος")
 
 _NAME = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ][^\W\d_]*(?:['’-][^\W\d_]+)*"
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.%+-])[\w%+-][\w.%+-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}", re.U)),
     ("secret", re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9-]{20,}\b|\bxox[abp]-[\w-]{10,}")),
     ("secret", re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)(?=[^\s\"',;<>]*\d)([^\s\"',;<>]{6,})")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)")),
+    ("ip6", re.compile(rf"(?<![\w:.])(?:(?=[0-9A-Fa-f:]*[0-9])(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?"
+                       rf"|{_GROUP}(?::{_GROUP}){{7}})(?![\w:]|\.\d)")),
+    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)"
                          r"|(?<![\w.+-])(?:\(\d{2,4}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w.-]*\d)")),
     ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("national", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
+    # street and house number, as written in English, German, French, Spanish, Finnish and Russian
+    ("address", re.compile(rf"(?<![\w.,-])\d{{1,5}}[A-Za-z]? (?:{_NAME} ){{1,4}}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|"
+                           r"Terrace|Highway|Parkway|(?:St|Ave|Rd|Ln|Dr|Blvd)\b\.?)(?!\w)")),
+    ("address", re.compile(r"(?<!\w)[^\W\d_a-zäöüß][^\W\d_]*?(?:straße|strasse|str\.|weg|platz|allee|gasse|katu|kuja) \d{1,4}[a-zA-Z]?(?!\w)")),
+    ("address", re.compile(rf"(?<![\w.,-])\d{{1,4}}(?: bis| ter)?,? (?i:rue|avenue|boulevard|place|chemin|impasse|quai|allée) "
+                           rf"(?:(?:de la|de l['’]|du|des|de|d['’]) ?)?{_NAME}(?:[ -]{_NAME}){{0,3}}")),
+    ("address", re.compile(rf"(?<!\w)(?:Calle|Avenida|Plaza|Paseo|Carrera) (?:(?:de la|de los|de las|del|de) )?{_NAME}(?: {_NAME}){{0,3}},? "
+                           r"(?:n\.?º ?)?\d{1,4}(?!\w)")),
+    ("address", re.compile(rf"(?<!\w)(?:ул\.|улица|просп\.|проспект|пер\.|переулок) ?{_NAME}(?: {_NAME}){{0,3}},? (?:д\. ?|дом )?\d{{1,4}}(?!\w)")),
 ]
+# Words of an address that say what kind of place it is; a surrogate keeps them.
+_PLACE_WORDS = re.compile(
+    r"(?<!\w)(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|Terrace|Highway|Parkway|St|Ave|Rd|Ln|Dr|Blvd|(?i:rue|place|chemin|"
+    r"impasse|quai|allée|bis|ter)|avenue|boulevard|Calle|Avenida|Plaza|Paseo|Carrera|de|la|los|las|del|du|des|d|l|n|ул|улица|просп|"
+    r"проспект|пер|переулок|д|дом)(?!\w)|(?:straße|strasse|str|weg|platz|allee|gasse|katu|kuja)(?!\w)")
 _TITLED = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.?[ \u00a0]+(" + _NAME + r")(?:[ \u00a0]+(" + _NAME + r"))?")
 _LISTED = re.compile(r"(?<!\w)(" + "|".join(_GENDER) + r")[ \u00a0]+(" + _NAME + r")(?!\w)")
 # What a document must hold for any of the above, for Spark: a sign or digit, the start of a key, a name.
-_SIGNS = "[@0-9]"
+# Digits are Python's: Java's \p{Nd} may know an earlier Unicode.
+_SIGNS = "[@" + "".join(
+    f"\\x{{{c:x}}}-\\x{{{c + 9:x}}}" for c in range(sys.maxunicode + 1) if unicodedata.decimal(chr(c), -1) == 0) + (
+    "]|(?:[0-9A-Fa-f]{1,4}:){7}")
 _KEYS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
 _NAMES = r"[A-ZÀ-ÞΑ-ΩА-Я](?<=" + "|".join(sorted({n[0] for n in [*TITLES, *_GENDER]})) + ")(?:" + "|".join(
     f"(?<={first})(?:" + "|".join(n[1:] for n in [*TITLES, *_GENDER] if n[0] == first) + ")"
@@ -85,8 +106,18 @@ class Entity(NamedTuple):
     value: str  # the same for all ways to write the entity
 
 
+def _plain_digits(text: str) -> str:
+    """Decimal digits of any script as 0 to 9."""
+    return "".join(c if c.isascii() or not c.isdecimal() else str(unicodedata.decimal(c)) for c in text)
+
+
+def _digit_like(original: str, number: int | str) -> str:
+    """A digit in the script of another."""
+    return chr(ord(original) - unicodedata.decimal(original, ord(original) - ord("0")) + int(number))
+
+
 def _digits(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    return "".join(c for c in _plain_digits(text) if c.isdigit())
 
 
 def _luhn(digits: str) -> bool:
@@ -94,6 +125,13 @@ def _luhn(digits: str) -> bool:
     return sum(d - 9 if d > 9 else d for d in double) % 10 == 0
 
 
+def _is_ip(text: str) -> bool:
+    try:
+        return bool(ipaddress.ip_address(_plain_digits(text)))
+    except ValueError:
+        return False
+
+
 def _script(text: str) -> str:
     name = unicodedata.name(next((c for c in text if c.isalpha()), "A"), "")
     return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
@@ -101,13 +139,16 @@ def _script(text: str) -> str:
 
 def _value(kind: str, text: str) -> str:
     if kind == "phone":
+        text = _plain_digits(text)
         country = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
         return f"+{country[1]}|{_digits(text[country.end():])}" if country else f"|{_digits(text)}"
     if kind == "card":
         return _digits(text)
     if kind == "iban":
         return text.replace(" ", "")
-    return text.lower() if kind == "email" else text
+    if kind in ("ip", "national"):
+        return _plain_digits(text)
+    return text.lower() if kind in ("email", "ip6") else text
 
 
 def find_entities(text: str) -> list[Entity]:
@@ -130,6 +171,8 @@ def find_entities(text: str) -> list[Entity]:
                 digits = _digits(found[0])
                 if not (_luhn(digits) or len(digits) in (15, 16) and digits[0] in "3456"):
                     continue
+            if kind in ("ip", "ip6") and not _is_ip(found[0]):
+                continue
             take(start, end, kind, _value(kind, text[start:end]))
     parts: dict[str, str] = {}
     for found in _TITLED.finditer(text):
@@ -164,7 +207,8 @@ class _Draw:
 
     def like(self, character: str, hexadecimal: bool = False) -> str:
         if character.isdigit():
-            return "0123456789"[self.below(10)]
+            number = self.below(10)
+            return _digit_like(character, number) if character.isdecimal() else str(number)
         if hexadecimal and character in "abcdefABCDEF":
             made = "abcdef"[self.below(6)]
             return made.upper() if character.isupper() else made
@@ -192,6 +236,16 @@ def surrogate_value(secret: bytes, kind: str, value: str, attempt: int = 0) -> s
                     + "".join(map(at.like, host)) + dot + top)
         elif kind == "ip":
             made = ".".join(str(1 + draw.below(254)) for _ in range(4))
+        elif kind == "ip6":
+            # the same groups; where these leave too little choice, eight of four
+            made = "".join(draw.like(c, True) for c in value) if not longer else ":".join(
+                f"{draw.below(1 << 16):04x}" for _ in range(8))
+        elif kind == "address":
+            kept, place = [], 0
+            for word in _PLACE_WORDS.finditer(value):
+                kept += [*map(draw.like, value[place:word.start()]), word[0]]
+                place = word.end()
+            made = "".join([*kept, *map(draw.like, value[place:])]) + "".join(draw.like("0") for _ in range(longer))
         elif kind in ("phone", "card", "national"):
             head, bar, body = value.rpartition("|")
             first = body[0] if kind == "card" else str(2 + draw.below(8))
@@ -230,9 +284,15 @@ def written_like(kind: str, original: str, made: str) -> str:
         skip = len(re.match(r"\+\d{1,3}(?=[ .(-])", original)[0]) if made.startswith("+") and "|" in made else 0
         out, place = list(original[:skip]), 0
         for c in original[skip:]:
-            out.append(digits[place] if c.isdigit() else c)
+            out.append(_digit_like(c, digits[place]) if c.isdigit() else c)
             place += c.isdigit()
-        return "".join(out) + digits[place:]
+        last = next(c for c in reversed(original) if c.isdigit())
+        return "".join(out) + "".join(_digit_like(last, d) for d in digits[place:])
+    if kind in ("ip", "national"):
+        first = next(c for c in original if c.isdecimal())
+        return "".join(_digit_like(first, c) if c.isdigit() else c for c in made)
+    if kind == "ip6":
+        return made.upper() if original.isupper() else made
     if kind == "iban":
         out, rest = [], iter(made)
         for c in original:
