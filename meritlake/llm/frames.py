@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meritlake.session import work_folder
@@ -19,3 +20,20 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     folder = work_folder(frame.sparkSession, purpose)
     frame.write.parquet(folder)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], purpose: str) -> DataFrame:
+    """The rows with ``number``, their place from 0 in the order within their group, and the group's ``size``.
+
+    Rows are range-partitioned by group and order and written; offsets of the partitions come from one
+    row for each partition and group in it, so a group of any size is numbered by all its tasks.
+    """
+    keys = [*[F.col(c).asc_nulls_first() for c in group], *order]
+    placed = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(
+        "place", F.monotonically_increasing_id()), purpose).withColumn("shard", F.shiftrightunsigned("place", 33))
+    within = Window.partitionBy(*group)
+    offsets = placed.groupBy(*group, "shard").agg(F.count("*").alias("n"), F.min("place").alias("first")).select(
+        *group, "shard", (F.sum("n").over(within.orderBy("shard")) - F.col("n") - F.col("first")).alias("shift"),
+        F.sum("n").over(within).alias("size"))
+    return placed.join(offsets, [*group, "shard"]).withColumn("number", F.col("place") + F.col("shift")).drop(
+        "place", "shard", "shift")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meritlake.llm.byte_bpe import decode_ids, encode_texts
 from meritlake.llm.exact_dedup import mark_copies
 from meritlake.llm.main_text import extract_main_text
+from meritlake.llm.merkle import folded, leaf_digest, merkle_manifest, proof_digest
 from meritlake.llm.near_dedup import near_duplicates
 from meritlake.llm.neighbours import nearest
 from meritlake.llm.packing import pack_documents
@@ -104,6 +105,19 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Tampering with every other document: its line feeds go."""
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    touched = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shown = leaf_digest([docs[c] if c != "text" else F.translate(docs[c], "\n", "") for c in fields])
+    found = merkle_manifest(docs, fields, carry={"shown": F.when(touched, shown)})
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"),
+        folded(F.coalesce("shown", "leaf"), F.col("proof")).alias("folded_root")).withColumn(
+            "verified", F.col("folded_root") == F.col("root"))
+
+
 OP9_SQL = r"""
 WITH plain AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -113,6 +127,49 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM plain WINDOW best AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST)
 """
 
+_VALUE = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_PARENTS = ("list_transform(range(0, len(nodes), 3), lambda i: "
+            "sha256(array_to_string(list_slice(nodes, i + 1, i + 3), '')))")
+# SQL has no crc32, so the usual table of 256 steps is built first
+OP11_SQL = f"""
+WITH RECURSIVE bits AS (
+  SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) t(b)),
+crc AS (SELECT list(v ORDER BY b) AS steps FROM bits),
+leaves AS (
+  SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="replace(text, chr(10), '')")} AS shown,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)),
+      lambda c, d: xor(c >> 8, steps[(xor(c, d) & 255) + 1])), 4294967295) % 2 = 0 AS touched
+  FROM documents, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+tree AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY source
+  UNION ALL SELECT source, level + 1, {_PARENTS} FROM tree WHERE len(nodes) > 1),
+subroots AS (
+  SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM tree WHERE len(nodes) = 1),
+crown AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL SELECT level + 1, {_PARENTS} FROM crown WHERE len(nodes) > 1),
+fold AS (
+  SELECT p.doc_id, p.source, false AS above, 0 AS level, p.place, CASE WHEN touched THEN shown ELSE leaf END AS digest,
+    '' AS siblings, p.leaf, p.place AS seat FROM placed p
+  UNION ALL
+  SELECT doc_id, f.source, above OR last, CASE WHEN last THEN 0 ELSE f.level + 1 END, CASE WHEN last THEN s.place ELSE f.place // 3 END,
+    CASE WHEN last THEN digest ELSE sha256(before || digest || after) END, CASE WHEN last THEN siblings ELSE siblings || before || after END,
+    leaf, seat
+  FROM (SELECT fold.*, len(nodes) = 1 AS last,
+      array_to_string(list_slice(nodes, fold.place // 3 * 3 + 1, fold.place), '') AS before,
+      array_to_string(list_slice(nodes, fold.place + 2, fold.place // 3 * 3 + 3), '') AS after
+    FROM fold JOIN (SELECT false AS above, source, level, nodes FROM tree UNION ALL SELECT true, NULL, level, nodes FROM crown) n
+      ON n.level = fold.level AND n.above = fold.above AND (fold.above OR n.source IS NOT DISTINCT FROM fold.source)
+    WHERE NOT (fold.above AND len(nodes) = 1)) f
+  JOIN subroots s ON s.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, leaf, subroot, top.nodes[1] AS root, sha256(siblings) AS proof_sha256, digest AS folded_root, digest = top.nodes[1] AS verified
+FROM fold JOIN crown top ON len(top.nodes) = 1 AND above AND fold.level = top.level
+JOIN subroots s ON s.source IS NOT DISTINCT FROM fold.source
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -126,10 +183,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_near_dedup": op10_near_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_exact_dedup": OP9_SQL,
+        "op11_merkle_manifest": OP11_SQL,
     }
