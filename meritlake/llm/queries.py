@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from meritlake.llm.byte_bpe import decode_ids, encode_texts
 from meritlake.llm.exact_dedup import mark_copies
+from meritlake.llm.hard_negatives import mine_hard_negatives
 from meritlake.llm.main_text import extract_main_text
 from meritlake.llm.merkle import folded, leaf_digest, merkle_manifest, proof_digest
 from meritlake.llm.near_dedup import near_duplicates
 from meritlake.llm.neighbours import nearest
 from meritlake.llm.packing import pack_documents
 from meritlake.llm.quality import score, train
+from meritlake.llm.repeated_spans import remove_repeats
 from meritlake.llm.surrogates import replace_personal_data
 from meritlake.llm.token_files import read_token_files, write_token_files
 from meritlake.llm.url_templates import Rule, judge_urls
@@ -118,6 +120,18 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
             "verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh label is moved on by one first."""
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"), texts=False).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 OP9_SQL = r"""
 WITH plain AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -170,6 +184,46 @@ FROM fold JOIN crown top ON len(top.nodes) = 1 AND above AND fold.level = top.le
 JOIN subroots s ON s.source IS NOT DISTINCT FROM fold.source
 """
 
+OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vector
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_inner_product(a.vector, b.vector) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+  n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+QUALIFY rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, row_number() OVER () AS document FROM documents),
+windows AS (
+  SELECT document, start, array_to_string(list_slice(words, start, start + 34), ' ') AS said
+  FROM (SELECT document, words, unnest(range(1, len(words) - 33)) AS start FROM words)),
+repeated AS (
+  SELECT document, start FROM windows SEMI JOIN (SELECT said FROM windows GROUP BY said HAVING count(*) > 1) USING (said)),
+gone AS (SELECT document, list(DISTINCT place) AS places FROM (
+  SELECT document, unnest(range(start, start + 35)) AS place FROM repeated) GROUP BY document)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN places IS NULL THEN array_to_string(words, ' ')
+    ELSE coalesce(kept, '') END) AS kept_sha256
+FROM words LEFT JOIN gone USING (document)
+LEFT JOIN (
+  SELECT document, string_agg(word, ' ' ORDER BY place) AS kept
+  FROM (SELECT document, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM words SEMI JOIN gone USING (document))
+  ANTI JOIN (SELECT document, unnest(places) AS place FROM gone) USING (document, place) GROUP BY document) USING (document)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -184,6 +238,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_near_dedup": op10_near_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_repeated_spans": op13_repeated_spans,
     }
 
 
@@ -191,4 +247,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op9_exact_dedup": OP9_SQL,
         "op11_merkle_manifest": OP11_SQL,
+        "op12_hard_negatives": OP12_SQL,
+        "op13_repeated_spans": OP13_SQL,
     }
