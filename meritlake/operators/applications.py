@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from meritlake.functions.credits import application_status
 from meritlake.functions.names import full_name, name_from_email, reviewer_display_name
-from meritlake.operators.spread import HOT_GROUP_ROWS, collect_in_order, newest_first
-
-MAX_NESTED = 10_000
+from meritlake.operators.segments import arrays_in_order, newest_first
 
 
 def _summaries(decisions: DataFrame, certificates: DataFrame, students: DataFrame) -> DataFrame:
@@ -40,38 +38,38 @@ def applications_by_review_status(decisions, certificates, students, status: str
     return _summaries(decisions.where(F.col("reviewer_decision") == status), certificates, students)
 
 
-def document_arrays(documents: DataFrame, max_items: int = MAX_NESTED,
-                    limit: int = HOT_GROUP_ROWS, sizes: DataFrame | None = None) -> DataFrame:
-    """Extra documents of each certificate as arrays in upload order."""
+def document_arrays(documents: DataFrame) -> DataFrame:
+    """Extra documents of each certificate as one array in upload order."""
     item = F.struct("document_id", "document_type", "filename", "filetype", "uploaded_at")
-    return collect_in_order(documents, ["certificate_id"], ["uploaded_at", "document_id"], item,
-                            "additional_documents", max_items, limit, sizes)
+    return arrays_in_order(documents, ["certificate_id"], [F.col("uploaded_at"), F.col("document_id")], item,
+                           "additional_documents")
 
 
-def _with_documents(df: DataFrame, arrays: DataFrame) -> DataFrame:
-    empty = F.array().cast(arrays.schema["additional_documents"].dataType)
-    return (
-        df.join(arrays, "certificate_id", "left")
-        .withColumn("additional_documents", F.coalesce("additional_documents", empty))
-        .withColumn("first_position", F.coalesce("first_position", F.lit(1)).cast("long"))
-    )
+def _or_empty(df: DataFrame, name: str) -> DataFrame:
+    empty = F.array().cast(df.schema[name].dataType)
+    return df.withColumn(name, F.coalesce(name, empty))
 
 
-def student_applications(certificates, decisions, reviewers, documents, student_id=None,
-                         max_items: int = MAX_NESTED, limit: int = HOT_GROUP_ROWS) -> DataFrame:
+def _with_documents(df: DataFrame, documents: DataFrame) -> DataFrame:
+    return _or_empty(df.join(document_arrays(documents), "certificate_id", "left"), "additional_documents")
+
+
+def student_applications(certificates, decisions, reviewers, documents, student_id=None, students=None,
+                         email: str | None = None) -> DataFrame:
     """Every certificate with its decision, reviewer name, derived status and documents.
 
-    Runs for all students at once, or for one, newest first. Documents are shown for
-    self-paced work only. An application with more than ``max_items`` documents takes several
-    rows, told apart by ``first_position``.
+    Runs for all students at once, or for one by id or (with ``students``) by email, newest first. Documents are
+    shown for self-paced work only.
     """
+    one = student_id is not None or email is not None
     if student_id is not None:
         certificates = certificates.where(F.col("student_id") == F.lit(student_id))
+    if email is not None:
+        certificates = certificates.join(
+            students.where(F.col("email") == F.lit(email)).select("student_id"), "student_id", "left_semi")
     people = reviewers.select(
         "reviewer_id", reviewer_display_name(F.col("first_name"), F.col("last_name")).alias("reviewer_name"))
     self_paced = certificates.where(F.col("work_type") == "SELF_PACED").select("certificate_id")
-    arrays = document_arrays(
-        documents.join(self_paced, "certificate_id", "left_semi"), max_items, limit, documents)
     rows = (
         certificates.join(decisions, "certificate_id", "left")
         .join(people, "reviewer_id", "left")
@@ -79,33 +77,32 @@ def student_applications(certificates, decisions, reviewers, documents, student_
             F.col("ai_decision"), F.col("reviewer_id"), F.col("reviewer_decision")))
         .withColumn("credits", F.coalesce("credits_awarded", F.lit(0)))
     )
-    rows = _with_documents(rows, arrays)
-    if student_id is not None:
-        rows = rows.orderBy(F.desc_nulls_first("uploaded_at"), "certificate_id", "first_position")
-    return rows
+    rows = _with_documents(rows, documents.join(self_paced, "certificate_id", "left_semi"))
+    return rows.orderBy(F.desc_nulls_first("uploaded_at"), "certificate_id") if one else rows
 
 
-def student_with_certificates(students, certificates, max_items: int = MAX_NESTED,
-                              limit: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Students with their certificates as an array, newest first; empty when they have none."""
+def student_with_certificates(students, certificates, student_id=None, email: str | None = None) -> DataFrame:
+    """Students, or one by id or email, with their certificates as an array, newest first; empty when they have none."""
+    if student_id is not None:
+        students = students.where(F.col("student_id") == F.lit(student_id))
+        certificates = certificates.where(F.col("student_id") == F.lit(student_id))
+    if email is not None:
+        students = students.where(F.col("email") == F.lit(email))
+        certificates = certificates.join(students.select("student_id"), "student_id", "left_semi")
     item = F.struct("certificate_id", "training_type", "work_type", "filename", "uploaded_at")
-    arrays = collect_in_order(
-        certificates.withColumn("_newest", newest_first("uploaded_at")),
-        ["student_id"], ["_newest", "certificate_id"], item, "certificates", max_items, limit)
-    empty = F.array().cast(arrays.schema["certificates"].dataType)
-    return (
-        students.join(arrays, "student_id", "left")
-        .withColumn("certificates", F.coalesce("certificates", empty))
-        .withColumn("first_position", F.coalesce("first_position", F.lit(1)).cast("long"))
-    )
+    arrays = arrays_in_order(certificates, ["student_id"], [newest_first("uploaded_at"), F.col("certificate_id")], item, "certificates")
+    return _or_empty(students.join(arrays, "student_id", "left"), "certificates")
 
 
-def detailed_application(decisions, certificates, students, documents,
-                         max_items: int = MAX_NESTED, limit: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Decision, certificate and student as structs, with extra documents.
+def detailed_application(decisions, certificates, students, documents, certificate_id=None) -> DataFrame:
+    """Decision, certificate and student as structs, with extra documents; of all certificates, or of one.
 
     A row exists only where all three exist.
     """
+    if certificate_id is not None:
+        decisions, certificates, documents = (
+            table.where(F.col("certificate_id") == F.lit(certificate_id)) for table in (decisions, certificates, documents))
+
     def packed(df: DataFrame, name: str, *keys: str) -> DataFrame:
         return df.select(*keys, F.struct(*df.columns).alias(name))
 
@@ -114,7 +111,7 @@ def detailed_application(decisions, certificates, students, documents,
         .join(packed(certificates, "certificate", "certificate_id", "student_id"), "certificate_id")
         .join(packed(students, "student", "student_id"), "student_id")
     )
-    return _with_documents(joined, document_arrays(documents, max_items, limit))
+    return _with_documents(joined, documents)
 
 
 def reviewer_worklist(decisions, certificates, students, reviewer_id=None) -> DataFrame:
@@ -175,20 +172,15 @@ def orphan_report(students, certificates, decisions, reviewers, documents) -> Da
     )
 
 
-def certificate_status(certificates, decisions) -> DataFrame:
-    """'completed' with the decision's fields and their defaults, or 'processing'."""
+def status_fields(certificates: DataFrame) -> DataFrame:
+    """'completed' with the decision's fields and their defaults, or 'processing' where decision_id is null."""
     done = F.col("decision_id").isNotNull()
 
     def when_done(column: str, default) -> Column:
         given = F.nullif(F.col(column), F.lit("")) if isinstance(default, str) else F.col(column)
         return F.when(done, F.coalesce(given, F.lit(default))).alias(column)
 
-    return certificates.select("certificate_id").join(
-        decisions.select("certificate_id", "decision_id", "ai_decision", "ai_justification",
-                         "total_working_hours", "credits_awarded", "training_duration",
-                         "training_institution"),
-        "certificate_id", "left",
-    ).select(
+    return certificates.select(
         "certificate_id",
         F.when(done, F.lit("completed")).otherwise(F.lit("processing")).alias("status"),
         when_done("ai_decision", "PENDING"),
@@ -200,6 +192,15 @@ def certificate_status(certificates, decisions) -> DataFrame:
     )
 
 
+def certificate_status(certificates, decisions) -> DataFrame:
+    """Status of certificates against the decisions there are."""
+    return status_fields(certificates.select("certificate_id").join(
+        decisions.select("certificate_id", "decision_id", "ai_decision", "ai_justification",
+                         "total_working_hours", "credits_awarded", "training_duration",
+                         "training_institution"),
+        "certificate_id", "left"))
+
+
 def unprocessed_certificates(certificates, decisions) -> DataFrame:
     """The to-do list: certificates without a decision."""
     return certificates.join(decisions.select("certificate_id"), "certificate_id", "left_anti")

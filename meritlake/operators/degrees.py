@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from meritlake import constants as K
 from meritlake.functions.binding import let
 from meritlake.functions.text import degree_guidelines
+from meritlake.operators.grams import with_contained
 
 Programmes = tuple[tuple[str, str], ...]
 
@@ -112,3 +113,49 @@ def degree_keyword_score(texts: DataFrame, catalogue: DataFrame, medium_from: in
         .withColumn("degree_relevance", keyword_relevance(F.col("keyword_hits"), medium_from, high_from))
         .drop("_words")
     )
+
+
+def keyword_hits(texts: DataFrame, keywords: DataFrame, medium_from: int = 1, high_from: int = 3) -> DataFrame:
+    """The same from a keyword table of any size (programme_key, keyword), by an index of trigrams.
+
+    No list is gathered, counted or sent: one plan for every size.
+    """
+    needles = keywords.select("programme_key", F.lower("keyword").alias("_keyword"))
+    found = with_contained(texts, F.lower("text"), needles, "_keyword", ["programme_key"], "_found")
+    return found.withColumn("keyword_hits", F.size("_found")).withColumn(
+        "degree_relevance", keyword_relevance(F.col("keyword_hits"), medium_from, high_from)).drop("_found")
+
+
+def _by_name(degrees: DataFrame, programmes: DataFrame) -> DataFrame:
+    """Degree texts (``low``) that are part of a programme's name, with the first such programme by place."""
+    named = programmes.select("place", "key", F.lower("name").alias("_name_text"))
+    found = with_contained(named, F.col("_name_text"), degrees, "low")
+    held = found.select("place", "key", F.explode("found").alias("low"))
+    # the empty text is part of every name
+    first = programmes.where(F.col("name").isNotNull()).agg(F.min("place").alias("place"), F.min_by("key", "place").alias("key"))
+    empty = first.where(F.col("place").isNotNull()).select("place", "key", F.lit("").alias("low"))
+    return held.unionByName(empty).groupBy("low").agg(F.min_by("key", "place").alias("part"))
+
+
+def match_degrees(degrees: DataFrame, programmes: DataFrame) -> DataFrame:
+    """programme_key and supported of every distinct text in ``degree``, from a programme table of any size.
+
+    ``programmes``: place (order in the list), key, name. The rules are those of :func:`match_degree` and
+    :func:`degree_supported`; equal texts join, parts of names are found by an index of trigrams.
+    """
+    texts = degrees.select("degree").distinct().withColumn("low", F.lower("degree"))
+    texts = texts.withColumns({
+        "plain": F.replace(F.regexp_replace("low", r"(?U)[^\p{L}\p{N}_\s]", ""), F.lit(" "), F.lit("_")),
+        "spaced": F.replace("low", F.lit(" "), F.lit("_"))})
+
+    def first(of: Column, name: str, to: str) -> DataFrame:
+        return programmes.groupBy(of.alias(to)).agg(F.min_by("key", "place").alias(name))
+
+    joined = (texts.join(first(F.lower("name"), "by_name", "low"), "low", "left")
+              .join(first(F.col("key"), "by_plain", "plain"), "plain", "left")
+              .join(first(F.col("key"), "by_low", "low"), "low", "left")
+              .join(first(F.col("key"), "by_spaced", "spaced"), "spaced", "left")
+              .join(_by_name(texts, programmes), "low", "left"))
+    return joined.select(
+        "degree", F.coalesce("by_name", "by_plain", "by_low", "part", F.lit("general")).alias("programme_key"),
+        (F.col("by_spaced").isNotNull() | F.col("by_low").isNotNull() | F.col("part").isNotNull()).alias("supported"))

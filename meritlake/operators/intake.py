@@ -9,6 +9,8 @@ from meritlake import constants as K
 from meritlake.functions.names import student_email_ok
 from meritlake.functions.rules import broken, messages
 from meritlake.functions.text import suffix_of
+from meritlake.session import work_folder
+from meritlake.sources.keyed_store import KeyedStore
 
 
 def _file_problem(filename: Column, size: Column) -> Column:
@@ -54,9 +56,10 @@ def admit_additional_documents(documents: DataFrame, certificates: DataFrame) ->
     )
 
 
-def new_id(*parts: Column) -> Column:
-    """An id from the content, so a repeated run gives the same one."""
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def new_id(**parts: Column) -> Column:
+    """An id from the content, so a repeated run gives the same one; nulls and any text keep parts apart."""
+    named = F.struct(*[part.cast("string").alias(name) for name, part in parts.items()])
+    return F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256)
 
 
 DOMAINS = {
@@ -76,28 +79,31 @@ LENGTHS = {
 NOT_EMPTY = ("degree", "filename", "filetype", "ai_justification")
 
 
-def constraint_problems(df: DataFrame, email_domain: str | None = None) -> Column:
-    """Broken row rules of a table: domains, lengths, empty texts and the email pattern.
+def row_rules(columns: list[str], email_domain: str | None = None) -> dict[str, Column]:
+    """Row rules of a table by what they find: domains, lengths, empty texts and the email pattern.
 
-    Which rules apply follows from the columns the table has.
+    Which rules apply follows from the columns the table has. A rule holds where the row breaks it.
     """
-    rules: list[Column] = []
-    for name in df.columns:
+    rules: dict[str, Column] = {}
+    for name in columns:
         column = F.col(name)
         if name in DOMAINS:
             bad = ~column.isin(*DOMAINS[name])
-            if name not in NULLABLE_DOMAINS:
-                bad = bad | column.isNull()
-            rules.append(broken(bad, f"{name}: not in domain"))
+            rules[f"{name}: not in domain"] = bad if name in NULLABLE_DOMAINS else bad | column.isNull()
         if name in LENGTHS:
-            rules.append(broken(F.length(column) > LENGTHS[name], f"{name}: too long"))
+            rules[f"{name}: too long"] = F.length(column) > LENGTHS[name]
         if name in NOT_EMPTY:
-            rules.append(broken(column.isNull() | (column == ""), f"{name}: empty"))
+            rules[f"{name}: empty"] = column.isNull() | (column == "")
         if name == "email":
-            rules.append(broken(column.isNull(), "email: missing"))
+            rules["email: missing"] = column.isNull()
             if email_domain:
-                rules.append(broken(~student_email_ok(column, email_domain), "email: wrong form"))
-    return messages(*rules)
+                rules["email: wrong form"] = ~student_email_ok(column, email_domain)
+    return rules
+
+
+def constraint_problems(df: DataFrame, email_domain: str | None = None) -> Column:
+    """What the rules of :func:`row_rules` find in a row."""
+    return messages(*[broken(bad, found) for found, bad in row_rules(df.columns, email_domain).items()])
 
 
 def check_constraints(df: DataFrame, row_id: str, email_domain: str | None = None) -> DataFrame:
@@ -113,21 +119,24 @@ def check_constraints(df: DataFrame, row_id: str, email_domain: str | None = Non
     return rows.unionByName(repeated)
 
 
-def append_records(records: DataFrame, path: str, id_column: str, id_parts: list[str],
-                   time_column: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Append rows with a content id and a time stamp.
+def with_content_id(records: DataFrame, id_column: str, id_parts: list[str]) -> DataFrame:
+    return records.withColumn(id_column, new_id(**{part: F.col(part) for part in id_parts}))
+
+
+def append_records(records: DataFrame, store: KeyedStore, id_parts: list[str], time_column: str | None = None) -> DataFrame:
+    """Store rows under a content id, the store's key, with a time stamp; rows already there stay as they are.
 
-    Rows breaking a row rule of their columns are refused: they come back with ``problems``.
+    Rows breaking a row rule of their columns are refused: they come back with ``problems``. Records are
+    computed once and written to the working folder, from where both kinds are read.
     """
     if time_column and time_column not in records.columns:
         records = records.withColumn(time_column, F.current_timestamp())
-    with_id = records.withColumn(
-        id_column, new_id(*[F.col(part).cast("string") for part in id_parts]))
+    with_id = with_content_id(records, store.key, id_parts)
     checked = with_id.withColumn("problems", constraint_problems(with_id))
-    writer = checked.where(F.size("problems") == 0).drop("problems").write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    folder = work_folder(records.sparkSession, "checked-records")
+    checked.write.parquet(folder)
+    checked = records.sparkSession.read.schema(checked.schema).parquet(folder)
+    store.insert_new(checked.where(F.size("problems") == 0))
     return checked.where(F.size("problems") > 0)
 
 

@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritlake import constants as K
-from meritlake.operators.spread import HOT_GROUP_ROWS, with_previous
+from meritlake.operators.segments import with_previous
 
 
-def timeline_check(positions: DataFrame, order: list[str], max_gap_days: int = K.MAX_GAP_DAYS,
-                   limit: int = HOT_GROUP_ROWS) -> DataFrame:
+def timeline_check(positions: DataFrame, order: list[str], max_gap_days: int = K.MAX_GAP_DAYS) -> DataFrame:
     """Positions with a start date against the one before: overlap and over-long gap.
 
     ``order`` makes positions with the same start distinct.
     """
     dated = positions.where(F.col("start_date").isNotNull())
     keys = ["certificate_id"]
-    lagged = with_previous(dated, keys, ["start_date", *order], ["end_date"], limit)
+    lagged = with_previous(dated, keys, ["start_date", *order], ["end_date"])
     gap = F.datediff("start_date", "previous_end_date")
     return lagged.select(
         *positions.columns, "previous_end_date",

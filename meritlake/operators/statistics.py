@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meritlake import constants as K
 from meritlake.functions.companies import company_issue, rollup_status
+from meritlake.operators.intake import row_rules
 
 
 def statistics(students, certificates, decisions) -> DataFrame:
@@ -254,3 +255,21 @@ def _numbered(documents, order, body, entry, separator, main, head, empty, name)
     entries = F.transform("_documents", lambda d, i: entry((i + 1).cast("string"), d))
     return main.join(whole, "certificate_id", "left").select(
         "certificate_id", F.concat(head, F.coalesce(F.array_join(entries, separator), F.lit(empty))).alias(name))
+
+
+def write_observed(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Store a table and give figures gathered while it was written: no second scan.
+
+    table_name, row_count and, for each column, column_name and n_filled; for each row rule that some row
+    breaks, problem and n_broken.
+    """
+    rules, found = row_rules(df.columns), Observation()
+    df.observe(
+        found, F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"filled {c}") for c in df.columns],
+        *[F.count_if(F.coalesce(bad, F.lit(False))).alias(f"broken {rule}") for rule, bad in rules.items()],
+    ).write.mode("append").parquet(path)
+    got = found.get
+    rows = [(name, got["rows"], c, got[f"filled {c}"], None, None) for c in df.columns]
+    rows += [(name, got["rows"], None, None, rule, got[f"broken {rule}"]) for rule in rules if got[f"broken {rule}"]]
+    return df.sparkSession.createDataFrame(
+        rows, "table_name string, row_count long, column_name string, n_filled long, problem string, n_broken long")

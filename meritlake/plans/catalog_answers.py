@@ -9,7 +9,7 @@ from meritlake.functions import answers as N
 from meritlake.functions import companies as C
 from meritlake.functions import rules as R
 from meritlake.operators import nested
-from meritlake.operators.spread import collect_in_order
+from meritlake.operators.segments import arrays_in_order
 from meritlake.operators.statistics import company_issues
 from meritlake.plans.catalog import query, sql_contains_any, sql_strip, sql_text
 from meritlake.plans.catalog_relational import verdicts
@@ -310,19 +310,17 @@ def _(t):
       coalesce(names, '') AS company_names, 'UNVERIFIED' AS company_status, 'match' AS match_result
     FROM workflows LEFT JOIN added USING (certificate_id)""")
 def _(t):
-    """Issues come in pieces of bounded length; the answer's own issues go with the first one."""
+    """One row for each answer, with the issues of all its companies after its own."""
     place = ["line", "part_id", "supplier_id", "start_date"]
     issues = company_issues(t.positions, verdicts(t), place)
-    pieces = collect_in_order(
-        issues, ["certificate_id"], place, F.struct(*[c for c in issues.columns if c not in (
-            "certificate_id", *place)]).cast(ISSUE), "added", max_items=10_000, sizes=t.positions)
+    added = arrays_in_order(
+        issues, ["certificate_id"], [F.col(c) for c in place],
+        F.struct(*[c for c in issues.columns if c not in ("certificate_id", *place)]).cast(ISSUE), "added")
     w = t.workflows.select("certificate_id", nested.parse_workflow(F.col(_J)).alias("w"))
-    joined = w.join(pieces, "certificate_id", "left")
+    joined = w.join(added, "certificate_id", "left")
     validation = F.col("w.validation_results.results")
-    own = F.when(F.coalesce("first_position", F.lit(1)) == 1, validation["issues_found"])
     merged = joined.select("certificate_id", nested.merge_validation(
-        validation.withField("issues_found", own),
-        validation["company_validation"].withField("status", F.lit("UNVERIFIED")),
+        validation, validation["company_validation"].withField("status", F.lit("UNVERIFIED")),
         F.struct(F.lit("match").alias("match_result"), F.lit(1.0).alias("match_confidence"), F.lit("").alias("explanation")),
         F.col("added")).alias("v"))
     names = F.transform(

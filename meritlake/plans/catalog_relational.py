@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meritlake import constants as K
 from meritlake.functions.companies import parse_company_answers
@@ -12,12 +17,15 @@ from meritlake.operators import applications as A
 from meritlake.operators import intake, lookups, ordered
 from meritlake.operators import statistics as S
 from meritlake.operators.nested import parse_workflow
+from meritlake.operators.segments import newest_first
 from meritlake.plans.catalog import day, query, sql_day, sql_strip, sql_text
 from meritlake.plans.driver_views import EMAIL_DOMAIN
 from meritlake.schemas import ENTITY_SCHEMAS
 from meritlake.session import work_folder
-from meritlake.sources.documents import scan_document_inventory
-from meritlake.sources.tables import list_view, write_decision_records
+from meritlake.sources.documents import read_text_documents, scan_document_inventory
+from meritlake.sources.keyed_store import KeyedStore
+from meritlake.sources.sorted_files import read_page, write_bucketed, write_clustered, write_ranked
+from meritlake.sources.tables import list_view, read_entity, write_decision_records
 
 STUDENT = 7
 EMAIL = f"customer.000000007@{EMAIL_DOMAIN}"
@@ -29,15 +37,33 @@ REVIEWER = 3
 # --- scans, sources, sinks ------------------------------------------------------------------
 
 
-@query("scan_document_inventory")
+def _text_files(t) -> str:
+    """The documents as text files, fifty a file, one text a line and files in folders ``batch=n``."""
+    folder = work_folder(t.spark, "texts")
+    lines = t.documents.select(F.translate("text", "\r\n", "  ").alias("text"), F.floor(F.col("doc_id") / 50).alias("batch"), "doc_id")
+    (lines.repartition("batch").sortWithinPartitions("batch", "doc_id").drop("doc_id")
+     .write.partitionBy("batch").text(folder))
+    return folder
+
+
+_BATCHES_SQL = """batches AS (
+    SELECT doc_id // 50 AS batch, string_agg(translate(text, chr(13) || chr(10), '  ') || chr(10), '' ORDER BY doc_id) AS text
+    FROM documents GROUP BY batch)"""
+
+
+@query("scan_document_inventory", f"""
+    WITH {_BATCHES_SQL} SELECT CAST(batch AS INTEGER) AS batch, strlen(text) AS size, 'txt' AS suffix FROM batches""")
 def _(t):
-    return scan_document_inventory(t.spark, t.folder, ("parquet",)).select("file_name", "size", "suffix")
+    files = scan_document_inventory(t.spark, _text_files(t), ("txt",))
+    return files.select(F.regexp_extract("path", "batch=([0-9]+)", 1).cast("int").alias("batch"), "size", "suffix")
 
 
-@query("scan_text_documents", """
-    SELECT doc_id, text, CAST(length(text) AS INTEGER) AS text_length FROM documents""")
+@query("scan_text_documents", f"""
+    WITH {_BATCHES_SQL} SELECT CAST(batch AS INTEGER) AS batch, text, CAST(length(text) AS INTEGER) AS text_length FROM batches""")
 def _(t):
-    return t.documents.select("doc_id", "text", F.length("text").alias("text_length"))
+    files = read_text_documents(t.spark, _text_files(t))
+    return files.select(F.regexp_extract("path", "batch=([0-9]+)", 1).cast("int").alias("batch"), "text",
+                        F.length("text").alias("text_length"))
 
 
 _W = "ai_workflow_json"
@@ -75,27 +101,30 @@ _IDS = {"students": "student_id", "certificates": "certificate_id", "decisions":
     f"SELECT '{name}' AS table_name, CAST({row_id} AS VARCHAR) AS row_id FROM {name}"
     for name, row_id in _IDS.items()))
 def _(t):
-    """The views in the declared entity schemas, without file bytes and texts."""
+    """Entity files in the declared schemas, read without file bytes and texts."""
     out = None
     for name, row_id in _IDS.items():
-        view = getattr(t, name)
+        view, path = getattr(t, name), work_folder(t.spark, f"stored-{name}")
         declared = [part.strip().split(" ") for part in ENTITY_SCHEMAS[name].split(",")]
-        typed = list_view(view.select(*[
-            F.col(column).cast(kind) for column, kind in declared if column in view.columns]))
-        part = typed.select(F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"))
+        view.select(*[F.col(column).cast(kind) if column in view.columns else F.lit(None).cast(kind).alias(column)
+                      for column, kind in declared]).write.parquet(path)
+        part = list_view(read_entity(t.spark, name, path)).select(F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query("append_records", f"""
-    SELECT sha256(CAST(student_id AS VARCHAR) || '|' || filename) AS record_id, student_id,
+    SELECT sha256('{{"student_id":"' || CAST(student_id AS VARCHAR) || '","filename":"' || filename || '"}}') AS record_id, student_id,
       training_type, work_type, filename, filetype, {sql_day('uploaded_at')}
     FROM certificates""")
 def _(t):
-    path = work_folder(t.spark, "append-certificates")
-    intake.append_records(t.certificates.drop("certificate_id"), path, "record_id",
-                          ["student_id", "filename"], "uploaded_at", ["training_type"])
-    return t.spark.read.parquet(path).select(
+    """Stored twice: the second run finds every id there."""
+    records = t.certificates.drop("certificate_id")
+    store = KeyedStore(t.spark, work_folder(t.spark, "append-certificates"), "record_id",
+                       T.StructType([T.StructField("record_id", T.StringType()), *records.schema]))
+    for _ in range(2):
+        intake.append_records(records, store, ["student_id", "filename"], "uploaded_at")
+    return store.read().select(
         "record_id", "student_id", "training_type", "work_type", "filename", "filetype", day("uploaded_at"))
 
 
@@ -196,9 +225,53 @@ def _(t):
         *_DECISION_COLUMNS, day("created_at"), day("reviewed_at"))
 
 
-@query("decisions_page", f"""
+def _page_sql(skip: int) -> str:
+    return f"""
     SELECT {_DECISION_SQL}, strftime(created_at, '%Y-%m-%d') AS created_day FROM decisions
-    ORDER BY created_at DESC NULLS FIRST, decision_id LIMIT 100 OFFSET 200""")
+    ORDER BY created_at DESC NULLS FIRST, decision_id LIMIT 100 OFFSET {skip}"""
+
+
+@query("decisions_page_ranked", _page_sql(400))
+def _(t):
+    """The same from stored rows with a rank index: a page reads the folders its ranks lie in."""
+    path, order = work_folder(t.spark, "ranked-decisions"), {"newest": newest_first("created_at"), "by_id": F.col("decision_id")}
+    write_ranked(t.decisions, path, order, step=200)
+    return read_page(t.spark, path, t.decisions.schema, list(order), 400, 100, step=200).select(
+        *_DECISION_COLUMNS, day("created_at").alias("created_day"))
+
+
+@query("clustered_lookups", f"""
+    SELECT 'student by email' AS kind, CAST(student_id AS VARCHAR) AS row_id FROM students WHERE email = '{EMAIL}'
+    UNION ALL SELECT 'student by id', CAST(student_id AS VARCHAR) FROM students WHERE student_id = {STUDENT}
+    UNION ALL SELECT 'certificate by id', CAST(certificate_id AS VARCHAR) FROM certificates WHERE certificate_id = {CERTIFICATE}
+    UNION ALL SELECT 'certificates of student', CAST(certificate_id AS VARCHAR) FROM certificates WHERE student_id = {STUDENT}
+    UNION ALL SELECT 'decision by id', decision_id FROM decisions WHERE decision_id = 'D{CERTIFICATE}'
+    UNION ALL SELECT 'additional documents', document_id FROM additional_documents WHERE certificate_id = {DOCUMENTED_CERTIFICATE}
+    UNION ALL SELECT 'student comment', student_comment FROM decisions
+      WHERE certificate_id = {COMMENTED_CERTIFICATE} AND student_comment IS NOT NULL""")
+def _(t):
+    """Look-ups on stored tables: sorted by one key, with Bloom filters for the others."""
+    def stored(name: str, key: str, *blooms: str):
+        path = work_folder(t.spark, f"clustered-{name}")
+        table = getattr(t, name)
+        write_clustered(table, path, key, blooms)
+        return t.spark.read.schema(table.schema).parquet(path)
+
+    students, certificates = stored("students", "student_id", "email"), stored("certificates", "student_id", "certificate_id")
+    decisions, documents = stored("decisions", "certificate_id", "decision_id"), stored("additional_documents", "certificate_id")
+    found = {
+        "student by email": lookups.student_by_email(students, EMAIL).select("student_id"),
+        "student by id": lookups.student_by_id(students, STUDENT).select("student_id"),
+        "certificate by id": lookups.certificate_by_id(certificates, CERTIFICATE).select("certificate_id"),
+        "certificates of student": lookups.certificates_of_student(certificates, STUDENT).select("certificate_id"),
+        "decision by id": lookups.decision_by_id(decisions, f"D{CERTIFICATE}").select("decision_id"),
+        "additional documents": lookups.additional_documents_of(documents, DOCUMENTED_CERTIFICATE).select("document_id"),
+        "student comment": lookups.student_comment_of(decisions, COMMENTED_CERTIFICATE).select("student_comment")}
+    return reduce(DataFrame.unionByName, [
+        rows.select(F.lit(kind).alias("kind"), F.col(rows.columns[0]).cast("string").alias("row_id")) for kind, rows in found.items()])
+
+
+@query("decisions_page", _page_sql(200))
 def _(t):
     return lookups.decisions_page(t.decisions, 200, 100).select(
         *_DECISION_COLUMNS, day("created_at").alias("created_day"))
@@ -258,6 +331,14 @@ def _(t):
     return _summary(A.pending_applications(t.decisions, t.certificates, t.students))
 
 
+@query("pending_applications_bucketed", f"{_SUMMARY_SQL} WHERE reviewer_decision IS NULL ORDER BY created_at DESC")
+def _(t):
+    """The same on tables stored in buckets of the certificate: they meet without a shuffle."""
+    tables = [write_bucketed(getattr(t, name), f"{name}_{uuid.uuid4().hex}", work_folder(t.spark, f"bucketed-{name}"),
+                             "certificate_id", 16) for name in ("decisions", "certificates")]
+    return _summary(A.pending_applications(*tables, t.students))
+
+
 @query("applications_by_review_status", f"{_SUMMARY_SQL} WHERE reviewer_decision = 'PASS' ORDER BY created_at DESC")
 def _(t):
     return _summary(A.applications_by_review_status(t.decisions, t.certificates, t.students, "PASS"))
@@ -270,7 +351,7 @@ _STATUS_SQL = """CASE WHEN coalesce(ai_decision, '') = '' THEN 'PENDING'
 _DISPLAY_SQL = "nullif(concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')), '')"
 
 
-@query("student_applications", f"""
+_APPLICATIONS_SQL = f"""
     WITH docs AS (SELECT certificate_id, string_agg(document_id, ',' ORDER BY uploaded_at, document_id) AS ids
       FROM additional_documents GROUP BY certificate_id)
     SELECT c.student_id, c.certificate_id, c.training_type, c.work_type, {_STATUS_SQL} AS status,
@@ -279,9 +360,10 @@ _DISPLAY_SQL = "nullif(concat_ws(' ', nullif(first_name, ''), nullif(last_name,
       ai_justification, reviewer_decision, total_working_hours, student_comment,
       CASE WHEN c.work_type = 'SELF_PACED' THEN coalesce(docs.ids, '') ELSE '' END AS document_ids
     FROM certificates AS c LEFT JOIN decisions USING (certificate_id) LEFT JOIN reviewers USING (reviewer_id)
-      LEFT JOIN docs USING (certificate_id)""")
-def _(t):
-    rows = A.student_applications(t.certificates, t.decisions, t.reviewers, t.additional_documents)
+      LEFT JOIN docs USING (certificate_id)"""
+
+
+def _applications(rows):
     return rows.select(
         "student_id", "certificate_id", "training_type", "work_type", "status", "credits",
         "credits_awarded", "reviewer_name", day("uploaded_at").alias("submitted_day"),
@@ -290,35 +372,75 @@ def _(t):
         F.array_join(F.transform("additional_documents", lambda d: d["document_id"]), ",").alias("document_ids"))
 
 
-@query("student_with_certificates", """
+@query("student_applications", _APPLICATIONS_SQL)
+def _(t):
+    return _applications(A.student_applications(t.certificates, t.decisions, t.reviewers, t.additional_documents))
+
+
+@query("student_applications_by_email", f"{_APPLICATIONS_SQL} WHERE student_id = (SELECT student_id FROM students WHERE email = '{EMAIL}')")
+def _(t):
+    return _applications(A.student_applications(
+        t.certificates, t.decisions, t.reviewers, t.additional_documents, students=t.students, email=EMAIL))
+
+
+def _owned_sql(which: str = "true") -> str:
+    return f"""
     SELECT student_id, any_value(email) AS email, CAST(count(certificate_id) AS INTEGER) AS n_certificates,
       coalesce(string_agg(CAST(certificate_id AS VARCHAR) || ':' || training_type, ','
         ORDER BY uploaded_at DESC, certificate_id), '') AS certificates
-    FROM students LEFT JOIN certificates USING (student_id) GROUP BY student_id""")
-def _(t):
-    rows = A.student_with_certificates(t.students, t.certificates)
+    FROM students LEFT JOIN certificates USING (student_id) WHERE {which} GROUP BY student_id"""
+
+
+def _owned(rows):
     return rows.select(
         "student_id", "email", F.size("certificates").alias("n_certificates"),
         F.array_join(F.transform("certificates", lambda c: F.concat(
             c["certificate_id"].cast("string"), F.lit(":"), c["training_type"])), ",").alias("certificates"))
 
 
-@query("detailed_application", """
+@query("student_with_certificates", _owned_sql())
+def _(t):
+    return _owned(A.student_with_certificates(t.students, t.certificates))
+
+
+@query("student_with_certificates_by_email", _owned_sql(f"email = '{EMAIL}'"))
+def _(t):
+    return _owned(A.student_with_certificates(t.students, t.certificates, email=EMAIL))
+
+
+@query("student_with_certificates_by_id", _owned_sql(f"student_id = {STUDENT}"))
+def _(t):
+    return _owned(A.student_with_certificates(t.students, t.certificates, student_id=STUDENT))
+
+
+_DETAILED_SQL = """
     WITH docs AS (SELECT certificate_id, count(*) AS n,
         string_agg(filename, ',' ORDER BY uploaded_at, document_id) AS names
       FROM additional_documents GROUP BY certificate_id)
     SELECT certificate_id, decision_id, ai_decision, filename, email, degree,
       CAST(coalesce(n, 0) AS INTEGER) AS n_documents, coalesce(names, '') AS document_names
     FROM decisions JOIN certificates USING (certificate_id) JOIN students USING (student_id)
-      LEFT JOIN docs USING (certificate_id)""")
-def _(t):
-    rows = A.detailed_application(t.decisions, t.certificates, t.students, t.additional_documents)
+      LEFT JOIN docs USING (certificate_id)"""
+
+
+def _detailed(rows):
     return rows.select(
         "certificate_id", "decision.decision_id", "decision.ai_decision", "certificate.filename",
         "student.email", "student.degree", F.size("additional_documents").alias("n_documents"),
         F.array_join(F.transform("additional_documents", lambda d: d["filename"]), ",").alias("document_names"))
 
 
+@query("detailed_application", _DETAILED_SQL)
+def _(t):
+    return _detailed(A.detailed_application(t.decisions, t.certificates, t.students, t.additional_documents))
+
+
+@query("detailed_application_by_id", f"{_DETAILED_SQL} WHERE certificate_id = {DOCUMENTED_CERTIFICATE}")
+def _(t):
+    return _detailed(A.detailed_application(
+        t.decisions, t.certificates, t.students, t.additional_documents, certificate_id=DOCUMENTED_CERTIFICATE))
+
+
 @query("reviewer_worklist", """
     SELECT reviewer_id, decision_id, certificate_id, student_id, ai_decision, training_type, filename,
       filetype, email, degree, first_name, last_name, strftime(created_at, '%Y-%m-%d') AS created_day
@@ -478,10 +600,47 @@ def _(t):
     return S.table_health({**{name: getattr(t, name) for name in _IDS}, "audit_log": None})
 
 
-@query("schema_report")
+def _columns_of(view: str) -> list[str]:
+    return [part.strip().rsplit(" ", 1)[0] for part in _VIEW_COLUMNS[view].split(",")]
+
+
+# The views' columns and types in Spark's names, as the report has to show them.
+_VIEW_COLUMNS = {
+    "students": "student_id bigint, email string, degree string, first_name string, last_name string",
+    "certificates": "certificate_id bigint, student_id bigint, training_type string, work_type string, filename string, "
+                    "filetype string, uploaded_at timestamp",
+    "reviewers": "reviewer_id bigint, email string, first_name string, last_name string, position string, department string",
+    "additional_documents": "document_id string, certificate_id bigint, document_type string, filename string, filetype string, "
+                            "ocr_output string, hours int, size bigint, uploaded_at timestamp",
+    "decisions": "decision_id string, certificate_id bigint, ai_justification string, ai_decision string, created_at timestamp, "
+                 "student_comment string, reviewer_id bigint, reviewer_decision string, reviewer_comment string, reviewed_at timestamp, "
+                 "total_working_hours int, credits_awarded int, training_duration string, training_institution string, "
+                 "degree_relevance string, supporting_evidence string, challenging_evidence string, recommendation string, "
+                 "ai_workflow_json string, company_validation_status string, company_validation_justification string, "
+                 "name_validation_match_result string, name_validation_explanation string"}
+
+
+def _fill_sql(view: str) -> str:
+    lines = []
+    for place, part in enumerate(_VIEW_COLUMNS[view].split(","), 1):
+        name, kind = part.split()
+        lines.append(f"SELECT '{view}' AS table_name, '{name}' AS column_name, '{kind}' AS data_type, "
+                     f"CAST({place} AS INTEGER) AS ordinal, count(*) AS n_rows, count({name}) AS n_filled FROM {view}")
+    return " UNION ALL ".join(lines)
+
+
+@query("schema_report", " UNION ALL ".join(_fill_sql(view) for view in _IDS))
 def _(t):
     tables = {name: getattr(t, name) for name in _IDS}
-    return S.schema_report(tables).join(S.column_fill(tables), ["table_name", "column_name"])
+    return S.schema_report(tables).join(S.column_fill(tables), ["table_name", "column_name"]).drop("nullable")
+
+
+@query("write_observed", " UNION ALL ".join(
+    f"SELECT 'decisions' AS table_name, count(*) AS row_count, '{name}' AS column_name, count({name}) AS n_filled, "
+    "CAST(NULL AS VARCHAR) AS problem, CAST(NULL AS BIGINT) AS n_broken FROM decisions" for name in _columns_of("decisions")))
+def _(t):
+    """Figures of the decisions, gathered while they are written."""
+    return S.write_observed(t.decisions, work_folder(t.spark, "observed-decisions"), "decisions")
 
 
 def verdicts(t):

@@ -16,9 +16,10 @@ from meritlake.plans.driver_views import EMAIL_DOMAIN
 from meritlake.plans.evaluate import evaluate_certificates, evaluate_texts
 from meritlake.plans.model_evaluation import evaluate_with_model
 from meritlake.session import work_folder
-from meritlake.sources.calls import map_with_caller
+from meritlake.sources.calls import ANSWERS, map_with_answers, map_with_caller
 from meritlake.sources.documents import process_documents
-from meritlake.streaming.certificates import read_arrivals, stream_evaluate, stream_status
+from meritlake.sources.keyed_store import KeyedStore
+from meritlake.streaming.certificates import last_status, read_arrivals, stream_evaluate, stream_status
 
 # --- degrees -----------------------------------------------------------------------------------
 
@@ -66,6 +67,18 @@ def _(t):
     return _degree_texts(t).select("id", "degree", degrees.degree_supported(F.col("degree")).alias("supported"))
 
 
+@query("match_degree_table", f"""
+    WITH {_DEGREES_SQL}, once AS (SELECT DISTINCT degree AS d FROM degree_texts),
+    matched AS (SELECT d, {degree_sql('d')} AS programme_key, EXISTS (SELECT 1 FROM {PROGRAMMES_SQL}
+      WHERE key = replace(lower(d), ' ', '_') OR key = lower(d) OR contains(lower(name), lower(d))) AS supported FROM once)
+    SELECT id, degree, programme_key, supported FROM degree_texts JOIN matched ON degree = d""")
+def _(t):
+    """Both answers from the programmes as a table."""
+    programmes = t.spark.createDataFrame([(i, *p) for i, p in enumerate(K.DEGREE_PROGRAMMES)], "place int, key string, name string")
+    texts = _degree_texts(t)
+    return texts.join(degrees.match_degrees(texts, programmes), "degree").select("id", "degree", "programme_key", "supported")
+
+
 def hits_sql(text: str) -> str:
     return f"len(list_filter(words, lambda w: contains(lower({text}), w)))"
 
@@ -82,16 +95,28 @@ _PLACED_DOCS = f"""placed AS (SELECT doc_id, text, (SELECT key FROM {PROGRAMMES_
       FROM (SELECT doc_id, text FROM texts UNION ALL SELECT certificate_id, duties FROM extractions))"""
 
 
-@query("degree_keyword_score", f"""
+_SCORED_SQL = f"""
     WITH {CATALOGUE_SQL}, {_WORDS_SQL}, {_PLACED_DOCS},
     scored AS (SELECT doc_id, programme_key, CAST({hits_sql('text')} AS INTEGER) AS keyword_hits
       FROM placed JOIN word_lists USING (programme_key))
-    SELECT doc_id, programme_key, keyword_hits, {relevance_sql('keyword_hits')} AS degree_relevance FROM scored""", heavy=True)
-def _(t):
+    SELECT doc_id, programme_key, keyword_hits, {relevance_sql('keyword_hits')} AS degree_relevance FROM scored"""
+
+
+def _placed_texts(t):
     texts = t.texts.select("doc_id", "text").unionByName(
         t.extractions.select(F.col("certificate_id").alias("doc_id"), F.col("duties").alias("text")))
-    placed = texts.withColumn("programme_key", programme_key((F.col("doc_id") % 36).cast("int")))
-    return degrees.degree_keyword_score(placed, degrees.degree_catalogue(keyword_table(t))).drop("text")
+    return texts.withColumn("programme_key", programme_key((F.col("doc_id") % 36).cast("int")))
+
+
+@query("degree_keyword_score", _SCORED_SQL, heavy=True)
+def _(t):
+    return degrees.degree_keyword_score(_placed_texts(t), degrees.degree_catalogue(keyword_table(t))).drop("text")
+
+
+@query("degree_keyword_index", _SCORED_SQL, heavy=True)
+def _(t):
+    """The same by the trigram index of the keyword table."""
+    return degrees.keyword_hits(_placed_texts(t), keyword_table(t)).drop("text")
 
 
 # --- names -----------------------------------------------------------------------------------------
@@ -309,12 +334,13 @@ _EVALUATED = f"""
     FROM decided"""
 
 
-def _evaluator(t):
-    """Evaluation of any set of certificates against the other tables."""
+def _evaluator(t, positions_of=None):
+    """Evaluation of any set of certificates against the other tables; their positions may come from a function of them."""
     hours = t.additional_documents.where("document_type = 'HOUR_DOCUMENTATION'").select("certificate_id", "hours")
     catalogue = degrees.degree_catalogue(keyword_table(t))
     return lambda certificates: evaluate_certificates(
-        certificates, t.students, t.extractions, t.positions.drop("duties"), hours, verdicts(t), catalogue, AS_OF)
+        certificates, t.students, t.extractions,
+        positions_of(certificates) if positions_of else t.positions.drop("duties"), hours, verdicts(t), catalogue, AS_OF)
 
 
 @query("evaluate_certificates", f"WITH {EVALUATE_SQL} {_EVALUATED}")
@@ -342,7 +368,7 @@ _USABLE_SQL = ", ".join(
     owned AS (SELECT doc_id AS certificate_id, text, {INPUT_SQL} AS input_error, CASE WHEN doc_id % 2 = 0 THEN 'Matti' ELSE first_name END AS first_name,
         CASE WHEN doc_id % 2 = 0 THEN 'Virtanen' ELSE last_name END AS last_name, programme_key,
         CASE WHEN doc_id % 3 = 0 THEN 'professional' ELSE 'general' END AS requested_type
-      FROM texts JOIN students ON student_id = doc_id % 150 JOIN programmes ON degree = d),
+      FROM texts JOIN students ON student_id = doc_id % (SELECT count(*) FROM students) JOIN programmes ON degree = d),
     clean AS (SELECT * EXCLUDE (text), {SANITIZED_SQL} AS s FROM owned),
     prepared AS (SELECT *, s AS text FROM clean),
     {EXTRACT_SQL}, {names_sql('spans', '*')},
@@ -381,18 +407,33 @@ def _latest_sql(name: str, kind: str, extra: str = "true") -> str:
 _VALID = "upper(reviewer_decision) IN ('PASS', 'FAIL')"
 
 
-@query("apply_reviews", f"""
+_REVIEWED_SQL = f"""
     WITH {_latest_sql('review', 'click', _VALID)},
     {_latest_sql('comment', 'click', _VALID + ' AND student_comment IS NOT NULL')}
     SELECT d.decision_id, certificate_id, coalesce(c.student_comment, d.student_comment) AS student_comment, d.reviewer_id,
       CASE WHEN r.action_id IS NOT NULL THEN upper(r.reviewer_decision) ELSE d.reviewer_decision END AS reviewer_decision,
       CASE WHEN r.action_id IS NOT NULL THEN r.reviewer_comment ELSE d.reviewer_comment END AS reviewer_comment,
       strftime(CASE WHEN r.action_id IS NOT NULL THEN r.action_at ELSE d.reviewed_at END, '%Y-%m-%d') AS reviewed_at
-    FROM decisions AS d LEFT JOIN review AS r USING (certificate_id) LEFT JOIN comment AS c USING (certificate_id)""")
+    FROM decisions AS d LEFT JOIN review AS r USING (certificate_id) LEFT JOIN comment AS c USING (certificate_id)"""
+
+
+@query("apply_reviews", _REVIEWED_SQL)
 def _(t):
     return state.apply_reviews(t.decisions, _acts(t, "click")).select(*_STATE, day("reviewed_at"))
 
 
+@query("store_reviews", _REVIEWED_SQL)
+def _(t):
+    """Reviews merged into the stored decisions, twice: the second run changes nothing."""
+    decisions = t.decisions.select(*_STATE, "reviewed_at")
+    store = KeyedStore(t.spark, work_folder(t.spark, "decision-store"), "certificate_id", decisions.schema)
+    store.add(decisions)
+    for _ in range(2):
+        reviews = _acts(t, "click")
+        store.upsert(state.apply_reviews(store.matching(reviews), reviews))
+    return store.read().select(*_STATE, day("reviewed_at"))
+
+
 @query("rejected_reviews", f"""
     SELECT action_id, certificate_id, CASE WHEN NOT {_VALID} THEN {sql_text(state.BAD_REVIEW)} ELSE '{state.NOT_FOUND}' END AS reason
     FROM actions WHERE event_type = 'click' AND (NOT {_VALID} OR certificate_id NOT IN (SELECT certificate_id FROM decisions))""")
@@ -479,6 +520,19 @@ def _(t):
     return out
 
 
+@query("store_deletes", """
+    SELECT certificate_id, student_id FROM certificates
+    WHERE certificate_id NOT IN (SELECT certificate_id FROM actions WHERE event_type = 'purchase')""")
+def _(t):
+    """Certificates deleted from their store, twice: the second run finds none."""
+    certificates = t.certificates.select("certificate_id", "student_id")
+    store = KeyedStore(t.spark, work_folder(t.spark, "certificate-store"), "certificate_id", certificates.schema)
+    store.insert_new(certificates)
+    for _ in range(2):
+        store.delete(_acts(t, "purchase"))
+    return store.read()
+
+
 @query("attach_text", """
     SELECT certificate_id, coalesce(text, 'old text') AS ocr_output FROM certificates LEFT JOIN documents ON certificate_id = doc_id""")
 def _(t):
@@ -520,6 +574,18 @@ def _(t):
     return map_with_caller(t.documents, "text", ["doc_id"], [("short", short_only), ("spare", reader)]).drop("elapsed")
 
 
+@query("map_with_answers", """
+    SELECT doc_id, CASE WHEN length(text) <= 2000 THEN lower(text) END AS answer, length(text) <= 2000 AS success,
+      CASE WHEN length(text) > 2000 THEN 'document too long' END AS error FROM documents""", heavy=True)
+def _(t):
+    """Several calls at a time, each text once; a second run finds the answers in the store."""
+    store = KeyedStore(t.spark, work_folder(t.spark, "answer-store"), "prompt_hash", ANSWERS)
+    short_only, _ = _stand_ins()
+    for _ in range(2):
+        rows = map_with_answers(t.documents, "text", ["doc_id"], [("short", short_only)], store, in_flight=4)
+    return rows.drop("caller")
+
+
 @query("process_documents", f"""
     WITH read AS (SELECT doc_id, starts_with(text, 'Is') AS failed, {sql_lines('text', K.LINE_BREAK_CLASS, 1)} AS text FROM texts)
     SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS file_name, NOT failed AS success,
@@ -538,33 +604,33 @@ def _(t):
 
 
 # --- streams ------------------------------------------------------------------------------------------------
-_CERTIFICATE_FROM_ORDER = """o_orderkey AS certificate_id|o_custkey AS student_id
-    |CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'PROFESSIONAL' ELSE 'GENERAL' END AS training_type
-    |CASE WHEN o_orderstatus = 'P' THEN 'SELF_PACED' ELSE 'REGULAR' END AS work_type|o_orderdate AS uploaded_at"""
-
-
-def _arrivals(t):
-    orders = read_arrivals(t.spark, t.orders.schema, t.folder, "orders.parquet")
-    return orders.selectExpr(*[part.strip() for part in _CERTIFICATE_FROM_ORDER.split("|")])
+def _dropped(t, table, files: int):
+    """A table as files that arrive, two at a time."""
+    folder = work_folder(t.spark, "drops")
+    table.repartition(files).write.parquet(folder)
+    return read_arrivals(t.spark, table.schema, folder, files_per_batch=2)
 
 
 @query("stream_evaluate", f"WITH {EVALUATE_SQL} {_EVALUATED}")
 def _(t):
-    """The order file as an arriving drop; ends when all of it is evaluated."""
-    output = work_folder(t.spark, "stream-decisions")
-    stream_evaluate(_arrivals(t), _evaluator(t), output,
-                    work_folder(t.spark, "stream-state")).awaitTermination()
-    return t.spark.read.parquet(output)
+    """Certificates in several drops; ends when all are evaluated. Positions lie in buckets, so a batch reads its own."""
+    positions = KeyedStore(t.spark, work_folder(t.spark, "positions"), "certificate_id", t.positions.drop("duties").schema)
+    positions.add(t.positions.drop("duties"))
+    evaluate = _evaluator(t, positions.matching)
+    output = KeyedStore(t.spark, work_folder(t.spark, "stream-decisions"), "certificate_id", evaluate(t.certificates.limit(0)).schema)
+    stream_evaluate(_dropped(t, t.certificates, 6), evaluate, output, work_folder(t.spark, "stream-state")).awaitTermination()
+    return output.read()
 
 
 @query("stream_status", """
     SELECT certificate_id, CASE WHEN decision_id IS NULL THEN 'processing' ELSE 'completed' END AS status,
       ai_decision, total_working_hours FROM certificates LEFT JOIN decisions USING (certificate_id)""")
 def _(t):
+    """Certificates and decisions in several drops; the last status of each certificate."""
     output = work_folder(t.spark, "stream-status")
-    stream_status(_arrivals(t), lambda: t.decisions, output,
+    stream_status(_dropped(t, t.certificates, 6), _dropped(t, t.decisions, 4), output,
                   work_folder(t.spark, "stream-state")).awaitTermination()
-    return t.spark.read.parquet(output).select("certificate_id", "status", "ai_decision", "total_working_hours")
+    return last_status(t.spark.read.parquet(output)).select("certificate_id", "status", "ai_decision", "total_working_hours")
 
 
 # --- evaluation with a model -------------------------------------------------------------------------------
@@ -624,9 +690,9 @@ _SCRIPT_SQL = f"""once AS (SELECT DISTINCT degree AS d FROM students),
     owned AS (SELECT doc_id AS certificate_id, text, CASE WHEN doc_id % 3 = 0 THEN 'professional' ELSE 'general' END AS kind,
         CASE doc_id % 4 WHEN 0 THEN 'Matti' WHEN 1 THEN 'Pekka' ELSE first_name END AS first_name,
         CASE doc_id % 4 WHEN 0 THEN 'Virtanen' WHEN 1 THEN 'Korhonen' ELSE last_name END AS last_name, programme_key, {INPUT_SQL} AS problem
-      FROM texts JOIN students ON student_id = doc_id % 150 JOIN programmes ON degree = d),
+      FROM texts JOIN students ON student_id = doc_id % (SELECT count(*) FROM students) JOIN programmes ON degree = d),
     clean AS (SELECT *, {SANITIZED_SQL} AS s FROM owned),
-    cut AS (SELECT *, substr(s, 1, {K.PROMPT_TEXT_LIMIT}) AS seen FROM clean),
+    cut AS (SELECT *, s AS seen FROM clean),
     answered AS (SELECT *, CASE WHEN problem IS NOT NULL THEN 'unusable' WHEN contains(seen, 'Pekka Korhonen') THEN 'pekka'
       WHEN contains(seen, 'Matti') THEN 'matti' WHEN contains(seen, 'Acme Group') THEN 'failed' ELSE 'blank' END AS way FROM cut),
     outcome AS (SELECT *, CASE WHEN way = 'unusable' THEN problem WHEN way = 'failed' THEN 'Extraction failed: model overloaded'

@@ -190,15 +190,26 @@ def evaluate_with_model(certificates: DataFrame, students: DataFrame, catalogue:
     values["validation_results"] = F.col("_findings")
     corrected = _ask(decided.where("_correct").drop("_own_issues", "company_issues", "issues_found"), "correction",
                      render_template(templates["correction"], values), callers, partitions)
-    repaired = N.parse_answers(corrected.select("certificate_id", "answer", F.col("success").alias("_ok")), "answer").select(
-        "certificate_id", use_correction(F.col("_ok"), F.get_json_object(
-            F.col("fields")["evaluation_results"], "$.credits_qualified").try_cast("double")).alias("corrected"))
-    finished = decided.join(repaired, "certificate_id", "left").select(
+    answer = F.from_json(F.col("fields")["evaluation_results"], "map<string,string>")
+    taken = N.parse_answers(corrected.select("certificate_id", "answer", F.col("success").alias("_ok")), "answer").select(
+        "certificate_id", "_ok", answer.alias("_answer")).where(use_correction(
+            F.col("_ok"), F.col("_answer")["credits_qualified"].try_cast("double")) & F.col("_answer").isNotNull())
+
+    def given(name: str, kind: str = "string") -> Column:
+        """The corrected value where there is a usable one, else the first answer's."""
+        return F.coalesce(F.col("_answer")[name].try_cast(kind), F.col(name))
+
+    decided = decided.join(taken.select("certificate_id", "_answer"), "certificate_id", "left").withColumns({
+        "corrected": F.col("_answer").isNotNull(),
+        **{name: given(name) for name in ("decision", "justification", "degree_relevance", "recommendation",
+                                          "calculation_breakdown", "supporting_evidence", "challenging_evidence")},
+        **{name: given(name, "double") for name in ("total_working_hours", "credits_calculated", "credits_qualified")}})
+    finished = decided.select(
         "certificate_id", F.lit(True).alias("success"),
         F.when(F.col("decision") == "ACCEPTED", F.lit("ACCEPTED")).otherwise(F.lit("REJECTED")).alias("ai_decision"),
         F.col("justification").alias("ai_justification"), "total_working_hours", "credits_calculated",
         "credits_qualified", "calculation_breakdown", *about_work, "degree_relevance", "supporting_evidence",
         "challenging_evidence", "recommendation", F.coalesce("company_status", F.lit("UNVERIFIED")).alias(
-            "company_validation_status"), *about_name, "issues_found", F.coalesce("corrected", F.lit(False)).alias("corrected"))
+            "company_validation_status"), *about_name, "issues_found", "corrected")
     parts = [finished, rejected, unusable, not_extracted, no_evaluation, bad_hours]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*RESULT)

@@ -1,15 +1,18 @@
-"""Arriving certificates: evaluated once each, and their status."""
+"""Arriving certificates: evaluated once each, and their status as decisions arrive."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meritlake.operators.applications import certificate_status
+from meritlake.operators.applications import status_fields
+from meritlake.sources.keyed_store import KeyedStore
+
+STATUS_FIELDS = ("decision_id", "ai_decision", "ai_justification", "total_working_hours", "credits_awarded",
+                 "training_duration", "training_institution")
 
 
 def read_arrivals(spark: SparkSession, schema, path: str, pattern: str = "*.parquet",
@@ -21,34 +24,20 @@ def read_arrivals(spark: SparkSession, schema, path: str, pattern: str = "*.parq
     )
 
 
-def once_per_certificate(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row of every certificate of a batch that is not stored yet, however old it is."""
-    return batch.dropDuplicates(["certificate_id"]).join(stored, "certificate_id", "left_anti")
-
-
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Rows written so far; none before the first batch."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
-        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-
-
 ALL_THERE_IS = {"availableNow": True}
 
 
-def stream_evaluate(arrivals: DataFrame, evaluate: Callable[[DataFrame], DataFrame], output: str, checkpoint: str,
+def stream_evaluate(arrivals: DataFrame, evaluate: Callable[[DataFrame], DataFrame], output: KeyedStore, checkpoint: str,
                     trigger: dict | None = None) -> StreamingQuery:
-    """Evaluate arriving certificates and append their decisions, each certificate once.
+    """Evaluate arriving certificates and store their decisions, each certificate once.
 
-    No watermark: a certificate may arrive at any time. Repeats, and a batch that is run again
-    after a failure, are held off by an anti-join with the decisions already stored.
+    No watermark: a certificate may arrive at any time. Only the store's buckets of a batch's
+    certificates are read, and of these only the keys; repeats, a batch that is run again and a lost
+    checkpoint find their keys there and add nothing.
     """
     def write(batch: DataFrame, _batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, output, batch.select("certificate_id").schema)
-        evaluate(once_per_certificate(batch, stored)).write.mode("append").parquet(output)
+        stored = output.read(output.buckets_of(batch)).select("certificate_id")
+        output.add(evaluate(batch.dropDuplicates(["certificate_id"]).join(stored, "certificate_id", "left_anti")))
 
     return (
         arrivals.writeStream.foreachBatch(write)
@@ -57,21 +46,48 @@ def stream_evaluate(arrivals: DataFrame, evaluate: Callable[[DataFrame], DataFra
     )
 
 
-def stream_status(arrivals: DataFrame, decisions: Callable[[], DataFrame], output: str, checkpoint: str,
+def status_changes(certificates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The certificates and decisions of two streams as one stream of what is known of each certificate.
+
+    A row comes out whenever something new is known: a certificate or decision that was not seen before. The
+    state holds a key for each event, and the newest decision (by time, then id) of each certificate; with a
+    RocksDB state store it lies on disk and a batch costs what its own keys cost. No watermark:
+    a decision may come before its certificate or years after it.
+    """
+    known = F.struct("created_at", *STATUS_FIELDS)
+    given = decisions.select("certificate_id", *STATUS_FIELDS, "created_at")
+    events = certificates.select("certificate_id", F.lit(True).alias("arrived"), F.lit(None).cast(
+        given.select(known.alias("decision")).schema["decision"].dataType).alias("decision")).unionByName(
+        given.select("certificate_id", F.lit(False).alias("arrived"), known.alias("decision")))
+    # the same event again, after a restart of its source or from a second file, is no news
+    news = events.withColumn("event", F.xxhash64("arrived", "decision")).dropDuplicates(["certificate_id", "event"])
+    return news.groupBy("certificate_id").agg(
+        F.max("arrived").alias("arrived"),
+        F.max_by("decision", F.when(F.col("decision").isNotNull(), F.struct("decision.created_at", "decision.decision_id")))
+        .alias("decision"))
+
+
+def stream_status(certificates: DataFrame, decisions: DataFrame, output: str, checkpoint: str,
                   trigger: dict | None = None) -> StreamingQuery:
-    """Status of arriving certificates against the decisions stored at that time, each certificate once.
+    """Every change of status of arriving certificates: processing, then completed when their decision arrives.
 
-    Each batch goes to a folder of its own, so a batch run again replaces what it wrote; what
-    other batches stored counts as there, whatever its age.
+    Each batch goes to a folder of its own, so one that is run again replaces what it wrote. A
+    certificate whose decision came first is completed at once; an event that tells nothing new gives no
+    row. :func:`last_status` has the last row of each.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        schema = batch.select("certificate_id").schema.add("batch", "long")
-        stored = _stored(batch.sparkSession, output, schema).filter(F.col("batch") != batch_id)
-        certificate_status(once_per_certificate(batch, stored.select("certificate_id")), decisions()).write.mode(
-            "overwrite").parquet(f"{output}/batch={batch_id}")
+        arrived = batch.where("arrived").select("certificate_id", "decision.*")
+        status_fields(arrived).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     return (
-        arrivals.writeStream.foreachBatch(write)
+        status_changes(certificates, decisions).writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or ALL_THERE_IS)).start()
     )
+
+
+def last_status(changes: DataFrame) -> DataFrame:
+    """The newest status of each certificate, from what :func:`stream_status` wrote."""
+    fields = [c for c in changes.columns if c not in ("certificate_id", "batch")]
+    return changes.groupBy("certificate_id").agg(
+        F.max_by(F.struct(*fields), "batch").alias("last")).select("certificate_id", "last.*")

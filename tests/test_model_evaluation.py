@@ -66,12 +66,41 @@ def test_stages(spark):
     assert (rows[2].ai_decision, rows[2].credits_qualified) == ("REJECTED", 0.0)
     assert rows[2].issues_found[0].type == "name_mismatch"
     assert (rows[3].success, rows[3].error) == (False, "Text too short or empty")
-    assert (rows[4].ai_decision, rows[4].corrected, rows[4].credits_qualified) == ("REJECTED", True, 30.0)
+    # the correction answers with credits and a decision, which hold; what it leaves out stays
+    assert (rows[4].ai_decision, rows[4].corrected, rows[4].credits_qualified) == ("ACCEPTED", True, 12.0)
+    assert (rows[4].total_working_hours, rows[4].ai_justification) == (837.0, "because")
     assert (rows[5].success, rows[5].error) == (False, "Evaluation failed: no answer")
     assert (rows[6].ai_decision, rows[6].name_validation_match_result) == ("ACCEPTED", "unknown")
     assert not rows[1].corrected
 
 
+def test_corrections_that_do_not_hold(spark):
+    """Credits over the limit, no object, or a failed call: the first answer stays."""
+    certificates = spark.createDataFrame(
+        [(i, 1, "PROFESSIONAL", f"an undecided certificate number {i}") for i in range(4)],
+        "certificate_id int, student_id int, training_type string, text string")
+    students = spark.createDataFrame([(1, "John", "Doe", "Business")], "student_id int, first_name string, last_name string, degree string")
+    keywords = spark.createDataFrame([("general", "role", "clerk")], "programme_key string, kind string, keyword string")
+
+    def correction():
+        def call(prompt):
+            if "number 0" in prompt:
+                return '{"evaluation_results": {"credits_qualified": 31, "decision": "ACCEPTED"}}'
+            if "number 1" in prompt:
+                return "no object"
+            if "number 2" in prompt:
+                raise RuntimeError("overloaded")
+            return '{"evaluation_results": {"total_working_hours": "540", "degree_relevance": "low", "decision": null}}'
+
+        return call
+
+    rows = {r.certificate_id: r for r in evaluate_with_model(
+        certificates, students, degree_catalogue(keywords), {**scripted(), "correction": [("scripted", correction)]}, "2024-01-01").collect()}
+    assert [rows[i].corrected for i in range(4)] == [False, False, False, True]
+    assert {(r.ai_decision, r.credits_qualified) for r in rows.values()} == {("REJECTED", 30.0)}
+    assert (rows[3].total_working_hours, rows[3].degree_relevance, rows[0].total_working_hours) == (540.0, "low", 837.0)
+
+
 def test_positions_late_in_a_long_text(spark):
     late = "a long certificate " + "of many words " * 1000 + "Employer: Faraway Works, 1.2.2003 - 3.4.2005, 837 hours."
     assert late.index("Faraway") > 8000

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from meritlake.sources.keyed_store import KeyedStore
 from meritlake.operators import degrees, intake, lookups, ordered, state
 from meritlake.operators import statistics as S
 
@@ -106,11 +107,13 @@ def test_uploads(spark):
 
 def test_append_refuses_bad_rows_and_repeats_ids(spark, tmp_path):
     frame = spark.createDataFrame([("a.pdf", "GENERAL"), ("b.pdf", "WRONG")], "filename string, training_type string")
+    store = KeyedStore(spark, str(tmp_path / "t"), "record_id",
+                       "record_id string, filename string, training_type string, uploaded_at timestamp")
     for _ in range(2):
-        refused = intake.append_records(frame, str(tmp_path / "t"), "record_id", ["filename"], "uploaded_at")
+        refused = intake.append_records(frame, store, ["filename"], "uploaded_at")
     assert [(r.filename, r.problems) for r in refused.collect()] == [("b.pdf", ["training_type: not in domain"])]
-    rows = spark.read.parquet(str(tmp_path / "t")).collect()
-    assert len(rows) == 2 and len({r.record_id for r in rows}) == 1 and rows[0].uploaded_at is not None
+    rows = store.read().collect()
+    assert [r.filename for r in rows] == ["a.pdf"] and rows[0].uploaded_at is not None
 
 
 def test_seed_takes_one_row_per_key(spark):

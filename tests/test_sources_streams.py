@@ -9,8 +9,9 @@ from meritlake.session import work_folder
 from meritlake.sources.calls import map_with_caller
 from meritlake.sources.documents import (
     process_documents, read_documents, read_text_documents, scan_document_inventory)
+from meritlake.sources.keyed_store import KeyedStore
 from meritlake.sources.tables import read_entity, read_workflow_files
-from meritlake.streaming.certificates import read_arrivals, stream_evaluate, stream_status
+from meritlake.streaming.certificates import last_status, read_arrivals, stream_evaluate, stream_status
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -89,12 +90,16 @@ def test_entity_scan_prunes(spark, tmp_path):
     assert "file_content" not in plan
 
 
+def decision_store(spark, evaluate, certificates, buckets=8):
+    return KeyedStore(spark, work_folder(spark, "out"), "certificate_id", evaluate(certificates.limit(0)).schema, buckets)
+
+
 def test_stream_equals_batch_with_repeats_and_restart(spark):
     tables = Tables(spark, FOLDER)
     drops = work_folder(spark, "drops")
     certificates = tables.certificates
     certificates.where("certificate_id < 900").coalesce(1).write.parquet(f"{drops}/one")
-    output, state = work_folder(spark, "out"), work_folder(spark, "state")
+    output, state = decision_store(spark, _evaluator(tables), certificates), work_folder(spark, "state")
 
     def run():
         arrivals = read_arrivals(spark, certificates.schema, f"{drops}/*", files_per_batch=1)
@@ -104,37 +109,93 @@ def test_stream_equals_batch_with_repeats_and_restart(spark):
     certificates.where("certificate_id >= 600").coalesce(1).write.parquet(f"{drops}/two")
     run()
     # a lost checkpoint replays everything; the stored decisions still keep repeats out
-    state = work_folder(spark, "state")
+    before, state = output.snapshots(), work_folder(spark, "state")
     run()
-    streamed = spark.read.parquet(output)
+    assert output.snapshots() == before
+    streamed = output.read()
     batch = entry_points.queries()["evaluate_certificates"](spark, FOLDER)
     assert streamed.count() == batch.count() == streamed.select("certificate_id").distinct().count()
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
 
 
 def test_late_certificates_are_kept(spark):
-    """Four batches, the oldest dates last, repeats among them: the same rows as one batch."""
+    """Four batches, the oldest dates last, repeats among them, decisions in between: the same rows as one batch."""
     tables = Tables(spark, FOLDER)
-    certificates, drops = tables.certificates, work_folder(spark, "drops")
+    certificates, drops, decided = tables.certificates, work_folder(spark, "drops"), work_folder(spark, "decided")
     days = [str(r.day) for r in certificates.selectExpr(
         "explode(percentile(unix_micros(uploaded_at), array(0.25, 0.5, 0.75))) AS day").collect()]
     at = F.expr("unix_micros(uploaded_at)")
     parts = [at >= float(days[2]), (at >= float(days[1])) & (at < float(days[2])),
              (at >= float(days[0])) & (at < float(days[1])), at < float(days[0])]
-    results, states = [work_folder(spark, n) for n in ("out", "status")], [work_folder(spark, n) for n in ("s1", "s2")]
+    output, states = decision_store(spark, _evaluator(tables), certificates), [work_folder(spark, n) for n in ("s1", "s2")]
+    statuses = work_folder(spark, "status")
     for number, part in enumerate(parts):
         # each drop repeats some rows of the first one
         certificates.where(part | (parts[0] & F.expr("certificate_id % 7 = 0"))).coalesce(1).write.parquet(f"{drops}/{number}")
+        tables.decisions.where(f"certificate_id % 4 = {number} OR certificate_id % 12 = 0").coalesce(1).write.parquet(f"{decided}/{number}")
         arrivals = read_arrivals(spark, certificates.schema, f"{drops}/*", files_per_batch=1)
-        stream_evaluate(arrivals, _evaluator(tables), results[0], states[0]).awaitTermination()
-        stream_status(arrivals, lambda: tables.decisions, results[1], states[1]).awaitTermination()
-    for name, folder in zip(("evaluate_certificates", "stream_status"), results):
+        stream_evaluate(arrivals, _evaluator(tables), output, states[0]).awaitTermination()
+        decisions = read_arrivals(spark, tables.decisions.schema, f"{decided}/*", files_per_batch=1)
+        stream_status(arrivals, decisions, statuses, states[1]).awaitTermination()
+    changes = spark.read.parquet(statuses)
+    # each change once: processing and completed at most once each, in this order
+    assert changes.groupBy("certificate_id", "status").count().where("count > 1").count() == 0
+    assert changes.where("status = 'processing'").count() > 100
+    turned = changes.groupBy("certificate_id").agg(F.max_by("status", "batch").alias("last"), F.collect_set("status").alias("all"))
+    assert turned.where("last = 'processing' AND array_contains(all, 'completed')").count() == 0
+    for name, streamed in (("evaluate_certificates", output.read()), ("stream_status", last_status(changes))):
         batch = entry_points.queries()[name](spark, FOLDER)
-        streamed = spark.read.parquet(folder).select(*batch.columns)
+        streamed = streamed.select(*batch.columns)
         assert streamed.count() == batch.count() == certificates.count()
         assert streamed.exceptAll(batch).count() == 0
 
 
+def test_status_goes_from_processing_to_completed(spark):
+    tables = Tables(spark, FOLDER)
+    drops, decided, output, state = (work_folder(spark, n) for n in ("drops", "decided", "status", "state"))
+    certificates = spark.createDataFrame([(1,), (2,), (3,)], "certificate_id bigint")
+    empty = tables.decisions.limit(0)
+    one = tables.decisions.limit(1).drop("certificate_id", "decision_id", "ai_decision", "created_at")
+
+    def decision(certificate, name, verdict, when):
+        return one.selectExpr(f"{certificate}L AS certificate_id", f"'{name}' AS decision_id", f"'{verdict}' AS ai_decision",
+                              f"TIMESTAMP '{when}' AS created_at", "*").select(*empty.columns)
+
+    def run(batch, new_certificates, new_decisions):
+        if new_certificates is not None:
+            new_certificates.coalesce(1).write.parquet(f"{drops}/{batch}")
+        (new_decisions if new_decisions is not None else empty).coalesce(1).write.parquet(f"{decided}/{batch}")
+        stream_status(read_arrivals(spark, certificates.schema, f"{drops}/*"), read_arrivals(spark, empty.schema, f"{decided}/*"),
+                      output, state).awaitTermination()
+        return {(r.certificate_id, r.status, r.ai_decision) for r in last_status(spark.read.parquet(output)).collect()}
+
+    first = run(0, certificates.where("certificate_id < 3"), decision(9, "early", "ACCEPTED", "2024-01-01"))
+    assert first == {(1, "processing", None), (2, "processing", None)}
+    done = run(1, None, decision(1, "d1", "ACCEPTED", "2024-01-02"))
+    assert done == {(1, "completed", "ACCEPTED"), (2, "processing", None)}
+    # the same events again tell nothing new
+    rows = spark.read.parquet(output).count()
+    run(2, certificates.where("certificate_id < 3"), decision(1, "d1", "ACCEPTED", "2024-01-02"))
+    assert spark.read.parquet(output).count() == rows
+    # a later decision replaces the first one; a decision that came before its certificate counts
+    nine = spark.createDataFrame([(9,)], "certificate_id bigint")
+    last = run(3, nine, decision(1, "d2", "REJECTED", "2024-02-01"))
+    assert last == {(1, "completed", "REJECTED"), (2, "processing", None), (9, "completed", "ACCEPTED")}
+
+
+def test_a_batch_reads_its_buckets_only(spark):
+    """The files of a batch do not grow with what was stored before."""
+    path, opened = work_folder(spark, "store"), []
+    store = KeyedStore(spark, path, "k", "k long, v string", buckets=16)
+    for batch in range(12):
+        store.insert_new(spark.range(batch * 500, batch * 500 + 500).selectExpr("id AS k", "'x' AS v"))
+        few = spark.createDataFrame([(7,)], "k long")
+        opened.append(len(store.matching(few).inputFiles()) if batch else 0)
+        assert [tuple(r) for r in store.matching(few).collect()] == [(7, "x")]
+    assert max(opened) <= 4 + 2 and store.read().count() == 6000
+    assert max(sum(p.bucket == b for p in store.parts()) for b in range(16)) <= 4
+
+
 def test_invariants(spark):
     rows = entry_points.queries()["evaluate_certificates"](spark, FOLDER)
     caps = F.when(F.col("requested_type") == "professional", 30.0).otherwise(10.0)
