@@ -22,6 +22,20 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
+# Rows of a table with one row a task that may be sent to all tasks: at 130 bytes each some 64 MB.
+MOST_SENT_ROWS = 500_000
+
+
+def beside_each_task(rows: DataFrame, starts: DataFrame, purpose: str, shard: str = "shard") -> DataFrame:
+    """``rows`` joined with ``starts``, which has one row for each task that wrote them.
+
+    The starts are written first and counted: up to ``MOST_SENT_ROWS`` they go to the rows, which then stay
+    where they lie; more tasks than that are joined like any two tables.
+    """
+    starts = written(starts, purpose)
+    return rows.join(F.broadcast(starts) if starts.count() <= MOST_SENT_ROWS else starts, shard)
+
+
 def numbered(rows: DataFrame, group: list[str], order: list[Column], purpose: str) -> DataFrame:
     """The rows with ``number``, their place from 0 in the order within their group, and the group's ``size``.
 

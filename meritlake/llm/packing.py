@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meritlake.llm.frames import beside_each_task
 from meritlake.llm.tokenizing import encoder_of, pattern_of, read_definition
 from meritlake.session import work_folder
 
@@ -38,7 +39,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, most: int = SEQ
     Every row of the input is a document, whether its key is null, repeated or not; a null text is
     empty and gives the end id alone. Sequence ids run from 0 without gaps, longest sequences
     first; offset is 0, as no sequence has two pieces. Other columns are not kept. An empty table
-    gives no pieces. Nothing but one count per task and length is shuffled.
+    gives no pieces. Nothing but one count per task and length is shuffled; the starts made of them, one
+    row a task, go to the pieces (up to ``frames.MOST_SENT_ROWS`` tasks).
     """
     spark = docs.sparkSession
     definition = spark.sparkContext.broadcast(read_definition(tokenizer))
@@ -79,6 +81,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, most: int = SEQ
     pieces = spark.read.schema(PIECES).parquet(folder)
     firsts = pieces.groupBy("length", "shard").agg(F.count("*").alias("n")).select(
         "length", "shard", F.expr("sum(n) OVER (ORDER BY length DESC, shard) - n").alias("first"))
-    return pieces.join(firsts, ["length", "shard"]).select(
-        "doc_id", "start", "length", "doc_tokens", (F.col("first") + F.col("place")).alias("sequence_id"),
+    starts = firsts.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("length", "first"))).alias("firsts"))
+    return beside_each_task(pieces, starts, "piece-starts").select(
+        "doc_id", "start", "length", "doc_tokens", (F.col("firsts")[F.col("length")] + F.col("place")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), "ids")

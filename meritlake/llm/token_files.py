@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meritlake.llm.frames import beside_each_task
 from meritlake.llm.tokenizing import encoder_of, read_definition
 
 BLOCK_IDS = 1 << 16
@@ -131,7 +132,8 @@ def read_token_files(spark, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (32-bit little-endian) of every document.
 
     Chunks are read alone. The start of a shard comes from a running sum over one small row per
-    shard, so no shard waits for another.
+    shard, so no shard waits for another; these rows go to the chunks, and ids are not shuffled
+    (up to ``frames.MOST_SENT_ROWS`` shards).
     """
     chunks = spark.read.schema(CHUNKS).parquet(folder)
     starts = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select(
@@ -152,5 +154,5 @@ def read_token_files(spark, folder: str) -> DataFrame:
                     pa.array(parts, pa.binary())],
                     names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"])
 
-    return chunks.mapInArrow(decode, DOCUMENTS).join(starts, "shard").select(
+    return beside_each_task(chunks.mapInArrow(decode, DOCUMENTS), starts, "shard-starts").select(
         "doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")

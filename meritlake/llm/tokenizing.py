@@ -16,9 +16,16 @@ import unicodedata
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Characters on which every Unicode version and every pattern library agree; U+0130 changes
-# its length in lower case, so it is left out.
-PLAIN = [c for c in (*range(9, 14), *range(32, 127), *range(0xA0, 0x250), *range(0x2010, 0x2028)) if c != 0x130]
+def closed_under_lower(characters: set[int]) -> list[int]:
+    """The characters whose small letter is one character of the set too."""
+    while gone := {c for c in characters if len(chr(c).lower()) != 1 or ord(chr(c).lower()) not in characters}:
+        characters = characters - gone
+    return sorted(characters)
+
+
+# Characters on which every Unicode version and every pattern library agree. A text of them is
+# put in lower case after it was found to be plain, so it has to stay plain.
+PLAIN = closed_under_lower({*range(9, 14), *range(32, 127), *range(0xA0, 0x250), *range(0x2010, 0x2028)})
 _NOT_PLAIN = re.compile("[^" + "".join(re.escape(chr(c)) for c in PLAIN) + "]")
 # Pieces a worker remembers; the table starts afresh when it is full.
 MOST_PIECES = 500_000
