@@ -15,8 +15,8 @@ pack is told comes to it by its number.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from meritlake.llm.frames import written
 
-WORD = re.compile("[^\x20\x09-\x0D]+")
 SEED_WORDS = 11
 # Bytes of text in a pack; a longer document is a pack of its own.
 PACK_BYTES = 2 << 20
@@ -89,18 +88,18 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Hash of each word; starts afresh when it is full."""
+    """Hash of each word (in UTF-8); starts afresh when it is full."""
 
     def __init__(self, salt: int):
         super().__init__()
         self.salt = salt
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= MOST_KNOWN_WORDS:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode(), self.salt)
+        found = self[word] = xxhash.xxh3_64_intdigest(word, self.salt)
         return found
 
 
@@ -145,15 +144,15 @@ def windows_of(hashes: np.ndarray, ends: np.ndarray, window: int) -> Windows:
 
 
 class Pack:
-    """Words of a pack's documents."""
+    """Words of a pack's documents in UTF-8, cut at space and the characters 9 to 13, which is how bytes are split."""
 
     def __init__(self, body: bytes, lengths: list[int]):
         import zstandard
 
         raw, at, ends = zstandard.ZstdDecompressor().decompress(body), 0, []
-        self.words: list[str] = []
+        self.words: list[bytes] = []
         for length in lengths:
-            self.words += WORD.findall(raw[at:at + length].decode())
+            self.words += raw[at:at + length].split()
             ends.append(len(self.words))
             at += length
         self.ends = np.array(ends, np.int64)
@@ -471,17 +470,17 @@ def _kept(pack: Pack, told: list[dict], known: WordHashes, window: int, texts: b
                 words = pack.words[start:start + path["words"]]
                 spans[document].append({
                     "start": start - (int(pack.ends[document - 1]) if document else 0), "words": path["words"],
-                    "path": path["path"], "digest": hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()})
+                    "path": path["path"], "digest": hashlib.blake2b(b" ".join(words), digest_size=16).digest()})
     covered = np.cumsum(gone[:-1]) > 0
     out, first = [], 0
     for end, own in zip(pack.ends.tolist(), spans):
         hidden = covered[first:end]
         words = pack.words[first:end]
         if hidden.any():
-            words = [w for w, h in zip(words, hidden.tolist()) if not h]
-        kept = " ".join(words)
-        out.append((end - first, int(hidden.sum()), hashlib.sha256(kept.encode()).hexdigest(),
-                    sorted(own, key=lambda s: s["start"]), kept if texts else None))
+            words = list(compress(words, (~hidden).tolist()))
+        kept = b" ".join(words)
+        out.append((end - first, int(hidden.sum()), hashlib.sha256(kept).hexdigest(),
+                    sorted(own, key=lambda s: s["start"]), kept.decode() if texts else None))
         first = end
     return out
 

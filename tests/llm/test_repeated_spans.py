@@ -110,7 +110,7 @@ class SameForAll(dict):
         super().__init__()
 
     def __missing__(self, word):
-        return 7 if word in "cx" else ord(word)
+        return 7 if word in b"cx" else ord(word)
 
 
 @settings(max_examples=60, deadline=None)
