@@ -51,6 +51,14 @@ def perhaps_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
             .filter(F.col("bits").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key))).drop("word", "bits"))
 
 
+def without(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key is not among the keys. Rows that the filter does not know stay where they lie; the others, few, are joined."""
+    flagged = rows.withColumn("word", _word(F.col(key))).join(F.broadcast(bloom_filter(keys, key)), "word", "left").withColumn(
+        "maybe", F.coalesce(F.col("bits").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)), F.lit(False)))
+    apart = flagged.filter(~F.col("maybe")).select(*rows.columns)
+    return apart.unionByName(flagged.filter("maybe").select(*rows.columns).join(keys, key, "left_anti"))
+
+
 def repeated_filter(cells: DataFrame) -> DataFrame:
     """Bloom filter of the cells that more than one row has: word, bits; at most FILTER_WORDS rows."""
     return bloom_filter(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "cell")

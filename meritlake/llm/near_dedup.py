@@ -13,7 +13,7 @@ bucket gives a row per pair.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritlake.llm.exact_dedup import perhaps_among
+from meritlake.llm.exact_dedup import perhaps_among, without
 from meritlake.llm.frames import with_fields, written
 
 SHINGLE_WORDS = 5
@@ -346,9 +346,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     keys need not be unique. Input columns named like a result are replaced. An empty table gives
     an empty table.
     """
-    spark: SparkSession = docs.sparkSession
     results = ("class_id", "class_size", "kept")
     carry = [c for c in (carry if carry is not None else [key]) if c not in results]
+    signed, labelled = _classes(docs, text, key, carry)
+    return _best_of(labelled(signed.select("same", "place", "row"))).select(
+        "row.carry.*", "class_id", "class_size", (F.col("place") == F.col("best.place")).alias("kept"))
+
+
+def _best_of(whole: DataFrame) -> DataFrame:
+    """Rows (label, place, row) with their class: class_id, class_size, and key and place of the row that stays."""
+    ranked = whole.select("label", "place", F.col("row.key").alias("key"))
+    classes = ranked.groupBy("label").agg(
+        F.min("key").alias("class_id"), F.count("*").alias("class_size"),
+        F.min(F.struct(F.col("key").isNull().alias("last"), "key", "place")).alias("best"))
+    return whole.join(classes, "label")
+
+
+def _classes(docs: DataFrame, text: str, key: str, carry: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The signed rows (row with key and carry, text, same, place), written, and what adds the class's label to rows of them."""
+    spark: SparkSession = docs.sparkSession
     given = docs.select(
         F.struct(docs[key].cast("long").alias("key"), F.struct(*[docs[c] for c in carry]).alias("carry")).alias("row"),
         docs[text].alias("text"))
@@ -387,17 +403,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
         if extra.limit(1).count():
             labels = components(links.union(extra))
 
-    whole = labelled(signed.select("same", "place", "row").join(nodes.select("same", "node"), "same"), "node", "label")
-    ranked = whole.select("label", "place", F.col("row.key").alias("key"))
-    classes = ranked.groupBy("label").agg(
-        F.min("key").alias("class_id"), F.count("*").alias("class_size"),
-        F.min(F.struct(F.col("key").isNull().alias("last"), "key", "place")).alias("best"))
-    return whole.join(classes, "label").select(
-        "row.carry.*", "class_id", "class_size", (F.col("place") == F.col("best.place")).alias("kept"))
+    def with_label(rows: DataFrame) -> DataFrame:
+        return labelled(rows.join(nodes.select("same", "node"), "same"), "node", "label")
+
+    return signed, with_label
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each class, with the columns of the input."""
-    wrapped = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("document"),
-                          docs[text].alias("text"), docs[key].alias("doc_id"))
-    return near_duplicates(wrapped, carry=["document"]).filter("kept").select("document.*")
+    """One row of each class, with the columns of the input. Only the keys of rows move; texts stay where they were written."""
+    others = [docs[c] for c in docs.columns if c != text]
+    wrapped = docs.select(F.struct(F.lit(0).alias("none"), *others).alias("document"), docs[text].alias("text"),
+                          docs[key].alias("doc_id"))
+    signed, labelled = _classes(wrapped, "text", "doc_id", ["document"])
+    keyed = signed.select("same", "place", F.struct(F.col("row.key").alias("key")).alias("row"))
+    dropped = written(_best_of(labelled(keyed)).filter(F.col("place") != F.col("best.place")).select("place"), "dropped")
+    document = F.col("row.carry.document")
+    return without(signed.select("place", "row", "text"), "place", dropped).select(
+        *[F.col("text").alias(c) if c == text else document.getField(c).alias(c) for c in docs.columns])
