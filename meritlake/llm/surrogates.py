@@ -60,7 +60,13 @@ PATTERNS = [
                        rf"|{_GROUP}(?::{_GROUP}){{7}})(?![\w:]|\.\d)")),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)"
-                         r"|(?<![\w.+-])(?:\(\d{2,4}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w.-]*\d)")),
+                         r"|(?<![\w.+-])(?:\(\d{2,4}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w.-]*\d)"
+                         r"|(?<![\w.+-])(?<!\d )0\d([ .-])\d\d(?:\1\d\d){3}(?![ .-]?\d|\w)")),
+    # a date after words that say it is one of birth
+    ("birth", re.compile(
+        r"(?i:\b(?:born(?: on)?|date of birth|birth ?date|dob|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|"
+        r"fecha de nacimiento|syntynyt|syntymäaika|родил(?:ся|ась)|дата рождения))[\s:,(]{1,4}"
+        r"(\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{1,2}-\d{1,2})(?!\d)")),
     ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("national", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     # street and house number, as written in English, German, French, Spanish, Finnish and Russian
@@ -81,10 +87,11 @@ _PLACE_WORDS = re.compile(
 _TITLED = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.?[ \u00a0]+(" + _NAME + r")(?:[ \u00a0]+(" + _NAME + r"))?")
 _LISTED = re.compile(r"(?<!\w)(" + "|".join(_GENDER) + r")[ \u00a0]+(" + _NAME + r")(?!\w)")
 # What a document must hold for any of the above, for Spark: a sign or digit, the start of a key, a name.
-# Digits are Python's: Java's \p{Nd} may know an earlier Unicode.
-_SIGNS = "[@" + "".join(
-    f"\\x{{{c:x}}}-\\x{{{c + 9:x}}}" for c in range(sys.maxunicode + 1) if unicodedata.decimal(chr(c), -1) == 0) + (
-    "]|(?:[0-9A-Fa-f]{1,4}:){7}")
+# Digits are Python's: Java's \p{Nd} may know an earlier Unicode. Those beyond ASCII are looked for in texts
+# beyond ASCII only, and there among the characters from the first of them on.
+_ZEROS = [c for c in range(sys.maxunicode + 1) if unicodedata.decimal(chr(c), -1) == 0 and c > 127]
+_OTHER_DIGITS = f"[\\x{{{_ZEROS[0]:x}}}-\\x{{10ffff}}&&[" + "".join(f"\\x{{{c:x}}}-\\x{{{c + 9:x}}}" for c in _ZEROS) + "]]"
+_GROUPS = "(?:[0-9A-Fa-f]{1,4}:){7}"
 _KEYS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
 _NAMES = r"[A-ZÀ-ÞΑ-ΩА-Я](?<=" + "|".join(sorted({n[0] for n in [*TITLES, *_GENDER]})) + ")(?:" + "|".join(
     f"(?<={first})(?:" + "|".join(n[1:] for n in [*TITLES, *_GENDER] if n[0] == first) + ")"
@@ -93,7 +100,8 @@ _NAMES = r"[A-ZÀ-ÞΑ-ΩА-Я](?<=" + "|".join(sorted({n[0] for n in [*TITLES,
 
 def may_hold_entities(text: Column) -> Column:
     """False only for texts without any entity."""
-    found = text.rlike(_SIGNS)
+    found = text.rlike("[@0-9]") | ((F.octet_length(text) != F.length(text)) & text.rlike(_OTHER_DIGITS)) | (
+        text.contains(":") & text.rlike(_GROUPS))
     for key in _KEYS:
         found = found | text.contains(key)
     return F.coalesce(found | text.rlike(_NAMES), F.lit(False))
@@ -125,6 +133,19 @@ def _luhn(digits: str) -> bool:
     return sum(d - 9 if d > 9 else d for d in double) % 10 == 0
 
 
+def _check_digits(iban: str) -> str:
+    """The two digits that an account number of this country and body has."""
+    rest = "".join(str(int(c, 36)) for c in iban[4:] + iban[:2])
+    return f"{98 - int(rest + '00') % 97:02d}"
+
+
+def _day(text: str) -> tuple[int, int, int]:
+    """Year, month and day of a date written with the year last or first."""
+    first, second, third = map(int, re.split(r"[./-]", text))
+    year, month, day = (first, second, third) if first > 31 else (third, second, first)
+    return (year, day, month) if month > 12 else (year, month, day)
+
+
 def _is_ip(text: str) -> bool:
     try:
         return bool(ipaddress.ip_address(_plain_digits(text)))
@@ -148,6 +169,8 @@ def _value(kind: str, text: str) -> str:
         return text.replace(" ", "")
     if kind in ("ip", "national"):
         return _plain_digits(text)
+    if kind == "birth":
+        return "{:04d}-{:02d}-{:02d}".format(*_day(text))
     return text.lower() if kind in ("email", "ip6") else text
 
 
@@ -166,7 +189,7 @@ def find_entities(text: str) -> list[Entity]:
 
     for kind, pattern in PATTERNS:
         for found in pattern.finditer(text):
-            start, end = found.span(found.lastindex or 0)
+            start, end = found.span(1 if kind in ("secret", "birth") and found.lastindex else 0)
             if kind == "card":
                 digits = _digits(found[0])
                 if not (_luhn(digits) or len(digits) in (15, 16) and digits[0] in "3456"):
@@ -186,6 +209,17 @@ def find_entities(text: str) -> list[Entity]:
         parts.setdefault(found[1], f"given-{_GENDER[found[1]]}")
         parts.setdefault(found[2], "surname")
     if parts:
+        # a surname in capitals is the same one, and so is a given name in capitals before it
+        capitals = {p.upper(): kind for p, kind in parts.items() if len(p) > 1}
+        surnames = [p for p, kind in capitals.items() if kind == "surname"]
+        if surnames:
+            both = "|".join(map(re.escape, sorted({*capitals, *(n.upper() for n in _GENDER)}, key=len, reverse=True)))
+            last = "|".join(map(re.escape, sorted(surnames, key=len, reverse=True)))
+            for found in re.finditer(rf"(?<!\w)(?:({both})[ \u00a0]+)?({last})(?!\w)", text):
+                if found[1]:
+                    given = capitals.get(found[1]) or f"given-{_GENDER[found[1].capitalize()]}"
+                    take(*found.span(1), given, found[1].casefold())
+                take(*found.span(2), "surname", found[2].casefold())
         for found in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(parts, key=len, reverse=True))) + r")(?!\w)", text):
             take(*found.span(), parts[found[0]], found[0].casefold())
     return sorted(taken)
@@ -248,7 +282,7 @@ def surrogate_value(secret: bytes, kind: str, value: str, attempt: int = 0) -> s
             made = "".join([*kept, *map(draw.like, value[place:])]) + "".join(draw.like("0") for _ in range(longer))
         elif kind in ("phone", "card", "national"):
             head, bar, body = value.rpartition("|")
-            first = body[0] if kind == "card" else str(2 + draw.below(8))
+            first = body[0] if kind == "card" or kind == "phone" and body[0] == "0" else str(2 + draw.below(8))
             digits = first + "".join(str(draw.below(10)) for _ in range(len(body) - 1 + longer if kind != "national" else len(body) - 1))
             if kind == "national":
                 digits = "".join(d if c.isdigit() else c for c, d in zip(body, digits))
@@ -257,6 +291,11 @@ def surrogate_value(secret: bytes, kind: str, value: str, attempt: int = 0) -> s
             made = head + bar + digits
         elif kind == "iban":
             made = value[:2] + "".join(map(draw.like, value[2:])) + "0" * longer
+            if value.isascii() and _check_digits(value) == value[2:4]:
+                made = made[:2] + _check_digits(made) + made[4:]
+        elif kind == "birth":
+            year = int(value[:4]) - 5 - longer + draw.below(11 + 2 * longer)
+            made = f"{max(1000, year):04d}-{1 + draw.below(12):02d}-{1 + draw.below(28):02d}"
         elif kind == "secret":
             fixed = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-", value)
             start = fixed.end() if fixed else 0
@@ -291,6 +330,14 @@ def written_like(kind: str, original: str, made: str) -> str:
     if kind in ("ip", "national"):
         first = next(c for c in original if c.isdecimal())
         return "".join(_digit_like(first, c) if c.isdigit() else c for c in made)
+    if kind == "birth":
+        year, month, day = made.split("-")
+        fields = re.findall(r"\d+", original)
+        order = [year, month, day] if len(fields[0]) == 4 else [day, month, year]
+        if len(fields[0]) < 4 and int(fields[1]) > 12:  # the month stands first
+            order[:2] = order[1::-1]
+        given = iter([str(int(new)).zfill(len(old)) for old, new in zip(fields, order)])
+        return re.sub(r"\d+", lambda _: next(given), original)
     if kind == "ip6":
         return made.upper() if original.isupper() else made
     if kind == "iban":
