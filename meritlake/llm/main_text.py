@@ -52,6 +52,8 @@ _OTHERS_NAME = re.compile(rf"(?<!\S){_PLACES}(?:(?:{_LAYOUT})[_-])?(?:{_OTHERS})
 # A block with such a name stays when it holds so large a share of the page's unlinked text; what is
 # named as the text of others has to be so long as well.
 LAYOUT_SHARE, OTHERS_SHARE, OTHERS_SIZE = 0.2, 0.5, 80
+# Texts of others are never the article of a page that has so much text in paragraphs outside them.
+PARAGRAPHS_SIZE = 60
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Elements that hold an article whatever their class says.
 _KEEPS = frozenset("html body article main".split())
@@ -59,7 +61,9 @@ _KEEPS = frozenset("html body article main".split())
 _BESIDE = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl pre section blockquote table figure".split())
 _PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a quote opens a value only after an equals sign; a tag that does not end goes on to the end of the page
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 _COMMA = re.compile("[,،、，]")
@@ -118,11 +122,18 @@ def _part_named(root: Element) -> None:
             # an article that is named as the text of others is a comment or an advertisement
             if element.tag in ("article", "main") and element.named != "others" or id(element) in holds:
                 holds.add(id(element.parent))
+    beside = set()
+    outside = 0
+    for element in elements:
+        if element.named and element.tag not in _KEEPS and id(element) not in holds or id(element.parent) in beside:
+            beside.add(id(element))
+        elif element.tag == "p":
+            outside += sizes[id(element)]
     for element in elements:
         if element.named and element.tag not in _KEEPS and id(element) not in holds:
             size, of_others = sizes[id(element)], element.named == "others"
             much = size > 0 and size >= sizes[id(root)] * (OTHERS_SHARE if of_others else LAYOUT_SHARE)
-            element.apart = not much or of_others and size < OTHERS_SIZE
+            element.apart = not much or of_others and (size < OTHERS_SIZE or outside >= PARAGRAPHS_SIZE)
 
 
 def parse(page: str) -> Element:

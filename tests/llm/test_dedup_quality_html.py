@@ -202,3 +202,21 @@ def test_short_blocks_beside_the_body_stay(beside, text):
     got = main_text(f"<body>{beside}<div>{LONG * 4}</div>{linked}</body>")
     assert got.startswith(text + "\n\nRunning text") and got.count("Running text") == 12
     assert "Other page" not in got and "Next" not in got
+
+
+def test_quotes_open_after_an_equals_sign_only():
+    assert main_text(PAGE % "<article><p>One <img src=a alt=it's> two. It's three.</p></article>") == "One two. It's three."
+    assert main_text(PAGE % """<article><p title='a > "b' data-x="it's">Said <a href=x"y>link</a> so.</p></article>""") == "Said link so."
+    assert "<" not in main_text("<body><article><p>Text that is here <a href=\"x>link</a></p><p>More of it.</p></article></body>")
+    assert main_text("<article><p>Text here.</p><p class='x") == "Text here."
+    # many quoted values in a tag that does not end cost no more than their length
+    assert main_text("<article><p>Text here.</p><p " + 'a="b" ' * 3000) == "Text here."
+
+
+@pytest.mark.parametrize("place", ["<article>%s%s</article>", "<div>%s</div>%s", "<main><section>%s</section>%s</main>"])
+@pytest.mark.parametrize("name", ["comments", "comment-list", "replies", "disqus_thread respond"])
+def test_long_comments_are_not_the_article(place, name):
+    article = "<p>The article has two sentences, as it happens.</p><p>This is the second one of them.</p>"
+    comments = f"<div id='{name.split()[0]}' class='{name}'>" + "<p>I have, as always, a lot more to say about that, really.</p>" * 10 + "</div>"
+    text = main_text(f"<html><body>{place % (article, comments)}</body></html>")
+    assert text == "The article has two sentences, as it happens.\n\nThis is the second one of them."
