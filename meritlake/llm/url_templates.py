@@ -10,6 +10,7 @@ all, is too low. Nothing is held for a host but counts, so large hosts are sprea
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +27,10 @@ class Rule(NamedTuple):
 
 
 MOST_CHILDREN = 24       # more different segments below a node are one wildcard
-LEVELS = 6               # deeper segments share the wildcard **
 SIMILAR = 2.58           # standard errors within which a branch is like its siblings
 STRENGTH = 20.0          # labels that the share of all counts for in a template's purity
 LEAST_PURITY = 0.5
-REST, WILD, MERGED = "**", "*", "~"
+WILD, MERGED = "*", "~"
 
 
 def url_host(url: Column) -> Column:
@@ -45,7 +45,7 @@ def url_path(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest rule that fits, as struct(site, verdict); null if none does."""
-    fitting = []
+    fitting = [F.lit(None).cast("struct<site: string, verdict: string>")]
     for rule in sorted(rules, key=lambda r: (-len(r.site), r.site)):
         name, slash, rest = rule.site.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
@@ -61,14 +61,26 @@ def path_shape(path: Column) -> Column:
     return F.filter(F.split(shaped, "/"), lambda s: s != "")
 
 
-def grow_templates(shapes: DataFrame, most_children: int = MOST_CHILDREN, levels: int = LEVELS,
-                   similar: float = SIMILAR) -> DataFrame:
-    """host, shape, template, n, labelled, good from host, shape (segments), n, labelled, good."""
-    tree = written(shapes.withColumn("template", F.lit("")), "url-shapes")
-    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
+def _shared(low: Column, high: Column) -> Column:
+    """Number of segments that two shapes share from their start; of a node's least and greatest shape, what all its shapes share."""
+    return F.aggregate(F.zip_with(low, high, lambda a, b: a.eqNullSafe(b)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("same")),
+                       lambda so, same: F.struct((so["n"] + (so["same"] & same).cast("int")).alias("n"), (so["same"] & same).alias("same")),
+                       lambda so: so["n"])
+
+
+def grow_templates(shapes: DataFrame, most_children: int = MOST_CHILDREN, similar: float = SIMILAR) -> DataFrame:
+    """host, shape, template, n, labelled, good from host, shape (segments), n, labelled, good; a row for each shape of a host."""
+    growing = written(shapes.withColumn("template", F.lit("")).withColumn("rest", F.col("shape")), "url-shapes")
+    grown: list[DataFrame] = []
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
-    for level in range(min(deepest, levels)):
-        at = tree.withColumn("segment", F.get("shape", F.lit(level)))
+    while not growing.isEmpty():
+        ends = growing.groupBy("host", "template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        passed = F.slice("rest", F.lit(1), F.col("shared"))
+        at = growing.join(ends.select("host", "template", _shared(F.col("low"), F.col("high")).alias("shared")), ["host", "template"]).select(
+            *[c for c in growing.columns if c not in ("template", "rest")],
+            F.concat("template", F.when(F.col("shared") > 0, F.concat(F.lit("/"), F.array_join(passed, "/"))).otherwise("")).alias("template"),
+            F.slice("rest", F.col("shared") + 1, F.greatest(F.size("rest") - F.col("shared"), F.lit(0))).alias("rest")).withColumn(
+            "segment", F.get("rest", F.lit(0)))
         branches = at.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
         nodes = branches.groupBy("host", "template").agg(
             F.count("*").alias("children"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
@@ -82,12 +94,15 @@ def grow_templates(shapes: DataFrame, most_children: int = MOST_CHILDREN, levels
                 .when(F.col("children") > most_children, F.lit(WILD))
                 .when(F.col("children") > 1, F.lit(MERGED)).otherwise(F.col("segment")))
         named = branches.join(nodes, ["host", "template"]).select("host", "template", "segment", name.alias("name"))
-        tree = written(
-            at.join(named, ["host", "template", "segment"], "left").withColumn(
-                "template", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name"))
-                .otherwise(F.col("template"))).drop("segment", "name"), f"url-level-{level}")
-    longer = F.size("shape") > levels
-    return tree.withColumn("template", F.when(longer, F.concat("template", F.lit("/" + REST))).otherwise(F.col("template")))
+        level = written(
+            at.join(named, ["host", "template", "segment"], "left").withColumns({
+                "template": F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template")),
+                "rest": F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0)))}).drop("segment", "name"),
+            f"url-level-{len(grown)}")
+        # a shape that ends beside longer ones stays where it is
+        grown.append(level.filter(F.size("rest") == 0).drop("rest"))
+        growing = level.filter(F.size("rest") > 0)
+    return reduce(DataFrame.unionByName, grown, growing.drop("rest"))
 
 
 def judge_urls(urls: DataFrame, labels: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id",

@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from meritlake.llm.neighbours import nearest
@@ -107,3 +110,69 @@ def test_many_children_become_a_wildcard(spark):
     rows = [("h", ["a", f"name-{chr(97 + i // 26)}{chr(97 + i % 26)}"], 1, 1, 1.0) for i in range(60)]
     frame = spark.createDataFrame(rows, "host string, shape array<string>, n long, labelled long, good double")
     assert {r.template for r in grow_templates(frame).collect()} == {"/a/*"}
+
+
+@pytest.mark.parametrize("depth", [1, 5, 7, 30])
+def test_branches_at_any_depth_are_told_apart(spark, depth):
+    head = "/".join(f"s{i}" for i in range(depth))
+    urls = [(i, f"http://h.com/{head}/{'good' if i % 2 else 'spam'}/item{i}") for i in range(400)]
+    out = judge_urls(spark.createDataFrame(urls, "page_id long, url string"),
+                     spark.createDataFrame([(i, i % 2) for i in range(400)], "key long, label int"), []).collect()
+    assert len(out) == 400 and all(r.rule is None and r.verdict == ("allow" if r.page_id % 2 else "block") for r in out)
+
+
+def test_clashing_columns_and_no_rules(spark):
+    urls = spark.createDataFrame([(1, "x://h/a", "v", "t", 3), (None, None, None, None, None)],
+                                 "page_id long, url string, verdict string, template string, key int")
+    labels = spark.createDataFrame([(1, 1, "x")], "key long, label int, host string")
+    out = judge_urls(urls, labels, [])
+    assert out.columns == ["page_id", "host", "path", "rule", "verdict", "template"]
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, [
+        Row(page_id=1, host="h", path="/a", rule=None, verdict="allow", template="/a"),
+        Row(page_id=None, host="", path="", rule=None, verdict="allow", template="")]))
+
+
+def plain_templates(shapes, most_children, similar):
+    """The tree as a recursion over lists: {(host, shape): template}."""
+    out = {}
+
+    def grow(host, rows, at, template):
+        branches = {}
+        for row in rows:
+            if len(row[1]) == at:
+                out[host, tuple(row[1])] = template
+            else:
+                branches.setdefault(row[1][at], []).append(row)
+        labelled = {s: sum(r[3] for r in b) for s, b in branches.items()}
+        good = {s: sum(r[4] for r in b) for s, b in branches.items()}
+        total, all_good, named = sum(labelled.values()), sum(good.values()), {}
+        for segment, branch in branches.items():
+            n, others = labelled[segment], total - labelled[segment]
+            name = segment if len(branches) == 1 else "*" if len(branches) > most_children else "~"
+            if n and others:
+                pooled = all_good / total
+                error = (pooled * (1 - pooled) * (1 / n + 1 / others)) ** 0.5
+                if error > 0 and abs(good[segment] / n - (all_good - good[segment]) / others) > similar * error:
+                    name = segment
+            named.setdefault(name, []).extend(branch)
+        for name, branch in named.items():
+            grow(host, branch, at + 1, f"{template}/{name}")
+
+    for host in {r[0] for r in shapes}:
+        grow(host, [r for r in shapes if r[0] == host], 0, "")
+    return out
+
+
+def test_templates_equal_a_plain_tree(spark):
+    rng = random.Random(5)
+    shapes = {}
+    for _ in range(700):
+        host = rng.choice("hij")
+        shape = tuple(rng.choice(["a", "b", f"x{rng.randrange(9)}"]) for _ in range(rng.choice([0, 1, 2, 3, 4, 9])))
+        shape = ("p", "q", "r") + shape if rng.random() < 0.3 else shape
+        labelled = rng.randrange(0, 40)
+        shapes[host, shape] = (host, list(shape), labelled + 1, labelled, float(rng.randint(0, labelled) if "b" in shape else labelled))
+    frame = spark.createDataFrame(list(shapes.values()), "host string, shape array<string>, n long, labelled long, good double")
+    for most_children, similar in ((4, 2.58), (24, 1.0)):
+        got = {(r.host, tuple(r.shape)): r.template for r in grow_templates(frame, most_children, similar).collect()}
+        assert got == plain_templates(list(shapes.values()), most_children, similar)
