@@ -41,11 +41,11 @@ def op1_token_planes(spark: SparkSession, folder: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = encode_texts(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN,
-                          keep=["doc_id"], places=False)
+                          keep=["doc_id"])
     return decode_ids(tokens, ranks).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("starts", "ends").alias("places_hash"))
 
 
 def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from meritlake.llm.byte_bpe import decode_ids, definition_of, encode_texts, read_ranks, token_places
 from meritlake.llm.packing import binary_lengths, pack_documents
 from meritlake.llm.token_files import from_planes, pack_chunk, read_token_files, to_planes, unpack_chunk, write_token_files
-from meritlake.llm.tokenizing import Encoder, pattern_of, read_definition
+from meritlake.llm.tokenizing import PLAIN, Encoder, pattern_of, read_definition
 
 BYTE, WORD, RANKS = (P.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
 ODD = ["", " ", "\n\n a  b\t", "Don't we'll I'VE 123 4½² x_y-- ¿qué? Straße İstanbul ﬁ é 日本語 🙂👩‍👩‍👧 <|endoftext|>",
@@ -53,6 +53,16 @@ def test_odd_texts(text):
     test_encoders_agree_with_libraries.hypothesis.inner_test(text)
 
 
+def test_every_plain_character_agrees_with_libraries():
+    """Alone, at both ends and inside of words, doubled, and the capitals whose small letters are far away."""
+    for character in map(chr, [*PLAIN, *range(0x100, 0x250)]):
+        for text in (character, f"a{character}", f"{character}a", f"a{character}b", character * 2, f" {character} x{character}1"):
+            assert ids_of(BYTE_ENCODER, text) == BYTE_LIBRARY.encode(text, add_special_tokens=False).ids, text
+            assert ids_of(WORD_ENCODER, text) == WORD_LIBRARY.encode(text, add_special_tokens=False).ids, text
+    assert all(len(chr(c).lower()) == 1 and ord(chr(c).lower()) in set(PLAIN) for c in PLAIN)
+    assert len(ids_of(WORD_ENCODER, "Ɓala da Ɗan Ƙasa")) == len(WORD_LIBRARY.encode("Ɓala da Ɗan Ƙasa", add_special_tokens=False).ids)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=300))
 def test_planes_round_trip(ids):
@@ -145,3 +155,27 @@ def test_digests_of_the_query(spark):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_places_of_the_query(spark):
+    """Starts and ends of every token of every document, from the tokens' own bytes."""
+    from pyspark.sql import functions as F
+
+    from meritlake.llm.queries import op2_byte_bpe
+
+    folder, expected = "/root/testdata/sf0.001", []
+    for row in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        starts, ends, at = [], [], 0
+        first = {}  # character of each byte
+        for place, character in enumerate(row.text):
+            for _ in character.encode():
+                first[len(first)] = place
+        for token in TIKTOKEN.encode_ordinary(row.text):
+            size = len(TIKTOKEN.decode_single_token_bytes(token))
+            starts.append(first[at])
+            ends.append(first[at + size - 1] + 1)
+            at += size
+        expected.append((row.doc_id, starts, ends))
+    hashed = spark.createDataFrame(expected, "doc_id long, starts array<int>, ends array<int>").select(
+        "doc_id", F.xxhash64("starts", "ends").alias("h"))
+    assert {(r.doc_id, r.places_hash) for r in op2_byte_bpe(spark, folder).collect()} == {(r.doc_id, r.h) for r in hashed.collect()}
