@@ -40,7 +40,8 @@ def repair_json(text: Column) -> Column:
 
     A word before a colon inside a text is quoted as well; that is how it has always worked.
     """
-    fixed = F.regexp_replace(text, rf"(\s*)({_WORD}+)(\s*):", '$1"$2"$3:')
+    # possessive, and only from the start of a word: what fails once cannot match further on in the same word
+    fixed = F.regexp_replace(text, rf"(\s*+)(?<!{_WORD})({_WORD}++)(\s*+):", '$1"$2"$3:')
     fixed = F.replace(fixed, F.lit("'"), F.lit('"'))
     return F.regexp_replace(fixed, r",(\s*[}\]])", "$1")
 
@@ -65,19 +66,20 @@ def fallback_fields(partial: Column) -> Column:
     )
 
 
-def parse_answers(df: DataFrame, answer: str) -> DataFrame:
+def parse_answers(df: DataFrame, answer: str, repaired: str | None = None) -> DataFrame:
     """Add ``fields`` (the map) and ``parse_path``: direct, repaired or fallback.
 
     Each step is its own projection and asks for the next only where it failed, so a clean
-    answer is parsed once.
+    answer is parsed once. ``repaired`` names a column for the repaired text, then made for every row.
     """
+    text = repair_json(F.col("_slice"))
     return (
         df.select("*", slice_json(F.col(answer)).alias("_slice"))
         .select("*", parse_object(F.col("_slice")).alias("_direct"))
-        .select("*", F.when(F.col("_direct").isNull(),
-                            parse_object(repair_json(F.col("_slice")))).alias("_repaired"))
+        .select("*", (text if repaired else F.when(F.col("_direct").isNull(), text)).alias("_text"))
+        .select("*", F.when(F.col("_direct").isNull(), parse_object(F.col("_text"))).alias("_repaired"))
         .select(
-            *df.columns,
+            *df.columns, *([F.col("_text").alias(repaired)] if repaired else []),
             F.coalesce(
                 F.col("_direct"), F.col("_repaired"),
                 fallback_fields(F.coalesce(F.col("_slice"), F.lit(""))),

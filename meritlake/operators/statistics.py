@@ -179,8 +179,9 @@ def employer_consistency(positions: DataFrame) -> DataFrame:
 
 
 def _judged(positions: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Positions with their company's verdict; a company without one was not answered."""
-    return positions.join(verdicts.select("employer", "company", "counts_as_bad"), "employer", "left")
+    """Positions with their company's verdict where it is a bad one; only those matter, and they are few."""
+    bad = verdicts.where("counts_as_bad").select("employer", "company", "counts_as_bad")
+    return positions.join(bad, "employer", "left")
 
 
 def company_rollup(certificates, positions, verdicts) -> DataFrame:

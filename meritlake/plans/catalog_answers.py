@@ -47,8 +47,7 @@ def _(t):
 @query("repair_json", f"""
     WITH {_ANSWERS} SELECT certificate_id, r AS repaired, parse_path FROM parsed""", heavy=True)
 def _(t):
-    return N.parse_answers(t.answers, "answer").select(
-        "certificate_id", N.repair_json(N.slice_json(F.col("answer"))).alias("repaired"), "parse_path")
+    return N.parse_answers(t.answers, "answer", "repaired").select("certificate_id", "repaired", "parse_path")
 
 
 def _fallback_sql(name: str) -> str:
@@ -302,6 +301,17 @@ def _(t):
     return nested.flatten_decision(w).drop("ai_workflow_json", "supporting_evidence", "challenging_evidence")
 
 
+@query("failed_workflows", """
+    SELECT certificate_id, CASE certificate_id % 9 WHEN 0 THEN 'Extraction failed' ELSE 'Unknown error' END AS error
+    FROM workflows WHERE certificate_id % 9 IN (0, 1, 2)""")
+def _(t):
+    """Of nine workflows one failed with an error, one without, and one is no JSON."""
+    place = F.col("certificate_id") % 9
+    stored = (F.when(place == 0, F.lit('{"success":false,"error":"Extraction failed"}')).when(place == 1, F.lit('{"success":false}'))
+              .when(place == 2, F.substring(_J, 2, 40)).otherwise(F.col(_J)))
+    return nested.failed_workflows(t.workflows.select("certificate_id", nested.parse_workflow(stored).alias("workflow")))
+
+
 @query("merge_validation", f"""
     WITH added AS (SELECT certificate_id, count(*) AS n, string_agg(employer, ',' ORDER BY employer) AS names
       FROM positions JOIN verdict_answers USING (employer)

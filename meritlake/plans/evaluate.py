@@ -9,7 +9,6 @@ from meritlake import constants as K
 from meritlake.functions.companies import rollup_status
 from meritlake.functions.credits import (
     cap_breakdown, cap_credits, credits_from_hours, future_date_justification, hours_source_choice)
-from meritlake.functions.dates import parse_finnish_date
 from meritlake.functions.names import with_name_match
 from meritlake.functions.text import input_problem, sanitize_text
 from meritlake.operators.degrees import degree_keyword_score, match_degree
@@ -28,7 +27,7 @@ def position_totals(positions: DataFrame, verdicts: DataFrame) -> DataFrame:
     named = F.coalesce(F.col("employer"), F.lit("")) != ""
     bad = F.coalesce(F.col("counts_as_bad"), F.lit(False))
     return (
-        positions.join(verdicts.select("employer", "counts_as_bad"), "employer", "left")
+        positions.join(verdicts.where("counts_as_bad").select("employer", "counts_as_bad"), "employer", "left")
         .groupBy("certificate_id")
         .agg(
             F.count(F.lit(1)).alias("n_positions"),
@@ -149,14 +148,13 @@ def evaluate_texts(texts: DataFrame, catalogue: DataFrame, as_of: str) -> DataFr
     scored = degree_keyword_score(extract_fields(prepared), catalogue)
     named = with_name_match(scored, "first_name", "last_name", "employee_name")
 
+    # the extraction has written its dates as ISO texts
     def days(p: Column) -> Column:
-        return F.coalesce(F.datediff(parse_finnish_date(p["end_date"]),
-                                     parse_finnish_date(p["start_date"])) + 1, F.lit(0))
+        return F.coalesce(F.datediff(p["end_date"].try_cast("date"), p["start_date"].try_cast("date")) + 1, F.lit(0))
 
     week = F.coalesce("weekly_hours", F.lit(float(K.FULL_TIME_WEEK_HOURS))
                       * F.coalesce("percent", F.lit(100.0)) / 100)
-    late = F.exists("positions", lambda p: (parse_finnish_date(p["start_date"]) > today)
-                    | (parse_finnish_date(p["end_date"]) > today))
+    late = F.exists("positions", lambda p: (p["start_date"].try_cast("date") > today) | (p["end_date"].try_cast("date") > today))
     ready = named.withColumns({
         "name_match": F.col("match_result").isin("match", "partial_match"),
         "future": F.coalesce(late, F.lit(False)) | F.coalesce(F.col("issue_date") > today, F.lit(False)),

@@ -16,6 +16,9 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # state of streams lies on disk; a batch costs what its own keys cost
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # documents are large rows: bound Arrow batches by bytes, not only by row count
     "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }

@@ -3,9 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from meritlake.sources.keyed_store import KeyedStore
 from meritlake.operators import degrees, intake, lookups, ordered, state
 from meritlake.operators import statistics as S
+from meritlake.sources.keyed_store import KeyedStore
 
 DECISIONS = ("decision_id string, certificate_id int, student_comment string, reviewer_id int, "
              "reviewer_decision string, reviewer_comment string, reviewed_at timestamp")
@@ -143,3 +143,17 @@ def test_employer_consistency(spark):
     got = {r.certificate_id: r.inconsistent for r in S.employer_consistency(
         spark.createDataFrame(rows, "certificate_id int, employer string")).collect()}
     assert got == {1: False, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_figures_gathered_while_writing(spark, tmp_path):
+    rows = [("a@b.c", "x" * 300, "GENERAL"), (None, "", "GENERAL"), ("d@e.f", None, "OTHER")]
+    frame = spark.createDataFrame(rows, "email string, filename string, training_type string")
+    found = S.write_observed(frame, str(tmp_path / "t"), "uploads").collect()
+    assert {(r.table_name, r.row_count) for r in found} == {("uploads", 3)}
+    assert {r.column_name: r.n_filled for r in found if r.column_name} == {"email": 2, "filename": 2, "training_type": 3}
+    assert {r.problem: r.n_broken for r in found if r.problem} == {
+        "email: missing": 1, "filename: too long": 1, "filename: empty": 2, "training_type: not in domain": 1}
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    counted = intake.check_constraints(frame.withColumn("id", F.lit(1)), "id").groupBy("problem").count().collect()
+    assert {r.problem: r["count"] for r in counted} == {r.problem: r.n_broken for r in found if r.problem}
+    assert {r.row_count for r in S.write_observed(frame.limit(0), str(tmp_path / "e"), "none").collect()} == {0}

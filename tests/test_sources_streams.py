@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -6,7 +7,7 @@ import __spark_entry__ as entry_points
 from meritlake.plans.catalog_rules import _evaluator
 from meritlake.plans.driver_views import Tables
 from meritlake.session import work_folder
-from meritlake.sources.calls import map_with_caller
+from meritlake.sources.calls import ANSWERS, map_with_answers, map_with_caller
 from meritlake.sources.documents import (
     process_documents, read_documents, read_text_documents, scan_document_inventory)
 from meritlake.sources.keyed_store import KeyedStore
@@ -52,6 +53,81 @@ def test_quota_of_the_last_caller_stays_with_the_row(spark):
     assert [r.success for r in rows] == [True, True, False, False]
 
 
+def _slow():
+    import time
+
+    def call(value):
+        time.sleep(0.2 if value.endswith("0") else 0.02)
+        return f"said {value}"
+
+    return call
+
+
+def test_calls_under_way_together_keep_their_order(spark):
+    frame = spark.createDataFrame([(i, f"v{i}") for i in range(40)], "i int, v string").coalesce(1)
+    started = time.perf_counter()
+    rows = map_with_caller(frame, "v", ["i"], [("slow", _slow)], in_flight=8).collect()
+    assert [(r.i, r.answer) for r in rows] == [(i, f"said v{i}") for i in range(40)]
+    assert sum(r.elapsed for r in rows) > 1.4
+    quota = map_with_caller(frame, "v", ["i"], [("first", _quota_after_two), ("second", _second)], in_flight=4).collect()
+    assert all(r.success for r in quota) and [r.i for r in quota] == list(range(40))
+    assert sum(r.caller == "first" for r in quota) == 2
+    assert time.perf_counter() - started < 60
+
+
+def test_calls_keep_a_rate_and_try_again(spark):
+    frame = spark.createDataFrame([(i, f"v{i}") for i in range(6)], "i int, v string").coalesce(1)
+
+    def shaky():
+        seen = {}
+
+        def call(value):
+            seen[value] = seen.get(value, 0) + 1
+            if seen[value] <= int(value[1:]) % 3:
+                raise RuntimeError("429 rate limit")
+            return f"{value} after {seen[value]}"
+
+        return call
+
+    rows = map_with_caller(frame, "v", ["i"], [("shaky", shaky)], retries=2, first_wait=0.01).collect()
+    assert [r.answer for r in rows] == [f"v{i} after {i % 3 + 1}" for i in range(6)]
+    rows = map_with_caller(frame, "v", ["i"], [("shaky", shaky)], retries=1, first_wait=0.01).collect()
+    assert [r.success for r in rows] == [i % 3 < 2 for i in range(6)]
+
+    def timed():
+        import time
+
+        return lambda value: str(time.monotonic())
+
+    rows = map_with_caller(frame, "v", ["i"], [("timed", timed)], in_flight=6, per_second=20).collect()
+    times = sorted(float(r.answer) for r in rows)
+    assert times[-1] - times[0] >= 0.2
+
+
+def test_answers_are_asked_for_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def counted():
+        def call(value):
+            with open(log, "a") as file:
+                file.write(f"{value}\n")
+            if value == "bad":
+                raise ValueError("broken")
+            return f"said {value}"
+
+        return call
+
+    frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "bad"), (5, None)], "i int, v string")
+    store = KeyedStore(spark, str(tmp_path / "answers"), "prompt_hash", ANSWERS, buckets=4)
+    want = [(1, "said a", True, None), (2, "said b", True, None), (3, "said a", True, None), (4, None, False, "broken"), (5, "said None", True, None)]
+    for run, calls in enumerate((["None", "a", "b", "bad"], ["bad"])):
+        open(log, "w").close()
+        rows = map_with_answers(frame, "v", ["i"], [("counted", counted)], store, in_flight=2).collect()
+        assert sorted((r.i, r.answer, r.success, r.error) for r in rows) == want
+        assert sorted(open(log).read().split()) == calls, run
+    assert store.read().count() == 3
+
+
 def _decode():
     return lambda content: content.decode("utf-8")
 
