@@ -37,7 +37,7 @@ SLOTS = 1 << 13
 # A side of a block has about so many texts and characters.
 BLOCK_ROWS = 256
 BLOCK_CHARS = 16_000_000
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000
 
 _WORDS = re.compile(r"\w+")
 
