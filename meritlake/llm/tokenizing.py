@@ -28,7 +28,7 @@ def closed_under_lower(characters: set[int]) -> list[int]:
 PLAIN = closed_under_lower({*range(9, 14), *range(32, 127), *range(0xA0, 0x250), *range(0x2010, 0x2028)})
 _NOT_PLAIN = re.compile("[^" + "".join(re.escape(chr(c)) for c in PLAIN) + "]")
 # Pieces a worker remembers; the table starts afresh when it is full.
-MOST_PIECES = 500_000
+MOST_PIECES = 200_000
 
 
 def byte_characters() -> dict[int, str]:
