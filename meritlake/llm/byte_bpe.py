@@ -57,9 +57,11 @@ def token_places(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     A token that holds only part of a character covers that character.
     """
-    raw = np.frombuffer(text.encode(), np.uint8)
-    character = np.cumsum((raw & 0xC0) != 0x80) - 1
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int32)
+    if text.isascii():
+        return ends - lengths, ends
+    raw = np.frombuffer(text.encode(), np.int8)
+    character = np.cumsum(raw >= -64, dtype=np.int32) - 1  # bytes that go on with a character are below
     return character[ends - lengths], character[ends - 1] + 1
 
 
@@ -99,7 +101,7 @@ def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, text: str = "te
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text = encoder_of(definition.value, pattern).encode
         table = token_bytes(definition.value)
-        lengths = np.zeros(max(table) + 1, np.int64)
+        lengths = np.zeros(max(table) + 1, np.int32)
         for rank, token in table.items():
             lengths[rank] = len(token)
         for whole in batches:
