@@ -66,11 +66,12 @@ def fallback_fields(partial: Column) -> Column:
     )
 
 
-def parse_answers(df: DataFrame, answer: str, repaired: str | None = None) -> DataFrame:
+def parse_answers(df: DataFrame, answer: str, repaired: str | None = None, used: str | None = None) -> DataFrame:
     """Add ``fields`` (the map) and ``parse_path``: direct, repaired or fallback.
 
     Each step is its own projection and asks for the next only where it failed, so a clean
-    answer is parsed once. ``repaired`` names a column for the repaired text, then made for every row.
+    answer is parsed once. ``repaired`` names a column for the repaired text, then made for every row;
+    ``used`` one for the text that was parsed (null: neither could be).
     """
     text = repair_json(F.col("_slice"))
     return (
@@ -80,6 +81,8 @@ def parse_answers(df: DataFrame, answer: str, repaired: str | None = None) -> Da
         .select("*", F.when(F.col("_direct").isNull(), parse_object(F.col("_text"))).alias("_repaired"))
         .select(
             *df.columns, *([F.col("_text").alias(repaired)] if repaired else []),
+            *([F.when(F.col("_direct").isNotNull(), F.col("_slice")).when(F.col("_repaired").isNotNull(), F.col("_text"))
+               .alias(used)] if used else []),
             F.coalesce(
                 F.col("_direct"), F.col("_repaired"),
                 fallback_fields(F.coalesce(F.col("_slice"), F.lit(""))),

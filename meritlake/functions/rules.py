@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from meritlake import constants as K
+from meritlake.functions.binding import let
 from meritlake.functions.dates import parse_finnish_date
 
 
 def messages(*rules: Column) -> Column:
-    return F.array_compact(F.array(*rules))
+    """The messages there are; none is empty. Removing '' stays in generated code, a filter's lambda would not."""
+    return F.array_remove(F.array(*[F.coalesce(rule, F.lit("")) for rule in rules]), F.lit(""))
 
 
 def broken(condition: Column, message: str) -> Column:
@@ -22,6 +24,7 @@ def broken(condition: Column, message: str) -> Column:
 _EXTRACTION_TEXTS = ("employee_name", "employer", "certificate_issue_date",
                      "total_employment_period", "confidence_level")
 _POSITION_TEXTS = ("title", "employer", "start_date", "end_date", "duration", "responsibilities")
+_ALL_TEXTS = r"^OBJECT<\w+: (?:STRING|VOID)(?:, \w+: (?:STRING|VOID))*+>$"
 
 
 def _kind(value: Column, path: str) -> Column:
@@ -40,10 +43,12 @@ def extraction_problems(answer: Column) -> Column:
         return ~_kind(value, path).isin(*allowed)
 
     def bad_position(p: Column) -> Column:
-        wrong = ~F.schema_of_variant(p).startswith("OBJECT")
+        wrong = F.lit(False)
         for name in _POSITION_TEXTS:
             wrong = wrong | F.coalesce(not_text(p, f"$.{name}", True), F.lit(False))
-        return wrong
+        # an object of nothing but texts needs no look at its fields
+        return let(F.schema_of_variant(p), lambda kind: F.when(kind.rlike(_ALL_TEXTS), F.lit(False)).otherwise(
+            ~kind.startswith("OBJECT") | wrong))
 
     listed = F.try_variant_get(answer, "$.positions", "array<variant>")
     return messages(
@@ -60,7 +65,7 @@ def extraction_warnings(issue_date: Column, positions: Column, as_of: Column) ->
     own = messages(
         broken(issue_date.isNotNull() & issued.isNull(), "certificate_issue_date: invalid date"),
         broken(issued > as_of, "certificate_issue_date: in the future"),
-    )
+    ))
 
     def of_position(p: Column, index: Column) -> Column:
         start, end = parse_finnish_date(p["start_date"]), parse_finnish_date(p["end_date"])

@@ -415,12 +415,11 @@ def _bad_text(path: str, nullable: bool) -> str:
     FROM checked""", heavy=True)
 def _(t):
     """An answer that had to be read by pattern has only text fields, so it passes."""
-    sliced = N.slice_json(F.col("answer"))
-    usable = F.when(F.col("parse_path") == "direct", sliced).when(
-        F.col("parse_path") == "repaired", N.repair_json(sliced))
-    checked = N.parse_answers(t.answers, "answer").select(
-        "certificate_id", F.try_parse_json(usable).alias("v")).select(
-        "certificate_id", R.structural_result(R.extraction_problems(F.col("v")), "extraction").alias("r"))
+    checked = N.parse_answers(t.answers, "answer", used="usable").select(
+        "certificate_id", F.try_parse_json("usable").alias("v")).select(
+        # a column of its own, or every field of the result would look for the problems again
+        "certificate_id", R.extraction_problems(F.col("v")).alias("problems")).select(
+        "certificate_id", R.structural_result(F.col("problems"), "extraction").alias("r"))
     return checked.select("certificate_id", "r.validation_passed", "r.issue_type", "r.summary")
 
 

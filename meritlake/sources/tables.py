@@ -14,15 +14,21 @@ def read_entity(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.schema(ENTITY_SCHEMAS[name]).parquet(path)
 
 
+# rows of a task, where the work of a row costs far more than moving it
+ROWS_OF_A_TASK = 200_000
+
+
 def spread_few_splits(scan: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one task per core.
+    """Give a scan with few splits one task per core, and no task more than about ``ROWS_OF_A_TASK`` rows.
 
     For work that costs far more per row than a shuffle, such as chains of patterns over long
-    texts. Large tables have more splits than cores and are left as they are. Filters and
+    texts. Splits are cut by bytes, so narrow rows come many to a split, and tasks would grow with the table; tables with
+    enough splits are left as they are. Rows are counted in the files' footers. Filters and
     column choice still reach the files through the exchange. ``scan`` must be a plain read.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    cores, splits = scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    wanted = max(cores, -(-scan.count() // ROWS_OF_A_TASK))
+    return scan if splits >= wanted else scan.repartition(wanted)
 
 
 def list_view(table: DataFrame) -> DataFrame:
