@@ -40,9 +40,12 @@ def applications_by_review_status(decisions, certificates, students, status: str
 
 def document_arrays(documents: DataFrame) -> DataFrame:
     """Extra documents of each certificate as one array in upload order."""
-    item = F.struct("document_id", "document_type", "filename", "filetype", "uploaded_at")
-    return arrays_in_order(documents, ["certificate_id"], [F.col("uploaded_at"), F.col("document_id")], item,
-                           "additional_documents")
+    fields = ("document_id", "document_type", "filename", "filetype", "uploaded_at")
+    # in the order of their fields, so the two that place them are held once
+    entry = F.struct("uploaded_at", "document_id", "document_type", "filename", "filetype")
+    item = lambda x: F.struct(*[x[name].alias(name) for name in fields])
+    return documents.groupBy("certificate_id").agg(
+        F.transform(F.sort_array(F.collect_list(entry)), item).alias("additional_documents"))
 
 
 def _or_empty(df: DataFrame, name: str) -> DataFrame:
@@ -106,12 +109,13 @@ def detailed_application(decisions, certificates, students, documents, certifica
     def packed(df: DataFrame, name: str, *keys: str) -> DataFrame:
         return df.select(*keys, F.struct(*df.columns).alias(name))
 
-    joined = (
-        packed(decisions, "decision", "certificate_id")
-        .join(packed(certificates, "certificate", "certificate_id", "student_id"), "certificate_id")
-        .join(packed(students, "student", "student_id"), "student_id")
-    )
-    return _with_documents(joined, documents)
+    # certificates meet their student first, as they are the narrow rows; decisions and documents then
+    # meet them by certificate and are not moved again
+    owned = packed(certificates, "certificate", "certificate_id", "student_id").join(
+        packed(students, "student", "student_id"), "student_id")
+    joined = packed(decisions, "decision", "certificate_id").join(owned, "certificate_id")
+    return _with_documents(joined, documents).select(
+        "certificate_id", "student_id", "decision", "certificate", "student", "additional_documents")
 
 
 def reviewer_worklist(decisions, certificates, students, reviewer_id=None) -> DataFrame:

@@ -29,3 +29,21 @@ def test_problems_and_repairs_are_looked_for_once(spark):
     """check_extraction: one line of the plan has the rules, none has them twice."""
     lines = _plan(entry_points.queries()["check_extraction"](spark, FOLDER))
     assert lines.count("variant_get(") <= 30 and lines.count("regexp_replace(") == 2
+
+
+def test_moved_rows_of_detailed_application(spark):
+    """detailed_application: joined rows are not moved to the students and back."""
+    t = Tables(spark, FOLDER)
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in off}
+    try:
+        for name, value in off.items():
+            spark.conf.set(name, value)
+        bare = spark.createDataFrame([], "certificate_id long, document_id string, document_type string, filename string, "
+                                         "filetype string, uploaded_at timestamp")
+        rows = A.detailed_application(t.certificates.select("certificate_id"), t.certificates, t.students, bare)
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 5
+        assert rows.columns == ["certificate_id", "student_id", "decision", "certificate", "student", "additional_documents"]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
