@@ -17,6 +17,8 @@ from meritlake.session import work_folder
 from meritlake.sources.keyed_store import KeyedStore
 
 Call = Callable[[object], str]
+# values and answers that a worker holds as Python objects at a time
+ROWS_AT_A_TIME = 256
 
 
 def map_with_caller(df: DataFrame, column: str, keep: list[str],
@@ -40,7 +42,7 @@ def map_with_caller(df: DataFrame, column: str, keep: list[str],
     for field in ("answer string", "success boolean", "error string", "elapsed double", "caller string"):
         schema = schema.add(field.split(" ")[0], field.split(" ")[1])
 
-    quota_phrases = tuple(K.QUOTA_PHRASES)
+    quota_phrases, rows_at_a_time = tuple(K.QUOTA_PHRASES), max(ROWS_AT_A_TIME, in_flight)
 
     # stands on its own, so workers need no copy of this package
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,15 +87,17 @@ def map_with_caller(df: DataFrame, column: str, keep: list[str],
                     return None, error, time.perf_counter() - started, factories[number][0]
 
         with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
-                values = batch.column("_input").to_pylist()
+            # few rows at a time: values and answers are whole documents, and a batch may have ten thousand
+            for part in (batch.slice(at, rows_at_a_time) for batch in batches for at in range(0, batch.num_rows, rows_at_a_time)):
+                values = part.column("_input").to_pylist()
                 rows = list(pool.map(ask, values) if in_flight > 1 else map(ask, values))
-                answers, errors, elapsed, callers = zip(*rows) if rows else ((), (), (), ())
+                answers, errors, elapsed, callers = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(name) for name in keep), pa.array(answers, pa.string()),
+                    [*(part.column(name) for name in keep), pa.array(answers, pa.string()),
                      pa.array([error is None for error in errors], pa.bool_()), pa.array(errors, pa.string()),
                      pa.array(elapsed, pa.float64()), pa.array(callers, pa.string())],
                     names=[*keep, "answer", "success", "error", "elapsed", "caller"])
+                del values, rows, answers, errors
 
     return source.mapInArrow(run, schema)
 

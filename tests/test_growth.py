@@ -47,3 +47,20 @@ def test_moved_rows_of_detailed_application(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_workers_hold_few_answers(spark):
+    """map_with_caller: a batch of Arrow rows is answered in pieces."""
+    def whole():
+        import sys
+
+        def call(value):
+            frame = sys._getframe(1)
+            while frame and "values" not in frame.f_locals:
+                frame = frame.f_back
+            return str(len(frame.f_locals["values"]))
+        return call
+
+    rows = calls.map_with_caller(spark.range(1000).coalesce(1).withColumn("v", F.lit("x")), "v", ["id"], [("c", whole)]).collect()
+    assert [r.id for r in rows] == list(range(1000)) and all(r.success for r in rows)
+    assert max(int(r.answer) for r in rows) <= 256
