@@ -42,11 +42,10 @@ def validate_student_names(extractions: DataFrame, certificates: DataFrame,
     )
 
 
-def reject_on_name_mismatch(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to evaluate, finished rejections): a mismatch ends the evaluation at once."""
-    passed = checked.where("name_match")
-    why = F.col("match_explanation")
-    rejected = checked.where(~F.col("name_match")).withColumns({
+def with_rejection(checked: DataFrame) -> DataFrame:
+    """All rows in one pass, with the fields of a finished rejection where the names do not match (else null)."""
+    why, matches = F.col("match_explanation"), F.col("name_match")
+    fields = {
         "decision": F.lit("REJECTED"),
         "justification": F.concat(F.lit("Certificate rejected due to name mismatch: "), why),
         "total_working_hours": F.lit(0),
@@ -60,5 +59,13 @@ def reject_on_name_mismatch(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
         "issue_severity": F.lit("critical"),
         "issue_description": F.concat(F.lit("Student name mismatch: "), why),
         "requires_correction": F.lit(False),
-    })
-    return passed, rejected
+    }
+    return checked.withColumns({name: F.when(~matches, value) for name, value in fields.items()})
+
+
+def reject_on_name_mismatch(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to evaluate, finished rejections): a mismatch ends the evaluation at once.
+
+    Each of the two compares all names anew; :func:`with_rejection` has both in one pass.
+    """
+    return checked.where("name_match"), with_rejection(checked.where(~F.col("name_match")))

@@ -210,9 +210,8 @@ def _(t):
       CASE WHEN NOT name_match THEN 0.0::DOUBLE END AS credits_qualified,
       CASE WHEN NOT name_match THEN 'critical' END AS issue_severity FROM checked""", heavy=True)
 def _(t):
-    passed, rejected = identity.reject_on_name_mismatch(_checked(t))
-    columns = ["certificate_id", "name_match", "decision", "justification", "credits_qualified", "issue_severity"]
-    return rejected.select(*columns).unionByName(passed.select("certificate_id", "name_match"), allowMissingColumns=True)
+    return identity.with_rejection(_checked(t)).select(
+        "certificate_id", "name_match", "decision", "justification", "credits_qualified", "issue_severity")
 
 
 @query("check_constraints", f"""

@@ -64,3 +64,9 @@ def test_workers_hold_few_answers(spark):
     rows = calls.map_with_caller(spark.range(1000).coalesce(1).withColumn("v", F.lit("x")), "v", ["id"], [("c", whole)]).collect()
     assert [r.id for r in rows] == list(range(1000)) and all(r.success for r in rows)
     assert max(int(r.answer) for r in rows) <= 256
+
+
+def test_names_are_compared_in_one_pass(spark):
+    """reject_on_name_mismatch: passed and rejected rows do not each compare all names."""
+    plan = _plan(entry_points.queries()["reject_on_name_mismatch"](spark, FOLDER))
+    assert "Union" not in plan and plan.count("Join") <= 3
