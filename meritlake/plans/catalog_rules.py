@@ -603,11 +603,13 @@ def _(t):
 
 
 # --- streams ------------------------------------------------------------------------------------------------
-def _dropped(t, table, files: int):
-    """A table as files that arrive, two at a time."""
+def _dropped(t, table, drops: int):
+    """A table as drops of files that arrive, two drops at a time; a drop has as many files as its rows need."""
     folder = work_folder(t.spark, "drops")
-    table.repartition(files).write.parquet(folder)
-    return read_arrivals(t.spark, table.schema, folder, files_per_batch=2)
+    numbered = table.withColumn("drop", F.pmod(F.xxhash64("certificate_id"), F.lit(drops)).cast("int"))
+    numbered.hint("rebalance", "drop").write.partitionBy("drop").parquet(folder)
+    files = len(t.spark.read.schema(table.schema).parquet(folder).inputFiles())
+    return read_arrivals(t.spark, table.schema, f"{folder}/*", files_per_batch=max(1, -(-2 * files // drops)))
 
 
 @query("stream_evaluate", f"WITH {EVALUATE_SQL} {_EVALUATED}")

@@ -70,3 +70,24 @@ def test_names_are_compared_in_one_pass(spark):
     """reject_on_name_mismatch: passed and rejected rows do not each compare all names."""
     plan = _plan(entry_points.queries()["reject_on_name_mismatch"](spark, FOLDER))
     assert "Union" not in plan and plan.count("Join") <= 3
+
+
+def test_drops_have_as_many_files_as_their_rows_need(spark):
+    """stream_status: a drop is not written by one task, whatever its size."""
+    t = Tables(spark, FOLDER)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2000b")
+    try:
+        table = t.certificates.repartition(8)
+        folders = []
+        keep = catalog_rules.read_arrivals
+        catalog_rules.read_arrivals = lambda _s, _schema, path, files_per_batch: folders.append((path, files_per_batch))
+        catalog_rules._dropped(t, table, 2)
+    finally:
+        catalog_rules.read_arrivals = keep
+        spark.conf.set(size, before)
+    folder, at_a_time = folders[0]
+    files = [f for _, _, names in os.walk(folder.removesuffix("/*")) for f in names if f.endswith(".parquet")]
+    assert len(files) > 2 and at_a_time == len(files)
+    assert spark.read.parquet(folder).count() == 1500
