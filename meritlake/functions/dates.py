@@ -16,8 +16,7 @@ def parse_finnish_date(text: Column) -> Column:
         strip(text), r"^(\d{1,2})\s*\.\s*(\d{1,2})\s*\.\s*(\d{4})$", "$3-$2-$1")
     iso = F.regexp_replace(iso, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1")
     # anything else comes out of the extraction as '', which is no date
-    return F.try_to_date(
-        F.regexp_extract(iso, r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$", 0), "yyyy-M-d")
+    return F.regexp_extract(iso, r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$", 0).try_cast("date")
 
 
 def iso(date: Column) -> Column:

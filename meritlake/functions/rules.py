@@ -61,14 +61,17 @@ def extraction_problems(answer: Column) -> Column:
 
 def extraction_warnings(issue_date: Column, positions: Column, as_of: Column) -> Column:
     """Findings that never fail an extraction: unreadable, future or reversed dates."""
-    issued = F.try_to_date(issue_date, "yyyy-MM-dd")
-    own = messages(
+    own = let(F.try_to_date(issue_date, "yyyy-MM-dd"), lambda issued: messages(
         broken(issue_date.isNotNull() & issued.isNull(), "certificate_issue_date: invalid date"),
         broken(issued > as_of, "certificate_issue_date: in the future"),
     ))
 
     def of_position(p: Column, index: Column) -> Column:
-        start, end = parse_finnish_date(p["start_date"]), parse_finnish_date(p["end_date"])
+        # each date is read once, not in every rule that names it
+        read = F.struct(parse_finnish_date(p["start_date"]).alias("start"), parse_finnish_date(p["end_date"]).alias("end"))
+        return let(read, lambda d: findings(p, d["start"], d["end"], index))
+
+    def findings(p: Column, start: Column, end: Column, index: Column) -> Column:
         at = F.concat(F.lit("positions["), index.cast("string"), F.lit("]."))
 
         def tell(condition: Column, text: str) -> Column:

@@ -91,3 +91,9 @@ def test_drops_have_as_many_files_as_their_rows_need(spark):
     files = [f for _, _, names in os.walk(folder.removesuffix("/*")) for f in names if f.endswith(".parquet")]
     assert len(files) > 2 and at_a_time == len(files)
     assert spark.read.parquet(folder).count() == 1500
+
+
+def test_dates_of_a_position_are_read_once(spark):
+    """extraction_warnings: one parse for a start, one for an end."""
+    plan = _plan(entry_points.queries()["extraction_warnings"](spark, FOLDER))
+    assert plan.count("(?!0000)") == 2
