@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from meritlake.llm.frames import with_fields
@@ -71,12 +72,10 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _sub_batches(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose values of one column have so many bytes together, a single longer value alone."""
-    sizes, at, held = batch.column(column), 0, 0
-    for place in range(batch.num_rows):
-        value = sizes[place]
-        size = len(value.as_py() or "") if value.is_valid else 0
+def _sub_batches(batch: pa.RecordBatch, sizes: pa.Array, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose rows have sizes (null: 0) of so much together, a single larger row alone."""
+    at, held = 0, 0
+    for place, size in enumerate(sizes.fill_null(0).to_pylist()):
         if held and held + size > most:
             yield batch.slice(at, place - at)
             at, held = place, 0
@@ -105,7 +104,7 @@ def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, text: str = "te
         for rank, token in table.items():
             lengths[rank] = len(token)
         for whole in batches:
-            for batch in _sub_batches(whole, whole.num_columns - 1):
+            for batch in _sub_batches(whole, pc.binary_length(whole.column(whole.num_columns - 1))):
                 texts = [value or "" for value in batch.column(batch.num_columns - 1).to_pylist()]
                 ids = [np.frombuffer(encode_text(value), "<u4").astype(np.int32) for value in texts]
                 made = [_lists(ids)]
@@ -123,7 +122,7 @@ def decode_ids(tokens: DataFrame, ranks_file: str, ids: str = "ids") -> DataFram
 
     Characters split over tokens come together again, as the bytes are joined before anything
     reads them as text. Null ids give no bytes; an id without a token is an error. An input
-    column named decoded is replaced.
+    column named decoded is replaced. All columns travel with the ids; leave out what is not needed after.
     """
     definition = tokens.sparkSession.sparkContext.broadcast(definition_of(read_ranks(ranks_file), ""))
     given = tokens.select(*[tokens[c] for c in tokens.columns if c != "decoded"])
@@ -132,10 +131,11 @@ def decode_ids(tokens: DataFrame, ranks_file: str, ids: str = "ids") -> DataFram
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_of = token_bytes(definition.value).__getitem__
-        for batch in batches:
-            decoded = [b"".join(map(byte_of, value.values.to_pylist() if value.is_valid else []))
-                       for value in batch.column(place)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
+        for whole in batches:
+            for batch in _sub_batches(whole, pc.list_value_length(whole.column(place)), 1 << 20):
+                decoded = [b"".join(map(byte_of, value.values.to_pylist() if value.is_valid else []))
+                           for value in batch.column(place)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return given.mapInArrow(decode, schema)

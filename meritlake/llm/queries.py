@@ -42,10 +42,12 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = encode_texts(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN,
                           keep=["doc_id"])
+    # the places are digested before the ids go to the decoding workers, which need nothing else
+    tokens = tokens.select("doc_id", "ids", F.xxhash64("starts", "ends").alias("places_hash"))
     return decode_ids(tokens, ranks).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("starts", "ends").alias("places_hash"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), "places_hash")
 
 
 def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -179,3 +179,30 @@ def test_places_of_the_query(spark):
     hashed = spark.createDataFrame(expected, "doc_id long, starts array<int>, ends array<int>").select(
         "doc_id", F.xxhash64("starts", "ends").alias("h"))
     assert {(r.doc_id, r.places_hash) for r in op2_byte_bpe(spark, folder).collect()} == {(r.doc_id, r.h) for r in hashed.collect()}
+
+
+def test_decoding_workers_get_ids_alone(spark):
+    """Neither texts nor lists of places travel to the second step, and it answers in parts of bounded size."""
+    from meritlake.llm.queries import op2_byte_bpe
+
+    plan = op2_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    decoding = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "ids#" in decoding and "starts#" not in decoding and "ends#" not in decoding
+    docs = spark.range(0, 300, 1, 1).selectExpr("id", "CASE WHEN id % 50 = 0 THEN NULL ELSE sequence(0, 9999) END AS ids")
+    tokens = docs.selectExpr("id", "CAST(ids AS array<int>) AS ids")
+    parts = decode_ids(tokens, RANKS).mapInArrow(lambda batches: batches, "id long, ids array<int>, decoded binary")
+    whole = b"".join(TIKTOKEN.decode_single_token_bytes(i) for i in range(10_000))
+    for row in parts.collect():
+        assert bytes(row.decoded) == (b"" if row.ids is None else whole)
+
+
+def test_parts_of_a_batch():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from meritlake.llm.byte_bpe import _sub_batches
+
+    lists = pa.RecordBatch.from_pydict({"ids": pa.array([[1] * n if n is not None else None for n in (3, 3, None, 9, 0, 5)])})
+    parts = list(_sub_batches(lists, pc.list_value_length(lists.column(0)), 6))
+    assert [p.num_rows for p in parts] == [3, 1, 2]
+    assert pa.Table.from_batches(parts).to_pydict() == lists.to_pydict()
