@@ -20,8 +20,10 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     labels = spark.read.parquet(f"{folder}/labels.parquet").filter(fold != 0)
     model = train(docs, labels, label="quality")
-    wrapped = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("document"), "text")
-    return score(wrapped, model, keep=["document"]).filter(F.col("score") >= QUALITY_LIMIT).select("document.*")
+    others = [docs[c] for c in docs.columns if c != "text"]
+    wrapped = docs.select(F.struct(F.lit(0).alias("none"), *others).alias("document"), "text")
+    good = score(wrapped, model, keep=["document", "text"]).filter(F.col("score") >= QUALITY_LIMIT)
+    return good.select(*[F.col("text") if c == "text" else F.col("document").getField(c).alias(c) for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

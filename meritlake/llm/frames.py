@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,3 +54,21 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column], purpose: st
         F.sum("n").over(within).alias("size"))
     return placed.join(offsets, [*group, "shard"]).withColumn("number", F.col("place") + F.col("shift")).drop(
         "place", "shard", "shift")
+
+
+# What empties the tables that this Python worker remembers between tasks, by step.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember_only(step: str, forget: Callable[[], None] = lambda: None) -> None:
+    """A worker's first call in a task: what it remembers of other steps is emptied by their own ``forget``.
+
+    Workers live on from stage to stage; without this a pipeline's worker holds the tables of all its stages.
+    """
+    others = [other for other in _remembered if other != step]
+    for other in others:
+        _remembered.pop(other)()
+    _remembered[step] = forget
+    if others:
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritlake.llm.exact_dedup import perhaps_among, without
-from meritlake.llm.frames import with_fields, written
+from meritlake.llm.frames import remember_only, with_fields, written
 
 SHINGLE_WORDS = 5
 LEAST_SIMILARITY = 0.8
@@ -159,12 +159,22 @@ def _worker_sampler() -> Sampler:
     return _sampler[0]
 
 
+def _begin() -> None:
+    remember_only("near_dedup", _forget)
+
+
+def _forget() -> None:
+    _hashes.clear()
+    _sampler.clear()
+
+
 def document_frequencies(texts: DataFrame) -> np.ndarray:
     """Inverse document frequency of every cell of words, over all rows of the column ``text``.
 
     1 + ln((1 + rows) / (1 + rows with the cell)). Each task counts its part before the shuffle.
     """
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         seen, rows = np.zeros(CELLS, np.int64), 0
         for batch in batches:
             for value in batch.column(0):
@@ -192,6 +202,7 @@ def _sign(documents: DataFrame, idf) -> DataFrame:
     given = documents.select("row", "text")
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         sampler = _worker_sampler()
         for batch in batches:
             same, samples, bands = [], [], []
@@ -216,6 +227,7 @@ def _sign(documents: DataFrame, idf) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity reaches the limit; ``texts`` has node and text."""
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         last, held = None, None
         for batch in batches:
             kept = []
@@ -275,6 +287,7 @@ def _block_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
         spread(members, "other", "others", "one", "ones", 1))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         group, sides = None, ([], [])
         for batch in batches:
             found = []

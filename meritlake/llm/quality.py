@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritlake.llm.frames import with_fields
+from meritlake.llm.frames import remember_only, with_fields
 
 PLACES = 1 << 18
 MOST_ROWS = 12_000
@@ -42,6 +42,10 @@ SHARE = 3.0
 _SAME, _CAPITALS, _MIXED = (zlib.crc32(b) for b in (b"<same>", b"<capitals>", b"<mixed>"))
 
 
+def _begin() -> None:
+    remember_only("quality", _hashes.clear)
+
+
 def _mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (first * np.uint64(0x9E3779B97F4A7C15) ^ second * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(29)
 
@@ -123,24 +127,25 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     score is one half.
     """
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         for batch in batches:
-            for order, value, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                where, values = features(value, places)
+            for order, value, mark in zip(*(batch.column(i) for i in range(3))):
+                where, values = features(value.as_py(), places)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([order], pa.int64()), pa.array([mark], pa.int32()),
+                    [pa.array([order.as_py()], pa.int64()), pa.array([mark.as_py()], pa.int32()),
                      pa.array([where.astype("<i4").tobytes()]), pa.array([values.astype("<f4").tobytes()])],
                     names=["order", "label", "places", "values"])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = []
+        _begin()
+        sample = []  # the vectors stay where the batches hold them
         for batch in batches:
-            for mark, where, values in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):
-                sample.append((mark, where, values))
+            sample += zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))
         leader = Leader(places)
         for _ in range(rounds):
             for mark, where, values in sample:
-                spots = np.append(np.frombuffer(where, "<i4").astype(np.int64), places)
-                leader.learn(spots, np.append(np.frombuffer(values, "<f4").astype(float), 1.0), mark)
+                spots = np.append(np.frombuffer(where.as_buffer(), "<i4").astype(np.int64), places)
+                leader.learn(spots, np.append(np.frombuffer(values.as_buffer(), "<f4").astype(float), 1.0), mark)
         weights = leader.weights(np.arange(places + 1))
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays(
@@ -162,22 +167,24 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text", keep: list[str
     """The columns ``keep`` (all by default) with ``score``, the probability of label 1.
 
     Null and wordless texts have no features: the bias alone decides. An input column named score
-    is replaced. Whole texts count, however long.
+    is replaced. Whole texts count, however long. A text that is kept goes to the workers once.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c != "score"]
-    given = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    schema = with_fields(given.schema, "score double", drop_last=True)
+    place = keep.index(text) if text in keep else len(keep)
+    given = docs.select(*[docs[c] for c in keep], *([docs[text].alias("__text")] if place == len(keep) else []))
+    schema = with_fields(given.schema, "score double", drop_last=place == len(keep))
     places = len(model) - 1
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 8 bytes a place, a fixed size
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         weights = sent.value
         for batch in batches:
             scores = []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(place):
                 where, values = features(value.as_py(), places)
                 scores.append(float(logistic(float(weights[where] @ values) + weights[places])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+                [*batch.columns[:len(keep)], pa.array(scores, pa.float64())], names=[*batch.schema.names[:len(keep)], "score"])
 
     return given.mapInArrow(mark, schema)

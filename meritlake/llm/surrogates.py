@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritlake.llm.frames import with_fields, written
+from meritlake.llm.frames import remember_only, with_fields, written
 
 # Forms of address and their gender (f, m, or n for either).
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Herr": "m", "Frau": "f",
@@ -408,6 +408,7 @@ def replace_personal_data(docs: DataFrame, secret: bytes, text: str = "text") ->
     given = docs.filter(maybe).select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[text].alias("text"))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only("surrogates")
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
         for batch in batches:
             found = [[e._asdict() for e in find_entities(value.as_py())] for value in batch.column(1)]
@@ -422,6 +423,7 @@ def replace_personal_data(docs: DataFrame, secret: bytes, text: str = "text") ->
         F.collect_list(F.struct("kind", "value", "attempt")).alias("drawn"))
 
     def replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only("surrogates")
         for batch in batches:
             texts, counts = [], []
             for value, entities, redrawn in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):

@@ -14,6 +14,8 @@ import os
 import re
 import unicodedata
 
+from meritlake.llm.frames import remember_only
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 def closed_under_lower(characters: set[int]) -> list[int]:
@@ -117,7 +119,8 @@ _encoders: dict[int, Encoder] = {}
 
 
 def encoder_of(definition: str, pattern: str, lower: bool = False) -> Encoder:
-    """The worker's encoder, made once."""
+    """The worker's encoder, made once; a task of another step lets it go."""
+    remember_only("tokens", _encoders.clear)
     key = hash((definition, pattern, lower))
     if key not in _encoders:
         _encoders.clear()
