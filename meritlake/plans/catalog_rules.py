@@ -13,7 +13,7 @@ from meritlake.plans.catalog_relational import verdicts
 from meritlake.plans.catalog_text import (
     AS_OF, CATALOGUE_SQL, INPUT_SQL, SANITIZED_SQL, date_sql, language_sql, normal_sql, similarity_sql)
 from meritlake.plans.driver_views import EMAIL_DOMAIN
-from meritlake.plans.evaluate import evaluate_certificates, evaluate_texts
+from meritlake.plans.evaluate import certificate_facts, evaluate_facts, evaluate_texts
 from meritlake.plans.model_evaluation import evaluate_with_model
 from meritlake.session import work_folder
 from meritlake.sources.calls import ANSWERS, map_with_answers, map_with_caller
@@ -333,13 +333,17 @@ _EVALUATED = f"""
     FROM decided"""
 
 
-def _evaluator(t, positions_of=None):
-    """Evaluation of any set of certificates against the other tables; their positions may come from a function of them."""
+def _facts(t):
+    """What the evaluation needs of each certificate's extraction, positions and documented hours."""
     hours = t.additional_documents.where("document_type = 'HOUR_DOCUMENTATION'").select("certificate_id", "hours")
-    catalogue = degrees.degree_catalogue(keyword_table(t))
-    return lambda certificates: evaluate_certificates(
-        certificates, t.students, t.extractions,
-        positions_of(certificates) if positions_of else t.positions.drop("duties"), hours, verdicts(t), catalogue, AS_OF)
+    return certificate_facts(t.extractions, t.positions.drop("duties"), hours, verdicts(t))
+
+
+def _evaluator(t, facts_of=None):
+    """Evaluation of any set of certificates against the other tables; their facts may come from a function of them."""
+    catalogue, facts = degrees.degree_catalogue(keyword_table(t)), _facts(t)
+    return lambda certificates: evaluate_facts(
+        certificates, t.students, facts_of(certificates) if facts_of else facts, catalogue, AS_OF)
 
 
 @query("evaluate_certificates", f"WITH {EVALUATE_SQL} {_EVALUATED}")
@@ -614,10 +618,12 @@ def _dropped(t, table, drops: int):
 
 @query("stream_evaluate", f"WITH {EVALUATE_SQL} {_EVALUATED}")
 def _(t):
-    """Certificates in several drops; ends when all are evaluated. Positions lie in buckets, so a batch reads its own."""
-    positions = KeyedStore(t.spark, work_folder(t.spark, "positions"), "certificate_id", t.positions.drop("duties").schema)
-    positions.add(t.positions.drop("duties"))
-    evaluate = _evaluator(t, positions.matching)
+    """Certificates in several drops; ends when all are evaluated. What belongs to certificates is totalled once and
+    lies in buckets: a batch reads its own, and none joins and totals the whole tables again."""
+    rows = _facts(t)
+    facts = KeyedStore(t.spark, work_folder(t.spark, "facts"), "certificate_id", rows.schema)
+    facts.add(rows)
+    evaluate = _evaluator(t, lambda certificates: facts.read(facts.buckets_of(certificates)))
     output = KeyedStore(t.spark, work_folder(t.spark, "stream-decisions"), "certificate_id", evaluate(t.certificates.limit(0)).schema)
     stream_evaluate(_dropped(t, t.certificates, 6), evaluate, output, work_folder(t.spark, "stream-state")).awaitTermination()
     return output.read()

@@ -85,6 +85,17 @@ def decide(df: DataFrame, as_of: Column) -> DataFrame:
     })
 
 
+def certificate_facts(extractions: DataFrame, positions: DataFrame, document_hours: DataFrame,
+                      verdicts: DataFrame) -> DataFrame:
+    """The extractions, each with the totals of its certificate's positions and the sum of its document hours.
+
+    Positions and document hours shrink to one row per certificate before they join.
+    """
+    stated = document_hours.groupBy("certificate_id").agg(F.sum("hours").cast("int").alias("document_hours"))
+    return (extractions.join(position_totals(positions, verdicts), "certificate_id", "left")
+            .join(stated, "certificate_id", "left"))
+
+
 def evaluate_certificates(certificates: DataFrame, students: DataFrame, extractions: DataFrame,
                           positions: DataFrame, document_hours: DataFrame, verdicts: DataFrame,
                           catalogue: DataFrame, as_of: str) -> DataFrame:
@@ -93,19 +104,21 @@ def evaluate_certificates(certificates: DataFrame, students: DataFrame, extracti
     ``extractions``: certificate_id, employee_name, issue_date, duties. ``positions``:
     certificate_id, employer, start_date, end_date. ``document_hours``: certificate_id, hours.
     ``verdicts``: employer, counts_as_bad. ``catalogue``: programme_key, industries, roles.
-
-    Positions and document hours shrink to one row per certificate before they join.
     """
+    return evaluate_facts(certificates, students, certificate_facts(extractions, positions, document_hours, verdicts),
+                          catalogue, as_of)
+
+
+def evaluate_facts(certificates: DataFrame, students: DataFrame, facts: DataFrame, catalogue: DataFrame,
+                   as_of: str) -> DataFrame:
+    """The same from the rows of :func:`certificate_facts`, which may have been made and stored before."""
     today = F.lit(as_of).cast("date")
     people = students.select(
         "student_id", "first_name", "last_name", match_degree(F.col("degree")).alias("programme_key"))
-    stated = document_hours.groupBy("certificate_id").agg(F.sum("hours").cast("int").alias("document_hours"))
     base = (
         certificates.select("certificate_id", "student_id", "training_type", "work_type")
         .join(people.withColumn("_known", F.lit(True)), "student_id", "left")
-        .join(extractions, "certificate_id")
-        .join(position_totals(positions, verdicts), "certificate_id", "left")
-        .join(stated, "certificate_id", "left")
+        .join(facts, "certificate_id")
         .withColumn("text", F.col("duties"))
     )
     scored = degree_keyword_score(base, catalogue)

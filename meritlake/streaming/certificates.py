@@ -33,11 +33,16 @@ def stream_evaluate(arrivals: DataFrame, evaluate: Callable[[DataFrame], DataFra
 
     No watermark: a certificate may arrive at any time. Only the store's buckets of a batch's
     certificates are read, and of these only the keys; repeats, a batch that is run again and a lost
-    checkpoint find their keys there and add nothing.
+    checkpoint find their keys there and add nothing. The new certificates of a batch are kept while it
+    lasts, as ``evaluate`` may read them several times.
     """
     def write(batch: DataFrame, _batch_id: int) -> None:
         stored = output.read(output.buckets_of(batch)).select("certificate_id")
-        output.add(evaluate(batch.dropDuplicates(["certificate_id"]).join(stored, "certificate_id", "left_anti")))
+        new = batch.dropDuplicates(["certificate_id"]).join(stored, "certificate_id", "left_anti").persist()
+        try:
+            output.add(evaluate(new))
+        finally:
+            new.unpersist()
 
     return (
         arrivals.writeStream.foreachBatch(write)
