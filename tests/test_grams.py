@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meritlake import constants as K
 from meritlake.operators import degrees
-from meritlake.operators.grams import with_contained
+from meritlake.operators.grams import indexed, with_contained
 
 
 @pytest.mark.parametrize("shortest", [1, 3])
@@ -62,3 +62,27 @@ def test_programmes_as_a_table(spark):
     want = {r.degree: (r.m, r.s) for r in frame.select(
         "degree", degrees.match_degree(F.col("degree")).alias("m"), degrees.degree_supported(F.col("degree")).alias("s")).collect()}
     assert got == want
+
+
+def test_needles_are_filed_under_trigrams_of_their_words(spark):
+    """degree_keyword_index: trigrams across words are in most texts, so they are taken only without another."""
+    needles = spark.createDataFrame([("red bolt",), ("old bolt",), ("a b c",)], "needle string")
+    filed = {r.needle: r.gram for r in indexed(needles, "needle", []).collect()}
+    assert filed.pop("a b c") in ("a b", " b ", "b c") and not any(" " in gram for gram in filed.values())
+
+
+def test_texts_give_out_few_trigrams(spark):
+    """degree_keyword_index: the filter of 128 KB is no column of the rows, and not every trigram of a text is made."""
+    texts = spark.createDataFrame([(1, "old bolts, красный болт"), (2, "none of it")], "i int, text string")
+    frame = with_contained(texts, F.col("text"), spark.createDataFrame([("old bolt",)], "needle string"), "needle")
+    assert {r.i: r.found for r in frame.collect()} == {1: ["old bolt"], 2: []}
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bits" not in plan and "regexp_extract_all(_text" in plan and ", scalar-subquery" in plan
+
+
+def test_signs_of_patterns_are_plain_characters(spark):
+    signs = ["]^-", "[&&", "\\d\\", "a-z", "\x00\x01\x7f", "🙂a🙂", "ÿĀ ", "$1{", "|)("]
+    texts = [(i, "x" + s + "y" + signs[i - 1]) for i, s in enumerate(signs)] + [(90, "abz dd a9z 11"), (91, "\x02\x00\x01")]
+    frame = with_contained(spark.createDataFrame(texts, "i int, text string"), F.col("text"),
+                           spark.createDataFrame([(s,) for s in signs], "needle string"), "needle")
+    assert {r.i: sorted(r.found) for r in frame.collect()} == {i: sorted(s for s in signs if s in t) for i, t in texts}
