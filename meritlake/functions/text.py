@@ -37,10 +37,13 @@ def sanitize_text(text: Column, limit: int | None = K.PROMPT_TEXT_LIMIT) -> Colu
     Empty lines vanish altogether, so squeezing runs of newlines first would change nothing.
     """
     plain = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    plain = F.translate(F.replace(plain, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
-    plain = _kept_lines(F.regexp_replace(plain, " +", " "), "\n", 1)
+    plain = F.replace(F.replace(plain, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    # single spaces stay as they are, so only texts with longer runs meet the pattern
+    plain = let(plain, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
+    plain = _kept_lines(plain, "\n", 1)
     if limit is None:
-        return F.coalesce(strip(plain), F.lit(""))
+        # the lines have no white space at their ends, nor has the whole
+        return F.coalesce(plain, F.lit(""))
     cut = let(plain, lambda t: F.when(
         F.length(t) > limit,
         F.concat(F.substring(t, 1, limit), F.lit(K.TRUNCATION_MARKER)),
@@ -50,7 +53,8 @@ def sanitize_text(text: Column, limit: int | None = K.PROMPT_TEXT_LIMIT) -> Colu
 
 def input_problem(text: Column) -> Column:
     """Why a text cannot be evaluated, or null."""
-    stripped = strip(text)
+    # the end does not matter here, and finding it would read the whole text
+    stripped = F.ltrim(text, F.lit(K.STRIP_CHARS))
     return (
         F.when(text.isNull(), F.lit("Invalid text input: <class 'NoneType'>"))
         .when(text == "", F.lit("Invalid text input: <class 'str'>"))

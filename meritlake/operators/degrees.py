@@ -105,13 +105,24 @@ def degree_keyword_score(texts: DataFrame, catalogue: DataFrame, medium_from: in
     lists = catalogue.select("programme_key", F.array_distinct(F.transform(words, F.lower)).alias("_words"))
     total = lists.agg(F.coalesce(F.sum(F.size("_words")), F.lit(0)).alias("n")).first()["n"]
     small = total <= MAX_BROADCAST_KEYWORDS
+    # keywords by their longest word: a text without it holds none of them
+    longest = F.array_max(F.transform(F.split("_word", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    shelves = (lists.select("programme_key", F.explode("_words").alias("_word")).where(F.col("_word").isNotNull())
+               .groupBy("programme_key", longest.alias("longest")).agg(F.collect_list("_word").alias("words"))
+               .groupBy("programme_key").agg(F.collect_list(F.struct("longest", "words")).alias("_shelves")))
+
+    def held(text: Column) -> Column:
+        return F.aggregate(
+            F.filter("_shelves", lambda s: F.contains(text, s["longest"])), F.lit(0),
+            lambda n, s: n + F.size(F.filter(s["words"], lambda w: F.contains(text, w))))
+
     # bound, or the text would be put in lower case once per keyword
-    hits = let(F.lower("text"), lambda text: F.size(F.filter("_words", lambda w: F.contains(text, w))))
+    hits = let(F.lower("text"), held)
     return (
-        texts.join(F.broadcast(lists) if small else lists, "programme_key", "left")
-        .withColumn("keyword_hits", F.when(F.col("_words").isNull(), F.lit(0)).otherwise(hits))
+        texts.join(F.broadcast(shelves) if small else shelves, "programme_key", "left")
+        .withColumn("keyword_hits", F.when(F.col("_shelves").isNull(), F.lit(0)).otherwise(hits))
         .withColumn("degree_relevance", keyword_relevance(F.col("keyword_hits"), medium_from, high_from))
-        .drop("_words")
+        .drop("_shelves")
     )
 
 

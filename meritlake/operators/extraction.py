@@ -6,6 +6,9 @@ differ from a model's. All patterns keep to what Java and RE2 both understand.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,8 +34,13 @@ def _found(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
+def _has_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(phrase)) for phrase in phrases])
+
+
 def employee_name(text: Column) -> Column:
-    return _found(text, EMPLOYEE)
+    # without one of its phrases the pattern finds nothing, and plain search is cheaper
+    return F.when(_has_any(text, ("certify that ", "että ", "Employee: ", "Työntekijä: ")), _found(text, EMPLOYEE))
 
 
 def main_employer(text: Column) -> Column:
@@ -45,13 +53,14 @@ def issue_date(text: Column) -> Column:
 
 def positions(text: Column, employer: Column, issued: Column) -> Column:
     """Date ranges as positions; a missing end is the issue date, the employer the main one."""
-    closed = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(DATE_RANGE), 1).alias("a"),
-        F.regexp_extract_all(text, F.lit(DATE_RANGE), 2).alias("b"))
-    closed = F.transform(closed, lambda r: F.struct(
-        parse_finnish_date(r["a"]).alias("start_date"), parse_finnish_date(r["b"]).alias("end_date")))
+    # a range starts with a digit; its two dates are read from the range, not from the text again
+    ranges = F.regexp_extract_all(text, F.lit(rf"(?=\d){DATE_RANGE}"), 0)
+    closed = F.transform(ranges, lambda r: F.struct(
+        parse_finnish_date(F.regexp_extract(r, DATE_RANGE, 1)).alias("start_date"),
+        parse_finnish_date(F.regexp_extract(r, DATE_RANGE, 2)).alias("end_date")))
+    starts = F.when(_has_any(text, ("since ", "alkaen ")), F.regexp_extract_all(text, F.lit(OPEN_RANGE), 1))
     opened = F.transform(
-        F.regexp_extract_all(text, F.lit(OPEN_RANGE), 1),
+        F.when(text.isNotNull(), F.coalesce(starts, F.array().cast("array<string>"))),
         lambda start: F.struct(parse_finnish_date(start).alias("start_date"), issued.alias("end_date")))
     return F.transform(F.concat(closed, opened), lambda p: F.struct(
         F.coalesce(employer, F.lit("Unknown Employer")).alias("employer"),

@@ -5,7 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from meritlake.functions.text import input_problem, sanitize_text
 from meritlake.operators import applications as A
+from meritlake.operators.degrees import degree_keyword_score
 from meritlake.plans import catalog_rules
 from meritlake.plans.driver_views import Tables
 from meritlake.sources import calls, tables
@@ -97,3 +99,31 @@ def test_dates_of_a_position_are_read_once(spark):
     """extraction_warnings: one parse for a start, one for an end."""
     plan = _plan(entry_points.queries()["extraction_warnings"](spark, FOLDER))
     assert plan.count("(?!0000)") == 2
+
+
+def test_long_texts_are_read_few_times(spark):
+    """evaluate_texts: date ranges are looked for once, keywords by their longest words."""
+    plan = _plan(entry_points.queries()["evaluate_texts"](spark, FOLDER))
+    assert plan.count("regexp_extract_all(") == 2 and "_shelves" in plan and "translate(replace(" not in plan
+
+
+def test_keywords_by_their_longest_words(spark):
+    """evaluate_texts, degree_keyword_score: odd keywords and texts count as each alone would."""
+    words = ["red bolt", "Red Bolt", "bolt", "", " ", "  bolt", "big  red", "ä ö", "bolt red big", None]
+    texts = [None, "", " ", "RED BOLTS", "a big  red bolt", "bolt red", "x ä ö", "the bolt red bigger  bolt"]
+    catalogue = spark.createDataFrame([("p", words[:6], words[6:]), ("none", [], [])], "programme_key string, industries array<string>, roles array<string>")
+    rows = spark.createDataFrame([(i, k, t) for i, t in enumerate(texts) for k in ("p", "none", "unknown")], "i int, programme_key string, text string")
+    got = {(r.i, r.programme_key): r.keyword_hits for r in degree_keyword_score(rows, catalogue).collect()}
+    each = {w.lower() for w in words if w is not None}
+    assert got == {(i, k): sum(w in (t or "").lower() for w in each) if k == "p" and t is not None else 0
+                   for i, t in enumerate(texts) for k in ("p", "none", "unknown")}
+
+
+def test_whole_texts_keep_their_words(spark, values):
+    """evaluate_texts: runs of spaces, line ends and odd white space, without a limit."""
+    texts = ["a  b   c d", "a\r\rb\r\n\r\n  c", " \x85 a 　\n\x0c", "   ", "", None, "\x00x\x7f  \x01 y", "one\rtwo"]
+    assert values(lambda t: sanitize_text(t, limit=None), texts) == [
+        "a b c d", "a\nb\nc", "a", "", "", "", "x y", "one\ntwo"]
+    assert values(input_problem, ["　 {a: 12345678}", " " * 12, "a" + " " * 12, "short", "  \"quoted text\""]) == [
+        "Text appears to be JSON, not document content", "Text too short or empty", None, "Text too short or empty",
+        "Text appears to be JSON, not document content"]
